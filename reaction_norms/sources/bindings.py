@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reaction_norms.models.design import Design
+from reaction_norms.operators.reshape import to_wide
+
 GARDEN_OF_FLAG = {"N": "north", "R": "south", "A": "center"}
 POPULATION_OF_TYPE = {
     "ECONOMY": "N1",
@@ -25,13 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _recode(col: F.Column, mapping: dict[str, str]) -> F.Column:
+def _recode(col: Column, mapping: dict[str, str]) -> Column:
     out = None
     for key, value in mapping.items():
         out = F.when(col == key, value) if out is None else out.when(col == key, value)
     return out
 
 
+def _cents(name: str) -> Column:
+    """Whole hundredths as a double: sums are exact, whatever order they are added in."""
+    return F.round(F.col(name) * 100)
+
+
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as plants: part = family, return flag = garden."""
     line = table(spark, sf_dir, "lineitem")
@@ -44,11 +52,11 @@ def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
         _recode(F.col("p_type"), POPULATION_OF_TYPE).alias("Population"),
         F.when(F.col("p_size") % 2 == 0, 2010).otherwise(2017).alias("Year"),
         F.when(number <= 2, F.col("l_quantity")).alias("first_flower_doy"),
-        F.when(number.isin(3, 4) & leaf, F.col("l_extendedprice") / 1000).alias("sla_cm2_per_g"),
-        F.when(number.isin(4, 5) & leaf, F.col("l_discount")).alias("ldmc"),
-        F.when(number != 7, F.col("l_extendedprice") / 1000).alias("totalRS"),
+        F.when(number.isin(3, 4) & leaf, _cents("l_extendedprice")).alias("sla_cm2_per_g"),
+        F.when(number.isin(4, 5) & leaf, _cents("l_discount")).alias("ldmc"),
+        F.when(number != 7, _cents("l_extendedprice")).alias("totalRS"),
         F.col("l_orderkey"),
-        F.col("l_extendedprice"),
+        F.col("l_quantity"),
     )
 
 
@@ -61,9 +69,9 @@ def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
         .groupBy("c_nationkey", F.year("o_orderdate").alias("Year"))
         .agg(
-            F.avg("o_totalprice").alias("PPT_wt"),
-            F.sum("o_totalprice").alias("MAP"),
-            F.avg("c_acctbal").alias("MAT"),
+            F.avg(_cents("o_totalprice")).alias("PPT_wt"),
+            F.sum(_cents("o_totalprice")).alias("MAP"),
+            F.avg(_cents("c_acctbal")).alias("MAT"),
         )
         .join(nation, F.col("c_nationkey") == nation["n_nationkey"])
         .select(
@@ -83,5 +91,35 @@ def draw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         plants(spark, sf_dir)
         .groupBy((F.col("l_orderkey") % DRAWS_PER_TABLE).alias("draw"), "Population", "Year")
-        .agg(F.avg("l_extendedprice").alias("prediction"))
+        .agg(F.avg("l_quantity").alias("prediction"))
+    )
+
+
+BOUND_COVARIATE = "doy_pp_z"
+BOUND_DESIGN = Design(
+    "fitness_rel", tuple(sorted(POPULATION_OF_TYPE.values())), ("2010", "2017"), (BOUND_COVARIATE,)
+)
+
+
+def coefficient_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A (draw, beta, sigma) table solved from the draw table.
+
+    The coefficients reproduce its cell values, and each population's slope is its
+    change between the cohorts, so every table computed from them can be checked in SQL.
+    """
+    pops, (y0, y1) = BOUND_DESIGN.populations, BOUND_DESIGN.years
+    names = [f"{p}_{y}" for p in pops for y in (y0, y1)]
+    wide = to_wide(draw_table(spark, sf_dir), ["draw"], ["Population", "Year"], names, "prediction")
+    start = lambda p: F.col(f"{p}_{y0}")
+    change = lambda p: F.col(f"{p}_{y1}") - F.col(f"{p}_{y0}")
+    ref = pops[0]
+    beta = {"Intercept": start(ref), f"Year{y1}": change(ref), BOUND_COVARIATE: change(ref)}
+    for p in pops[1:]:
+        beta[f"Population{p}"] = start(p) - start(ref)
+        beta[f"Population{p}:Year{y1}"] = change(p) - change(ref)
+        beta[f"Population{p}:{BOUND_COVARIATE}"] = change(p) - change(ref)
+    return wide.select(
+        "draw",
+        F.array(*[beta[t] for t in BOUND_DESIGN.terms]).alias("beta"),
+        start(ref).alias("sigma"),
     )
