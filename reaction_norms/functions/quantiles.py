@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from reaction_norms.functions.lookup import with_levels
 
+# The sketch is off by at most 1 / ACCURACY of the ranks. Brackets add room for that and
+# for the two neighbouring ranks of an interpolation, which matter below ACCURACY rows:
+# such a small group is its own bracket.
 ACCURACY = 10_000
-MARGIN = 4.0 / ACCURACY
+MARGIN = 8.0 / ACCURACY
 MAX_DRAWS = 100_000
 
 
@@ -68,16 +71,17 @@ def exact_quantiles(
         F.percentile_approx("_v", highs, ACCURACY).alias("_hi"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
+        (F.count(F.lit(1)) < ACCURACY).alias("_small"),
     )
     marks = [
         F.struct(
             F.lit(i).alias("i"),
-            (F.col("_min") if p <= MARGIN else F.col("_lo")[i]).alias("lo"),
-            (F.col("_max") if p >= 1 - MARGIN else F.col("_hi")[i]).alias("hi"),
+            F.when(F.col("_small") | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
+            F.when(F.col("_small") | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
         )
         for i, p in enumerate(probs.values())
     ]
-    bracketed = with_levels(data, brackets, by, ["_lo", "_hi", "_min", "_max"])
+    bracketed = with_levels(data, brackets, by, ["_lo", "_hi", "_min", "_max", "_small"])
     # Per probability: NULL stands for "below the bracket", NaN for "above it";
     # both collapse to one counted row per task before the shuffle.
     kept = bracketed.select(*by, "_v", F.explode(F.array(*marks)).alias("m")).select(

@@ -129,7 +129,8 @@ keyed AS (SELECT draw, Population || '_' || "Year" AS cell, prediction FROM cell
 pops AS (SELECT draw, Population, avg(prediction) AS m FROM cells GROUP BY 1, 2),
 cohorts AS (SELECT draw, "Year", avg(prediction) AS m FROM cells GROUP BY 1, 2),
 celldifs AS (
-  SELECT d.draw, c.var, a.prediction - b.prediction AS dif
+  SELECT d.draw, c.var, a.prediction - b.prediction AS dif,
+         a.prediction IS NOT NULL OR b.prediction IS NOT NULL AS seen
   FROM (SELECT DISTINCT draw FROM cells) d
   CROSS JOIN (VALUES {contrast_values(True)}) c(var, l, r)
   LEFT JOIN keyed a ON a.draw = d.draw AND a.cell = c.l
@@ -161,10 +162,11 @@ def pd(value: str, prefix: str = "") -> str:
 
 # Coefficients solved from the draw table: cell values and cohort changes.
 BOUND = DRAWS + """,
+whole AS (SELECT draw FROM cells GROUP BY 1 HAVING count(*) = 12),
 two AS (
   SELECT a.draw, a.Population, a.prediction AS c0, b.prediction AS c1, b.prediction - a.prediction AS slope
   FROM cells a JOIN cells b ON a.draw = b.draw AND a.Population = b.Population
-  WHERE a."Year" = 2010 AND b."Year" = 2017),
+  WHERE a."Year" = 2010 AND b."Year" = 2017 AND a.draw IN (SELECT draw FROM whole)),
 trends AS (SELECT draw, Population, y AS "Year", slope AS value FROM two, (VALUES ('2010'), ('2017')) v(y)),
 ref AS (SELECT draw, c0, slope FROM two WHERE Population = 'C1'),
 slopepd AS (
@@ -391,7 +393,7 @@ SELECT draw, Population, "Year", {r('prediction')} AS marginal_prediction FROM c
     out["contrast_cohort"] = d + f" SELECT draw, {r('diff_prediction')} AS diff_prediction FROM cohortdifs"
     out["contrast_population"] = d + f" SELECT draw, difference, {r('pred_diff')} AS pred_diff FROM popdifs"
     out["contrast_popcohort"] = d + f" SELECT draw, var, {r('dif')} AS dif FROM celldifs"
-    out["contrast_popcohort_long"] = out["contrast_popcohort"]
+    out["contrast_popcohort_long"] = out["contrast_popcohort"] + " WHERE seen"
     out["pd_cohort"] = d + f" SELECT {pd('diff_prediction')} FROM cohortdifs"
     out["pd_population"] = d + f" SELECT difference, {pd('pred_diff')} FROM popdifs GROUP BY 1"
     out["pd_popcohort"] = d + f" SELECT var, {pd('dif')} FROM celldifs GROUP BY 1"
@@ -400,9 +402,11 @@ SELECT draw, difference, {r('pred_diff')} AS pred_diff, prob_greater_than_zero,
 FROM popdifs JOIN s USING (difference)"""
     out["labels"] = d + f""", s AS (SELECT var, {pd('dif')} FROM celldifs GROUP BY 1)
 SELECT var, var[1:2] AS Population, split_part(var, '-', 1) AS "left", split_part(var, '-', 2) AS "right",
-  'PD(≠0) = ' || regexp_replace(CAST(round_even(probability, 2) AS VARCHAR), '\\.0$', '') AS label FROM s"""
+  'PD(≠0) = ' || regexp_replace(CAST((k // 10000 + CASE WHEN k % 10000 > 5000 OR (k % 10000 = 5000
+    AND k // 10000 % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS VARCHAR), '\\.0$', '') AS label
+FROM (SELECT *, CAST(round(probability * 1000000) AS BIGINT) AS k FROM s)"""
     keep = ", ".join(f"'{p}_2010-{p}_2017'" for p in POPS)
-    out["stars"] = d + f""", s AS (SELECT var, {r('avg(dif)')} AS mean_diff, {pd('dif', 'prob_diff_from_zero')}
+    out["stars"] = d + f""", s AS (SELECT var, {r('CASE WHEN count(dif) = count(*) THEN avg(dif) END')} AS mean_diff, {pd('dif', 'prob_diff_from_zero')}
   FROM celldifs WHERE var IN ({keep}) GROUP BY 1)
 SELECT *, CASE WHEN prob_diff_from_zero >= 0.999 THEN '***' WHEN prob_diff_from_zero >= 0.99 THEN '**'
   WHEN prob_diff_from_zero >= 0.95 THEN '*' ELSE '' END AS significance, var[1:2] AS Population FROM s"""
@@ -414,8 +418,9 @@ SELECT Population, "Year", {q('prediction', 0.5)} AS median, {q('prediction', 0.
 SELECT draw, Population, "Year", {r('prediction')} AS prediction FROM cells ORDER BY draw, Population, "Year" LIMIT 6"""
 
     b = "WITH " + BOUND
-    out["epred_cells"] = draws + f"""
-SELECT draw, Population, CAST("Year" AS VARCHAR) AS "Year", {r('prediction')} AS prediction FROM cells"""
+    out["epred_cells"] = b + f"""
+SELECT draw, Population, CAST("Year" AS VARCHAR) AS "Year", {r('prediction')} AS prediction
+FROM cells WHERE draw IN (SELECT draw FROM whole)"""
     out["coef_summary"] = b + f""", t AS ({bound_terms()})
 SELECT CAST(idx AS BIGINT) AS idx, term, {r('avg(v)')} AS estimate, {r('stddev_samp(v)')} AS est_error,
   {q('v', 0.025)} AS lower, {q('v', 0.975)} AS upper FROM t GROUP BY 1, 2"""

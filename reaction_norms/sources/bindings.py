@@ -106,6 +106,7 @@ def coefficient_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The coefficients reproduce its cell values, and each population's slope is its
     change between the cohorts, so every table computed from them can be checked in SQL.
+    A coefficient vector needs every cell, so draws without one of them have no row.
     """
     pops, (y0, y1) = BOUND_DESIGN.populations, BOUND_DESIGN.years
     names = [f"{p}_{y}" for p in pops for y in (y0, y1)]
@@ -118,7 +119,7 @@ def coefficient_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         beta[f"Population{p}"] = start(p) - start(ref)
         beta[f"Population{p}:Year{y1}"] = change(p) - change(ref)
         beta[f"Population{p}:{BOUND_COVARIATE}"] = change(p) - change(ref)
-    return wide.select(
+    return wide.dropna(subset=names).select(
         "draw",
         F.array(*[beta[t] for t in BOUND_DESIGN.terms]).alias("beta"),
         start(ref).alias("sigma"),
