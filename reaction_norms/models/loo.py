@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reaction_norms.models.design import Design
-from reaction_norms.models.gaussian import draw_matrix
+from reaction_norms.models.gaussian import GaussianFit, draw_matrix
 
 BATCH = 128
+ROWS_PER_TASK = 10_000
 
 
 def _logsumexp(a: np.ndarray) -> np.ndarray:
@@ -85,22 +85,28 @@ def score_rows(x: np.ndarray, y: np.ndarray, beta: np.ndarray, sigma: np.ndarray
 
 
 def loo_pointwise(
-    df: DataFrame, models: Mapping[str, tuple[Design, DataFrame]], keep: Sequence[str] = ()
+    df: DataFrame, models: Mapping[str, tuple[GaussianFit, DataFrame]], keep: Sequence[str] = ()
 ) -> DataFrame:
     """Per data row and model: ``elpd_<m>``, ``lpd_<m>``, ``pareto_k_<m>``.
 
-    All models are scored in the same pass, so comparing them needs no join. Rows must
-    be complete for every model.
+    ``models`` maps a name to (fit, draws). All are scored in the same pass, so comparing
+    them needs no join; rows must be complete for every model. Scoring a row costs
+    milliseconds while reading it costs nothing, so rows are spread evenly over tasks by
+    their number, not by their bytes.
     """
     packed = {}
     rows = df
     columns = []
-    for name, (design, draws) in models.items():
+    for name, (fit, draws) in models.items():
+        design = fit.design
         beta, sigma = draw_matrix(draws)
         packed[name] = (len(design.terms), beta, sigma)
         rows = design.complete_cases(rows)
         columns.append(F.array(*design.row()).alias(f"x_{name}"))
         columns.append(F.col(design.response).cast("double").alias(f"y_{name}"))
+    n = max(fit.n for fit, _ in models.values())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-n // ROWS_PER_TASK), min(cores, -(-n // BATCH)))
     schema = T.StructType([df.schema[c] for c in keep])
     for name in models:
         for part in ("elpd", "lpd", "pareto_k"):
@@ -118,7 +124,7 @@ def loo_pointwise(
                         out[f"{label}_{name}"] = values
                 yield pd.DataFrame(out)
 
-    return rows.select(*keep, *columns).mapInPandas(score, schema)
+    return rows.select(*keep, *columns).repartition(tasks).mapInPandas(score, schema)
 
 
 def _sum_se(col) -> tuple:

@@ -20,7 +20,8 @@ def box_summary(
     """Quartiles, whiskers within 1.5 IQR, and counts per group of factor columns.
 
     ``limits`` drops values outside an axis range before any statistic. Groups may hold
-    any number of rows: the quartiles come from ``exact_quantiles``.
+    any number of rows: the quartiles come from ``exact_quantiles``. The input is read
+    three times, so store a derived one first (``session.materialize``).
     """
     shown = censor(value, *limits) if limits else F.col(value)
     rows = df.select(*by, shown.cast("double").alias("_v")).where(F.col("_v").isNotNull())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reaction_norms.functions.columns import key_text, mean
-from reaction_norms.functions.lookup import level_map, level_values, look_up
+from reaction_norms.functions.lookup import level_map, look_up
 
 # Factor levels of the study design.
 POPULATIONS = ("N1", "N2", "C1", "C2", "S1", "S2")
@@ -72,28 +72,30 @@ def _by_trait(traits: Sequence[Trait], expr) -> Column:
     return out
 
 
-def measurements(plants: DataFrame, *traits: Trait) -> DataFrame:
-    """Long (trait, family, population, cohort, garden, value); missing values dropped.
+def _moments(n: Column, total: Column, low: Column) -> Column:
+    return F.array(n.cast("double"), total, low)
 
-    One trait is a plain filtered projection (the not-null filter reaches the scan);
-    several traits share one scan.
+
+def cell_moments(plants: DataFrame, *traits: Trait) -> DataFrame:
+    """Per (trait, family, population, cohort, garden): ``m = [n, sum, min]``.
+
+    All traits are reduced in one aggregate, one hash lookup per plant, and split into
+    rows afterwards. The not-null filter reaches the scan.
     """
-    keys = ("Dam_ID", "Population", "Year", "garden")
+    cols = {t.name: F.col(t.column).cast("double") for t in traits}
+    measured = reduce(lambda a, b: a | b, [F.col(t.column).isNotNull() for t in traits])
+    wide = (
+        plants.where(measured)
+        .groupBy(*CELL[1:], "garden")
+        .agg(*[_moments(F.count(c), F.sum(c), F.min(c)).alias(f"_m_{n}") for n, c in cols.items()])
+    )
     if len(traits) == 1:
-        t = traits[0]
-        return plants.where(F.col(t.column).isNotNull()).select(
-            F.lit(t.name).alias("trait"), *keys, F.col(t.column).cast("double").alias("value")
-        )
-    cells = [
-        F.when(
-            F.col(t.column).isNotNull(),
-            F.struct(F.lit(t.name).alias("trait"), F.col(t.column).cast("double").alias("value")),
-        )
-        for t in traits
-    ]
-    return plants.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_m")).select(
-        "_m.trait", *keys, "_m.value"
+        name = traits[0].name
+        return wide.select(F.lit(name).alias("trait"), *CELL[1:], "garden", F.col(f"_m_{name}").alias("m"))
+    rows = F.array(
+        *[F.struct(F.lit(n).alias("trait"), F.col(f"_m_{n}").alias("m")) for n in cols]
     )
+    return wide.select(*CELL[1:], "garden", F.inline(rows)).where(F.col("m")[0] > 0)
 
 
 # --------------------------------------------------------------------------- gates
@@ -149,23 +151,14 @@ def eligible_plants(plants: DataFrame, trait: Trait, null_safe: bool = True) ->
     return semi_join(measured, eligible_families(plants, trait), "Dam_ID", null_safe)
 
 
-def gated_cells(plants: DataFrame, *traits: Trait) -> DataFrame:
-    """Cells of eligible families with their moments ``m = [n, sum, min]``.
+def gate_cells(cells: DataFrame, traits: Sequence[Trait]) -> DataFrame:
+    """Cells of eligible families, from every cohort of the family.
 
     The moments travel as one array, so every reader of the cells asks the first
     shuffle for the same columns and Spark reuses it instead of scanning again. The
-    second shuffle, of cells only, serves both windows and the family totals.
-    The windows hold the cells of one family: populations x cohorts x gardens.
+    second shuffle, of cells only, serves both windows and the family totals. The
+    windows hold the cells of one family: traits x populations x cohorts x gardens.
     """
-    cells = (
-        measurements(plants, *traits)
-        .groupBy(*CELL, "garden")
-        .agg(
-            F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_s"), F.min("value").alias("_lo")
-        )
-        .select(*CELL, "garden", F.array(F.col("_n").cast("double"), "_s", "_lo").alias("m"))
-        .repartition("Dam_ID")
-    )
     cohort, family = Window.partitionBy(*FAMILY, "Year"), Window.partitionBy(*FAMILY)
     envs = dict.fromkeys(env for t in traits for env in t.envs)
     reps = {
@@ -176,13 +169,19 @@ def gated_cells(plants: DataFrame, *traits: Trait) -> DataFrame:
     }
     passes = _by_trait(traits, lambda t: _all([reps[e] >= t.min_reps for e in t.envs]))
     return (
-        cells.withColumn("_year_ok", passes)
-        .withColumn("_ok", F.max("_year_ok").over(family))
+        cells.repartition("Dam_ID")
+        .select("*", passes.alias("_year_ok"))
+        .select(*CELL, "garden", "m", F.max("_year_ok").over(family).alias("_ok"))
         .where("_ok")
-        .drop("_year_ok", "_ok")
+        .drop("_ok")
     )
 
 
+def gated_cells(plants: DataFrame, *traits: Trait) -> DataFrame:
+    """Moments of the eligible families' cells, straight from the plants."""
+    return gate_cells(cell_moments(plants, *traits), traits)
+
+
 # --------------------------------------------------------------------- environments
 
 
@@ -258,39 +257,44 @@ def _trait_scale(cells: DataFrame, traits: Sequence[Trait]) -> Column:
 
 
 def _family_sums(
-    plants: DataFrame,
+    cells: DataFrame,
     traits: Sequence[Trait],
     populations: Sequence[str] | None,
     years: Sequence[int] | None,
 ) -> DataFrame:
-    """Second gate: one row per family x population x cohort with n and centred s per garden.
+    """Second gate on gated cells: one row per family x population x cohort with the
+    replicate count, centred sum and centring shift per garden, and the global mean.
 
     A missing family is part of the first gate and of the global mean, but is not a
     family of its own here, and only declared populations and cohorts are indexed.
     """
-    cells = gated_cells(plants, *traits)
     envs = list(dict.fromkeys(env for t in traits for env in t.envs))
     pick = lambda env, i: F.sum(F.when(F.col("garden") == env, F.col("m")[i]))
-    family = (
-        cells.groupBy(*CELL)
-        .agg(
-            *[F.coalesce(pick(e, 0), F.lit(0.0)).alias(f"n_{e}") for e in envs],
-            *[pick(e, 1).alias(f"s_{e}") for e in envs],
-        )
+    family = cells.groupBy(*CELL).agg(
+        *[F.coalesce(pick(e, 0), F.lit(0.0)).alias(f"n_{e}") for e in envs],
+        *[pick(e, 1).alias(f"s_{e}") for e in envs],
     )
-    family = family.where(
-        F.col("Population").isin(*populations) if populations else F.col("Population").isNotNull()
-    ).where(F.col("Year").isin(*years) if years else F.col("Year").isNotNull())
     enough = _by_trait(traits, lambda t: _all([F.col(f"n_{e}") >= t.min_reps for e in t.envs]))
+    pop, year = F.col("Population"), F.col("Year")
+    # The family test is tied to the counts, so that it stays above the shared shuffle.
+    kept = (
+        F.when(F.col("Dam_ID").isNull(), False).otherwise(enough)
+        & (pop.isin(*populations) if populations else pop.isNotNull())
+        & (year.isin(*years) if years else year.isNotNull())
+    )
     scale = look_up(_trait_scale(cells, traits), F.col("trait"))
-    # One predicate over counts, so that it stays above the shared shuffle.
-    family = family.where(F.when(F.col("Dam_ID").isNull(), False).otherwise(enough))
-    family = family.withColumn("_scale", scale)
-    for e in envs:
-        low = look_up(F.col("_scale")["lo"], F.lit(e).alias("garden"))["lo"]
-        shifted = F.col(f"s_{e}") - F.col(f"n_{e}") * low
-        family = family.withColumn(f"s_{e}", shifted)
-    return family.withColumn("global_mean", F.col("_scale")["global_mean"]).drop("_scale")
+    low = {e: look_up(F.col("_scale")["lo"], F.lit(e).alias("garden"))["lo"] for e in envs}
+    return (
+        family.where(kept)
+        .select("*", scale.alias("_scale"))
+        .select(
+            *CELL,
+            *[F.col(f"n_{e}") for e in envs],
+            *[(F.col(f"s_{e}") - F.col(f"n_{e}") * low[e]).alias(f"s_{e}") for e in envs],
+            *[low[e].alias(f"lo_{e}") for e in envs],
+            F.col("_scale")["global_mean"].alias("global_mean"),
+        )
+    )
 
 
 def _pair_sum(a: str, b: str) -> Column:
@@ -312,7 +316,7 @@ def pair_totals(
 
     The pair table summed up, in closed form: linear in the number of plants.
     """
-    family = _family_sums(plants, [trait], populations, years)
+    family = _family_sums(gated_cells(plants, trait), [trait], populations, years)
     rows = F.explode(
         F.array(
             *[
@@ -346,7 +350,7 @@ def plasticity_indices(
     years: Sequence[int] | None = COHORTS,
 ) -> DataFrame:
     """Long (trait, Dam_ID, pop_year, Population, Year, plasticity, global_mean) in one scan."""
-    family = _family_sums(plants, traits, populations, years)
+    family = _family_sums(gated_cells(plants, *traits), traits, populations, years)
     total = lambda t, f: reduce(lambda x, y: x + y, [f(a, b) for a, b in t.pairs])
     index = _by_trait(
         traits,
@@ -417,22 +421,31 @@ def pairwise_differences(
     keys; ordinary families keep one.
     """
     t, key = trait, list(CELL)
+    value = F.col(t.column).cast("double")
     values = (
-        measurements(plants, t)
-        .groupBy(*key, "garden", "value")
+        plants.where(F.col(t.column).isNotNull())
+        .groupBy(*CELL[1:], "garden", value.alias("value"))
         .agg(F.count(F.lit(1)).alias("c"))
+        .select(F.lit(t.name).alias("trait"), *CELL[1:], "garden", "value", "c")
+    )
+    # The gates and means come from the same counted values: the plants are read once.
+    cells = values.groupBy(*key, "garden").agg(
+        _moments(F.sum("c"), F.sum(F.col("value") * F.col("c")), F.min("value")).alias("m")
     )
     parts = [
         F.ceil(F.count_if(F.col("garden") == e) / CHUNK).cast("int").alias(f"parts_{e}")
         for e in t.envs
     ]
     valid = (
-        _family_sums(plants, [t], populations, years)
-        .select(*key, "global_mean")
+        _family_sums(gate_cells(cells, [t]), [t], populations, years)
+        .select(*key, "global_mean", *[f"lo_{e}" for e in t.envs])
         .join(values.groupBy(*key).agg(*parts), key)
     )
-    scale = look_up(_trait_scale(gated_cells(plants, t), [t]), F.lit(t.name).alias("trait"))
-    low = look_up(scale["lo"], F.col("garden").alias("garden"))["lo"]
+    low = reduce(
+        lambda acc, e: acc.when(F.col("garden") == e, F.col(f"lo_{e}")),
+        t.envs[1:],
+        F.when(F.col("garden") == t.envs[0], F.col(f"lo_{t.envs[0]}")),
+    )
     members = values.join(valid, key).withColumn("value", F.col("value") - low)
 
     def side(position: int, value: str, count: str) -> DataFrame:
@@ -497,11 +510,6 @@ def sample_sizes(plants: DataFrame, traits: Sequence[Trait] = TRAITS) -> DataFra
     )
 
 
-def garden_levels(plants: DataFrame) -> list:
-    """Environment levels found in the data (size-checked)."""
-    return level_values(plants, "garden")
-
-
 def group_means(df: DataFrame, by: Sequence[str], cols: Sequence[str], na_rm: bool = False) -> DataFrame:
     """Group means of one or more columns with explicit missing-value handling."""
     return df.groupBy(*by).agg(*[mean(c, na_rm).alias(f"mean_{c}") for c in cols])

@@ -460,8 +460,8 @@ def _loo(spark, d, traits: Sequence[P.Trait]) -> dict[str, DataFrame]:
     for t in traits:
         models = {}
         for name, quadratic in (("linear", False), ("quadratic", True)):
-            design, fit = _selection_model(data, t, quadratic)
-            models[name] = (design, fit.draws(spark))
+            _, fit = _selection_model(data, t, quadratic)
+            models[name] = (fit, fit.draws(spark))
         out[t.name] = L.loo_pointwise(data, models, ["Dam_ID"])
     return out
 
@@ -536,13 +536,14 @@ def conditional_effects(spark, d):
 def box_garden(spark, d):
     """Raw trait by garden x population over the eligible plants."""
     plants = B.plants(spark, d).select("Dam_ID", "Population", "Year", "garden", P.DOY.column)
-    return tidy(G.box_summary(P.eligible_plants(plants, P.DOY), P.DOY.column, ["garden", "Population"]))
+    eligible = P.eligible_plants(plants, P.DOY).select("garden", "Population", P.DOY.column)
+    return tidy(G.box_summary(materialize(eligible), P.DOY.column, ["garden", "Population"]))
 
 
 @query
 def box_summary(spark, d):
     """Family index by population x cohort, within the axis range."""
-    index = P.plasticity_index(B.plants(spark, d), P.DOY)
+    index = _index(spark, d, P.DOY)
     return tidy(G.box_summary(index, "doy_plasticity", ["Population", "Year"], INDEX_LIMITS))
 
 
