@@ -43,45 +43,57 @@ def _pareto_fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (shape * n + 5.0) / (n + 10.0), scale
 
 
-def psis(log_ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed, normalised log weights (rows x draws) and the tail shape k per row."""
-    rows, s = log_ratio.shape
-    lw = log_ratio - log_ratio.max(axis=1, keepdims=True)
+def smooth_tail(lw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest log weights of each row: (positions, smoothed values, tail shape k).
+
+    ``lw`` has a row maximum of 0. Only the tail changes, so callers keep the rest.
+    """
+    rows, s = lw.shape
     k = np.full(rows, np.inf)
     tail = int(np.ceil(min(0.2 * s, 3.0 * np.sqrt(s))))
-    if tail >= 5 and s > tail:
-        order = np.argpartition(lw, s - tail - 1, axis=1)
-        cut = np.take_along_axis(lw, order[:, s - tail - 1 : s - tail], axis=1)
-        where = order[:, s - tail :]
-        top = np.take_along_axis(lw, where, axis=1)
-        by_size = np.argsort(top, axis=1)
-        where, top = np.take_along_axis(where, by_size, axis=1), np.take_along_axis(top, by_size, axis=1)
-        cut = np.maximum(cut, np.log(np.finfo(float).tiny))
-        # A flat tail (all equal) needs no smoothing.
-        varied = (top[:, -1] - top[:, 0]) > np.finfo(float).eps * 100
-        varied &= (top[:, 0] - cut[:, 0]) > 0
-        if varied.any():
-            excess = np.exp(top[varied]) - np.exp(cut[varied])
-            shape, scale = _pareto_fit(excess)
-            p = (np.arange(1, tail + 1) - 0.5) / tail
-            step = np.expm1(-shape[:, None] * np.log1p(-p)) / shape[:, None]
-            smooth = np.log(scale[:, None] * step + np.exp(cut[varied]))
-            good = np.isfinite(shape) & np.isfinite(smooth).all(axis=1)
-            new = np.where(good[:, None], np.minimum(smooth, 0.0), top[varied])
-            block = lw[varied]
-            np.put_along_axis(block, where[varied], new, axis=1)
-            lw[varied] = block
-            k[varied] = np.where(good, shape, np.inf)
-    return lw - _logsumexp(lw)[:, None], k
+    if tail < 5:
+        return np.empty((rows, 0), dtype=int), np.empty((rows, 0)), k
+    order = np.argpartition(lw, s - tail - 1, axis=1)[:, s - tail - 1 :]
+    cut = np.take_along_axis(lw, order[:, :1], axis=1)
+    cut = np.maximum(cut, np.log(np.finfo(float).tiny))
+    where = order[:, 1:]
+    top = np.take_along_axis(lw, where, axis=1)
+    by_size = np.argsort(top, axis=1)
+    where, top = np.take_along_axis(where, by_size, axis=1), np.take_along_axis(top, by_size, axis=1)
+    # A flat tail (all equal) needs no smoothing.
+    varied = (top[:, -1] - top[:, 0] > np.finfo(float).eps * 100) & (top[:, 0] > cut[:, 0])
+    if varied.any():
+        floor = np.exp(cut[varied])
+        shape, scale = _pareto_fit(np.exp(top[varied]) - floor)
+        p = (np.arange(1, tail + 1) - 0.5) / tail
+        step = np.expm1(-shape[:, None] * np.log1p(-p)) / shape[:, None]
+        smooth = np.log(scale[:, None] * step + floor)
+        good = np.isfinite(shape) & np.isfinite(smooth).all(axis=1)
+        top[varied] = np.where(good[:, None], np.minimum(smooth, 0.0), top[varied])
+        k[varied] = np.where(good, shape, np.inf)
+    return where, top, k
 
 
 def score_rows(x: np.ndarray, y: np.ndarray, beta: np.ndarray, sigma: np.ndarray):
-    """(elpd, in-sample lpd, tail shape) of each row."""
+    """(elpd, in-sample lpd, tail shape) of each row.
+
+    Outside the tail a weight is the inverse likelihood, so weight times likelihood is
+    constant there: only two passes of ``exp`` over the draws are needed.
+    """
     s = len(sigma)
-    resid = (y[:, None] - x @ beta.T) / sigma
-    loglik = -0.5 * resid**2 - np.log(sigma) - 0.5 * np.log(2 * np.pi)
-    weights, k = psis(-loglik)
-    return _logsumexp(loglik + weights), _logsumexp(loglik) - np.log(s), k
+    loglik = (y[:, None] - x @ beta.T) / sigma
+    loglik *= loglik
+    loglik *= -0.5
+    loglik -= np.log(sigma) + 0.5 * np.log(2 * np.pi)
+    low, high = loglik.min(axis=1, keepdims=True), loglik.max(axis=1, keepdims=True)
+    lpd = np.log(np.exp(loglik - high).sum(axis=1)) + high[:, 0] - np.log(s)
+    lw = low - loglik
+    where, smoothed, k = smooth_tail(lw)
+    raw_tail = np.take_along_axis(lw, where, axis=1)
+    total = np.exp(lw).sum(axis=1) - np.exp(raw_tail).sum(axis=1) + np.exp(smoothed).sum(axis=1)
+    # In units of the lowest likelihood of the row.
+    weighted = (s - where.shape[1]) + np.exp(smoothed - raw_tail).sum(axis=1)
+    return np.log(weighted) + low[:, 0] - np.log(total), lpd, k
 
 
 def loo_pointwise(

@@ -246,14 +246,16 @@ def with_found_pairs(plants: DataFrame, trait: Trait) -> Trait:
 
 
 def _trait_scale(cells: DataFrame, traits: Sequence[Trait]) -> Column:
-    """Scalar map trait -> (global mean, garden minima), read once per query."""
+    """One scalar struct per query: each trait's global mean and centring shifts."""
     sums = _env_sums(cells, traits)
-    entry = F.struct(F.col("garden").alias("garden"))
-    per_trait = sums.groupBy("trait").agg(
-        F.try_divide(F.sum("s"), F.sum("n")).alias("global_mean"),
-        F.map_from_entries(F.collect_list(F.struct(entry, F.struct("lo")))).alias("lo"),
-    )
-    return level_map(per_trait, ["trait"], ["global_mean", "lo"])
+    parts = []
+    for t in traits:
+        mine = lambda c, t=t: F.when(F.col("trait") == t.name, F.col(c))
+        parts.append(F.try_divide(F.sum(mine("s")), F.sum(mine("n"))).alias(f"mean_{t.name}"))
+        parts += [
+            F.max(F.when(F.col("garden") == e, mine("lo"))).alias(f"lo_{t.name}_{e}") for e in t.envs
+        ]
+    return sums.agg(F.struct(*parts).alias("scale")).scalar()
 
 
 def _family_sums(
@@ -282,17 +284,22 @@ def _family_sums(
         & (pop.isin(*populations) if populations else pop.isNotNull())
         & (year.isin(*years) if years else year.isNotNull())
     )
-    scale = look_up(_trait_scale(cells, traits), F.col("trait"))
-    low = {e: look_up(F.col("_scale")["lo"], F.lit(e).alias("garden"))["lo"] for e in envs}
+    low = {
+        e: _by_trait(
+            traits,
+            lambda t, e=e: F.col("_scale")[f"lo_{t.name}_{e}"] if e in t.envs else F.lit(0.0),
+        )
+        for e in envs
+    }
     return (
         family.where(kept)
-        .select("*", scale.alias("_scale"))
+        .select("*", _trait_scale(cells, traits).alias("_scale"))
         .select(
             *CELL,
             *[F.col(f"n_{e}") for e in envs],
             *[(F.col(f"s_{e}") - F.col(f"n_{e}") * low[e]).alias(f"s_{e}") for e in envs],
             *[low[e].alias(f"lo_{e}") for e in envs],
-            F.col("_scale")["global_mean"].alias("global_mean"),
+            _by_trait(traits, lambda t: F.col("_scale")[f"mean_{t.name}"]).alias("global_mean"),
         )
     )
 

@@ -24,8 +24,19 @@ EVENT_YEARS = (1999, 2000)
 DRAWS_PER_TABLE = 200
 
 
+# The columns used, so that opening a table starts no schema-inference job.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_returnflag string",
+    "part": "p_partkey bigint, p_type string, p_size int",
+    "orders": "o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _recode(col: Column, mapping: dict[str, str]) -> Column:
