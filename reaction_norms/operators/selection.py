@@ -94,7 +94,7 @@ def standardize(
 ) -> DataFrame:
     """Global z-scores, and columns divided by their global mean (``{new: old}``)."""
     relative = dict(relative or {})
-    stats = global_stats(df, [*cols, *relative.values()])
+    stats = global_stats(df, list(dict.fromkeys([*cols, *relative.values()])))
     out = df.withColumn("_stats", stats)
     z = [
         F.try_divide(F.col(c) - F.col(f"_stats.avg_{c}"), F.col(f"_stats.sd_{c}")).alias(names.format(c))
