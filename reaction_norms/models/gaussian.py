@@ -82,7 +82,9 @@ class GaussianFit:
 
 def fit_gaussian(df: DataFrame, design: Design, prior: Prior | None = None) -> GaussianFit:
     """Fit by one distributed pass; missing rows are dropped listwise."""
-    rows = design.moments(df).limit(MAX_LEVELS).collect()
+    rows = design.moments(df).limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} population x cohort cells")
     if not rows:
         raise ValueError("no complete rows to fit")
     p, k = len(design.terms), len(design.covariates)

@@ -72,8 +72,8 @@ def _by_trait(traits: Sequence[Trait], expr) -> Column:
     return out
 
 
-def _moments(n: Column, total: Column, low: Column) -> Column:
-    return F.array(n.cast("double"), total, low)
+def _moments(*parts: Column) -> Column:
+    return F.array(*[p.cast("double") for p in parts])
 
 
 def cell_moments(plants: DataFrame, *traits: Trait) -> DataFrame:
@@ -110,6 +110,19 @@ def replicate_counts(plants: DataFrame, trait: Trait) -> DataFrame:
     )
 
 
+def replicate_counts_wide(plants: DataFrame, trait: Trait) -> DataFrame:
+    """Replicates per garden beside each other, per eligible family x population x cohort.
+
+    A garden without plants is missing, as after a full outer merge of the counts.
+    """
+    reps = lambda e: F.sum(F.when(F.col("garden") == e, F.col("m")[0]))
+    return (
+        gated_cells(plants, trait)
+        .groupBy(*CELL[1:])
+        .agg(*[reps(e).cast("bigint").alias(f"{e}_reps") for e in trait.envs])
+    )
+
+
 def gate_table(plants: DataFrame, trait: Trait) -> DataFrame:
     """Per family x cohort: 0/1 per garden with enough replicates, and ``both`` for all.
 
@@ -263,9 +276,11 @@ def _family_sums(
     traits: Sequence[Trait],
     populations: Sequence[str] | None,
     years: Sequence[int] | None,
+    sizes: bool = False,
 ) -> DataFrame:
     """Second gate on gated cells: one row per family x population x cohort with the
     replicate count, centred sum and centring shift per garden, and the global mean.
+    ``sizes`` adds a fourth moment, the number of distinct values per garden.
 
     A missing family is part of the first gate and of the global mean, but is not a
     family of its own here, and only declared populations and cohorts are indexed.
@@ -275,6 +290,7 @@ def _family_sums(
     family = cells.groupBy(*CELL).agg(
         *[F.coalesce(pick(e, 0), F.lit(0.0)).alias(f"n_{e}") for e in envs],
         *[pick(e, 1).alias(f"s_{e}") for e in envs],
+        *[pick(e, 3).alias(f"d_{e}") for e in envs if sizes],
     )
     enough = _by_trait(traits, lambda t: _all([F.col(f"n_{e}") >= t.min_reps for e in t.envs]))
     pop, year = F.col("Population"), F.col("Year")
@@ -299,6 +315,7 @@ def _family_sums(
             *[F.col(f"n_{e}") for e in envs],
             *[(F.col(f"s_{e}") - F.col(f"n_{e}") * low[e]).alias(f"s_{e}") for e in envs],
             *[low[e].alias(f"lo_{e}") for e in envs],
+            *[F.col(f"d_{e}") for e in envs if sizes],
             _by_trait(traits, lambda t: F.col("_scale")[f"mean_{t.name}"]).alias("global_mean"),
         )
     )
@@ -436,24 +453,23 @@ def pairwise_differences(
         .select(F.lit(t.name).alias("trait"), *CELL[1:], "garden", "value", "c")
     )
     # The gates and means come from the same counted values: the plants are read once.
-    cells = values.groupBy(*key, "garden").agg(
-        _moments(F.sum("c"), F.sum(F.col("value") * F.col("c")), F.min("value")).alias("m")
-    )
-    parts = [
-        F.ceil(F.count_if(F.col("garden") == e) / CHUNK).cast("int").alias(f"parts_{e}")
-        for e in t.envs
-    ]
-    valid = (
-        _family_sums(gate_cells(cells, [t]), [t], populations, years)
-        .select(*key, "global_mean", *[f"lo_{e}" for e in t.envs])
-        .join(values.groupBy(*key).agg(*parts), key)
+    moments = (F.sum("c"), F.sum(F.col("value") * F.col("c")), F.min("value"), F.count(F.lit(1)))
+    cells = values.groupBy(*key, "garden").agg(_moments(*moments).alias("m"))
+    valid = _family_sums(gate_cells(cells, [t]), [t], populations, years, sizes=True).select(
+        *[F.col(k).alias(f"_{k}") for k in key],
+        "global_mean",
+        *[f"lo_{e}" for e in t.envs],
+        *[F.ceil(F.col(f"d_{e}") / CHUNK).cast("int").alias(f"parts_{e}") for e in t.envs],
     )
     low = reduce(
         lambda acc, e: acc.when(F.col("garden") == e, F.col(f"lo_{e}")),
         t.envs[1:],
         F.when(F.col("garden") == t.envs[0], F.col(f"lo_{t.envs[0]}")),
     )
-    members = values.join(valid, key).withColumn("value", F.col("value") - low)
+    # Null-safe although valid keys are never missing: plain joins would push not-null
+    # filters into one branch only and so scan the plants twice.
+    same = _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    members = values.join(valid, same).withColumn("value", F.col("value") - low)
 
     def side(position: int, value: str, count: str) -> DataFrame:
         """Rows playing one side of each pair they take part in."""
@@ -479,9 +495,14 @@ def pairwise_differences(
         side(1, "v2", "c2")
         .drop("global_mean")
         .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        .withColumnsRenamed({k: f"_{k}" for k in key})
     )
     difference = F.col("v1") - F.col("v2")
-    return left.drop("parts").join(right.drop("parts"), [*key, "a", "b", "part"]).select(
+    right = right.select("*", *[F.col(c).alias(f"_{c}") for c in ("a", "b", "part")]).drop(
+        "a", "b", "part", "parts"
+    )
+    matched = _all([same, *[F.col(c) == F.col(f"_{c}") for c in ("a", "b", "part")]])
+    return left.drop("parts").join(right, matched).select(
         "Dam_ID",
         key_text("Population", "Year").alias("pop_year"),
         F.col("a").alias("garden_1"),

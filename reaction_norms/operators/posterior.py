@@ -138,6 +138,13 @@ def slope_table(slopes: DataFrame, trait_label: str) -> DataFrame:
     )
 
 
+def reference_population(levels: DataFrame, terms: DataFrame) -> DataFrame:
+    """Populations without a term of their own: declared levels minus those seen in names."""
+    seen = F.regexp_extract("name", r"^Population([^:]+)", 1)
+    named = terms.select(seen.alias("Population")).where(F.col("Population") != "").distinct()
+    return levels.select("Population").where(F.col("Population").isNotNull()).subtract(named)
+
+
 def slope_probability(trends: DataFrame) -> DataFrame:
     """Mean slope and probability that it differs from zero per population x cohort."""
     above, below, larger = C.probability_of_difference("value")

@@ -35,18 +35,19 @@ def to_wide(
 
 
 def level_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Every combination of the observed levels of factor columns (levels are size-checked)."""
-    def levels(c: str):
-        found = F.collect_set(c)
-        return F.when(F.size(found) <= MAX_LEVELS, found).otherwise(
+    """Every combination of the observed levels of factor columns, missing ones excluded.
+
+    Each further column's levels reach the rows as one scalar array of checked length.
+    """
+    first, *rest = cols
+    out = df.select(first).where(F.col(first).isNotNull()).distinct()
+    for c in rest:
+        levels = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1)
+        listed = F.when(F.count(c) <= MAX_LEVELS, F.collect_list(c)).otherwise(
             F.raise_error(F.lit(f"more than {MAX_LEVELS} levels of {c}"))
         )
-
-    rows = df.select(*cols).distinct().agg(*[levels(c).alias(c) for c in cols])
-    for c in cols:
-        rest = [x for x in cols if x != c]
-        rows = rows.select(*rest, F.explode(c).alias(c))
-    return rows.select(*cols)
+        out = out.select("*", F.explode(levels.agg(listed.alias("l")).scalar()).alias(c))
+    return out
 
 
 def population_contrasts(populations: Sequence[str] = CONTRAST_POPULATIONS) -> list[Contrast]:

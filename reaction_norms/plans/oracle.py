@@ -298,6 +298,16 @@ FROM focal LEFT JOIN base USING (ID1) WHERE "Year" BETWEEN 1999 AND 2001"""
         w = with_gate(t)
         flags = ", ".join(f"CAST(N_{e} AS BIGINT) AS N_{e}" for e in envs(t))
         out[f"replicate_counts_{t}"] = w + f" SELECT * FROM counts_{t}"
+        full, keys = f"c_{envs(t)[0]}", 'Dam_ID, Population, "Year"'
+        each = ",".join(
+            f"""
+c_{e} AS (SELECT {keys}, count(*) AS {e}_reps FROM sub_{t} WHERE garden = '{e}' GROUP BY 1, 2, 3)"""
+            for e in envs(t)
+        )
+        for e in envs(t)[1:]:
+            full += f" FULL OUTER JOIN c_{e} USING ({keys})"
+        reps = ", ".join(f"{e}_reps" for e in envs(t))
+        out[f"replicate_counts_wide_{t}"] = f"{w}, {each} SELECT {keys}, {reps} FROM {full}"
         out[f"gate_{t}"] = w + f' SELECT Dam_ID, "Year", {flags}, CAST(both_ AS BIGINT) AS "both" FROM gate_{t}'
         out[f"gate_frequency_{t}"] = w + f' SELECT CAST(both_ AS BIGINT) AS "both", count(*) AS n FROM gate_{t} GROUP BY 1'
         out[f"eligible_{t}"] = w + f" SELECT Dam_ID FROM elig_{t}"
@@ -446,12 +456,17 @@ SELECT Population, "Year", i, {r('max(doy_pp_z)', 5)} AS doy_pp_z, {r('quantile_
         for w in (0.66, 0.95)
     )
     out["halfeye_intervals"] = b + " " + widths
-    out["box_garden"] = doy + "," + box("sub_doy", "raw", "garden, Population")
-    out["box_summary"] = doy + "," + box(
-        "index_doy",
-        "CASE WHEN doy_plasticity BETWEEN -0.25 AND 1.2 THEN doy_plasticity END",
-        'Population, "Year"',
+    for t in TRAITS:
+        w = with_gate(t) + ","
+        out[f"box_garden_{t}"] = w + box(f"sub_{t}", "raw", "garden, Population")
+        index = r(f"{t}_plasticity", 9)
+        shown = f"CASE WHEN {index} BETWEEN -0.25 AND 1.2 THEN {index} END"
+        out[f"box_index_{t}"] = w + box(f"index_{t}", shown, 'Population, "Year"')
+    out["box_centered"] = doy + "," + box("sub_doy", "v", "garden, Population")
+    out["halfeye_density"] = b + ", t10 AS (SELECT * FROM trends WHERE \"Year\" = '2010')," + density(
+        "t10", "value", "Population", 256, False, 0.0
     )
+    out["reference_population"] = "WITH " + PLANTS + " SELECT min(Population) AS Population FROM plants"
     out["density_curve"] = d + "," + density("cohortdifs", "diff_prediction", None, 512, False, 0.0)
     out["density_ridges"] = d + "," + density("popdifs", "pred_diff", "difference", 256, True, 3.0)
     return out

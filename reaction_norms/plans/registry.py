@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +115,7 @@ def _per_trait(name: str, fn: Callable[[DataFrame, P.Trait], DataFrame], digits:
 
 
 _per_trait("replicate_counts", P.replicate_counts)
+_per_trait("replicate_counts_wide", P.replicate_counts_wide)
 _per_trait("gate", P.gate_table)
 _per_trait("gate_frequency", lambda plants, t: P.gate_frequency(P.gate_table(plants, t)))
 _per_trait("eligible", P.eligible_families)
@@ -142,7 +144,7 @@ def sample_sizes(spark, d):
 @query
 def saved_index(spark, d):
     """The family index written to the shared folder and read back."""
-    path = f"{shared_folder(spark)}/saved_index-{d.strip('/').replace('/', '_')}"
+    path = f"{shared_folder(spark)}/saved_index-{uuid.uuid4().hex}"
     tables.write_table(P.plasticity_index(B.plants(spark, d), P.DOY), path)
     return tidy(tables.read_plasticity(spark, path, "doy"))
 
@@ -532,19 +534,32 @@ def conditional_effects(spark, d):
 # ------------------------------------------------------------------------ figures
 
 
-@query
-def box_garden(spark, d):
+def _box_garden(plants: DataFrame, trait: P.Trait) -> DataFrame:
     """Raw trait by garden x population over the eligible plants."""
-    plants = B.plants(spark, d).select("Dam_ID", "Population", "Year", "garden", P.DOY.column)
-    eligible = P.eligible_plants(plants, P.DOY).select("garden", "Population", P.DOY.column)
-    return tidy(G.box_summary(materialize(eligible), P.DOY.column, ["garden", "Population"]))
+    eligible = P.eligible_plants(plants, trait).select("garden", "Population", trait.column)
+    return G.box_summary(materialize(eligible), trait.column, ["garden", "Population"])
+
+
+def _box_index(plants: DataFrame, trait: P.Trait) -> DataFrame:
+    """Family index by population x cohort, within the axis range.
+
+    Last-bit noise of the index is rounded off first: a value can lie exactly on a fence.
+    """
+    index = materialize(tidy(P.plasticity_index(plants, trait), 9))
+    return G.box_summary(index, f"{trait.name}_plasticity", ["Population", "Year"], INDEX_LIMITS)
+
+
+_per_trait("box_garden", _box_garden)
+_per_trait("box_index", _box_index)
 
 
 @query
-def box_summary(spark, d):
-    """Family index by population x cohort, within the axis range."""
-    index = _index(spark, d, P.DOY)
-    return tidy(G.box_summary(index, "doy_plasticity", ["Population", "Year"], INDEX_LIMITS))
+def box_centered(spark, d):
+    """Centred flowering date by garden x population."""
+    plants = B.plants(spark, d).select("Dam_ID", "Population", "Year", "garden", P.DOY.column)
+    centred = P.center_on_env_min(P.eligible_plants(plants, P.DOY), P.DOY.column)
+    rows = materialize(centred.select("garden", "Population", "transplant_DOY"))
+    return tidy(G.box_summary(rows, "transplant_DOY", ["garden", "Population"]))
 
 
 @query
@@ -563,6 +578,18 @@ def halfeye_intervals(spark, d):
     return tidy(G.interval_summary(cohort, "value", ["Population"]))
 
 
+@query
+def halfeye_density(spark, d):
+    cohort = _bound_trends(spark, d).where(F.col("Year") == "2010")
+    return tidy(G.density_curve(cohort, "value", ["Population"], n=256))
+
+
+@query
+def reference_population(spark, d):
+    terms = B.coefficient_terms(spark)
+    return Q.reference_population(B.plants(spark, d), terms)
+
+
 @query
 def ribbon(spark, d):
     return tidy(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reaction_norms.models.design import Design
 from reaction_norms.operators.reshape import to_wide
+from reaction_norms.sources.schemas import TERMS
 
 GARDEN_OF_FLAG = {"N": "north", "R": "south", "A": "center"}
 POPULATION_OF_TYPE = {
@@ -112,6 +113,10 @@ BOUND_DESIGN = Design(
 )
 
 
+def coefficient_terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(BOUND_DESIGN.terms)), TERMS)
+
+
 def coefficient_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A (draw, beta, sigma) table solved from the draw table.
 
