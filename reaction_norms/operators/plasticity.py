@@ -427,24 +427,18 @@ def mean_shift(
 CHUNK = 1_000
 
 
-def pairwise_differences(
+def _members(
     plants: DataFrame,
-    trait: Trait,
-    populations: Sequence[str] | None = POPULATIONS,
-    years: Sequence[int] | None = COHORTS,
+    t: Trait,
+    populations: Sequence[str] | None,
+    years: Sequence[int] | None,
 ) -> DataFrame:
-    """The replicate-pair table, one row per pair of distinct values and its multiplicity.
+    """Distinct centred values of valid families with their count ``c``, beside the
+    family's counts, sums and number of distinct values per garden.
 
-    ``n_pairs`` says how many replicate pairs carry the row; repeating every row that
-    often gives the plain table, so nothing is lost, while equal values of a hot family
-    collapse before the shuffle (a day of year has at most 366 values whatever the
-    number of plants). The index does not use this table; see ``plasticity_index``
-    and ``pair_totals`` for the linear forms.
-
-    A family with many distinct values is spread over ``ceil(values / CHUNK)`` join
-    keys; ordinary families keep one.
+    Gates and means come from the same counted values, so the plants are read once and
+    equal values of a family collapse before the first shuffle.
     """
-    t, key = trait, list(CELL)
     value = F.col(t.column).cast("double")
     values = (
         plants.where(F.col(t.column).isNotNull())
@@ -452,57 +446,110 @@ def pairwise_differences(
         .agg(F.count(F.lit(1)).alias("c"))
         .select(F.lit(t.name).alias("trait"), *CELL[1:], "garden", "value", "c")
     )
-    # The gates and means come from the same counted values: the plants are read once.
     moments = (F.sum("c"), F.sum(F.col("value") * F.col("c")), F.min("value"), F.count(F.lit(1)))
-    cells = values.groupBy(*key, "garden").agg(_moments(*moments).alias("m"))
-    valid = _family_sums(gate_cells(cells, [t]), [t], populations, years, sizes=True).select(
-        *[F.col(k).alias(f"_{k}") for k in key],
-        "global_mean",
-        *[f"lo_{e}" for e in t.envs],
-        *[F.ceil(F.col(f"d_{e}") / CHUNK).cast("int").alias(f"parts_{e}") for e in t.envs],
-    )
+    cells = values.groupBy(*CELL, "garden").agg(_moments(*moments).alias("m"))
+    families = _family_sums(gate_cells(cells, [t]), [t], populations, years, sizes=True)
+    families = families.withColumnsRenamed({k: f"_{k}" for k in CELL})
     low = reduce(
         lambda acc, e: acc.when(F.col("garden") == e, F.col(f"lo_{e}")),
         t.envs[1:],
         F.when(F.col("garden") == t.envs[0], F.col(f"lo_{t.envs[0]}")),
     )
-    # Null-safe although valid keys are never missing: plain joins would push not-null
-    # filters into one branch only and so scan the plants twice.
-    same = _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
-    members = values.join(valid, same).withColumn("value", F.col("value") - low)
-
-    def side(position: int, value: str, count: str) -> DataFrame:
-        """Rows playing one side of each pair they take part in."""
-        roles = [
-            F.when(
-                F.col("garden") == (a, b)[position],
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"parts_{a}").alias("parts")),
-            )
-            for a, b in t.pairs
-        ]
-        return members.select(
-            *key,
-            "global_mean",
-            F.col("value").alias(value),
-            F.col("c").alias(count),
-            F.explode(F.array_compact(F.array(*roles))).alias("p"),
-        ).select(*key, "global_mean", value, count, "p.*")
-
-    left = side(0, "v1", "c1").select(
-        "*", F.pmod(F.xxhash64("v1"), F.col("parts")).cast("int").alias("part")
+    return (
+        values.join(families, _same_family())
+        .drop(*[f"_{k}" for k in CELL])
+        .withColumn("value", F.col("value") - low)
+    )
+
+
+def _same_family() -> Column:
+    """Null-safe although valid keys are never missing: a plain join would push not-null
+    filters into one branch only and so scan the plants twice."""
+    return _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in CELL])
+
+
+def _roles(members: DataFrame, t: Trait, position: int, *fields) -> DataFrame:
+    """Members with each pair (a, b) in which their garden stands at the given position;
+    ``fields(a, b)`` give further columns of the role."""
+    roles = [
+        F.when(
+            F.col("garden") == pair[position],
+            F.struct(F.lit(pair[0]).alias("a"), F.lit(pair[1]).alias("b"), *[f(*pair) for f in fields]),
+        )
+        for pair in t.pairs
+    ]
+    return members.select("*", F.explode(F.array_compact(F.array(*roles))).alias("p"))
+
+
+def replicate_differences(
+    plants: DataFrame,
+    trait: Trait,
+    populations: Sequence[str] | None = POPULATIONS,
+    years: Sequence[int] | None = COHORTS,
+) -> DataFrame:
+    """Each value of the first garden against all replicates of the second: the pair table
+    summed over its second replicate.
+
+    One row per distinct value and direction, so it grows with the plants and not with
+    their pairs. ``n_pairs`` counts the replicate pairs behind a row.
+    """
+    t = trait
+    mean_of = lambda a, b: F.try_divide(F.col(f"s_{b}"), F.col(f"n_{b}")).alias("mean_2")
+    count_of = lambda a, b: F.col(f"n_{b}").alias("n_2")
+    rows = _roles(_members(plants, t, populations, years), t, 0, mean_of, count_of)
+    difference = F.col("value") - F.col("p.mean_2")
+    return rows.select(
+        "Dam_ID",
+        key_text("Population", "Year").alias("pop_year"),
+        F.col("p.a").alias("garden_1"),
+        F.col("p.b").alias("garden_2"),
+        F.col("value").alias(f"{t.name}_1"),
+        (F.col("c") * F.col("p.n_2")).cast("bigint").alias("n_pairs"),
+        difference.alias("mean_difference"),
+        F.try_divide(difference, F.col("global_mean")).alias("mean_ratio"),
     )
-    right = (
-        side(1, "v2", "c2")
-        .drop("global_mean")
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        .withColumnsRenamed({k: f"_{k}" for k in key})
+
+
+def pairwise_differences(
+    plants: DataFrame,
+    trait: Trait,
+    populations: Sequence[str] | None = POPULATIONS,
+    years: Sequence[int] | None = COHORTS,
+) -> DataFrame:
+    """The replicate-pair table, one row per pair of distinct values and its multiplicity.
+
+    ``n_pairs`` says how many replicate pairs carry the row; repeating every row that
+    often gives the plain table, so nothing is lost. It suits traits recorded in few
+    distinct values (a day of year has at most 366, whatever the number of plants). For
+    others its size is quadratic by definition: use ``plasticity_index``, ``pair_totals``
+    or ``replicate_differences``, which are linear and hold all the index needs.
+
+    A family with many distinct values is spread over ``ceil(values / CHUNK)`` join
+    keys; ordinary families keep one.
+    """
+    t = trait
+    members = _members(plants, t, populations, years)
+    parts = lambda a, b: F.ceil(F.col(f"d_{a}") / CHUNK).cast("int").alias("parts")
+    left = _roles(members, t, 0, parts).select(
+        *CELL,
+        "global_mean",
+        F.col("value").alias("v1"),
+        F.col("c").alias("c1"),
+        "p.a",
+        "p.b",
+        F.pmod(F.xxhash64("value"), F.col("p.parts")).cast("int").alias("part"),
     )
-    difference = F.col("v1") - F.col("v2")
-    right = right.select("*", *[F.col(c).alias(f"_{c}") for c in ("a", "b", "part")]).drop(
-        "a", "b", "part", "parts"
+    right = _roles(members, t, 1, parts).select(
+        *[F.col(k).alias(f"_{k}") for k in CELL],
+        F.col("value").alias("v2"),
+        F.col("c").alias("c2"),
+        F.col("p.a").alias("_a"),
+        F.col("p.b").alias("_b"),
+        F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("_part"),
     )
-    matched = _all([same, *[F.col(c) == F.col(f"_{c}") for c in ("a", "b", "part")]])
-    return left.drop("parts").join(right, matched).select(
+    matched = _all([_same_family(), *[F.col(c) == F.col(f"_{c}") for c in ("a", "b", "part")]])
+    difference = F.col("v1") - F.col("v2")
+    return left.join(right, matched).select(
         "Dam_ID",
         key_text("Population", "Year").alias("pop_year"),
         F.col("a").alias("garden_1"),

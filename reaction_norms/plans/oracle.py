@@ -316,6 +316,10 @@ SELECT Dam_ID, pop_year, Population, "Year", {r(f'{t}_plasticity')} AS {t}_plast
         out[f"pair_totals_{t}"] = w + f"""
 SELECT Dam_ID, pop_year, garden_1, garden_2, count(*) AS n_pairs, {r('avg(difference)')} AS mean_difference,
   {r('avg(ratio)')} AS mean_ratio FROM pairs_{t} GROUP BY 1, 2, 3, 4"""
+        out[f"replicate_differences_{t}"] = w + f"""
+SELECT Dam_ID, pop_year, garden_1, garden_2, {r('v1')} AS {t}_1, count(*) AS n_pairs,
+  {r('avg(difference)')} AS mean_difference, {r('avg(ratio)')} AS mean_ratio
+FROM pairs_{t} GROUP BY Dam_ID, pop_year, garden_1, garden_2, v1"""
         out[f"pairs_{t}"] = w + f"""
 SELECT Dam_ID, pop_year, garden_1, garden_2, {r('v1')} AS {t}_1, {r('v2')} AS {t}_2,
   {r('max(difference)')} AS difference, {r('max(ratio)')} AS ratio, count(*) AS n_pairs
@@ -467,6 +471,7 @@ SELECT Population, "Year", i, {r('max(doy_pp_z)', 5)} AS doy_pp_z, {r('quantile_
         "t10", "value", "Population", 256, False, 0.0
     )
     out["reference_population"] = "WITH " + PLANTS + " SELECT min(Population) AS Population FROM plants"
+    del out["pairs_sla"]  # not registered: quadratic for a continuous trait
     out["density_curve"] = d + "," + density("cohortdifs", "diff_prediction", None, 512, False, 0.0)
     out["density_ridges"] = d + "," + density("popdifs", "pred_diff", "difference", 256, True, 3.0)
     return out

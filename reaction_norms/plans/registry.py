@@ -109,8 +109,13 @@ def trend_smooth(spark, d):
 # ------------------------------------------------------------------- plasticity
 
 
-def _per_trait(name: str, fn: Callable[[DataFrame, P.Trait], DataFrame], digits: int = 6) -> None:
-    for t in P.TRAITS:
+def _per_trait(
+    name: str,
+    fn: Callable[[DataFrame, P.Trait], DataFrame],
+    traits: Sequence[P.Trait] = P.TRAITS,
+    digits: int = 6,
+) -> None:
+    for t in traits:
         QUERIES[f"{name}_{t.name}"] = lambda spark, d, t=t: tidy(fn(B.plants(spark, d), t), digits)
 
 
@@ -121,7 +126,10 @@ _per_trait("gate_frequency", lambda plants, t: P.gate_frequency(P.gate_table(pla
 _per_trait("eligible", P.eligible_families)
 _per_trait("plasticity", P.plasticity_index)
 _per_trait("pair_totals", P.pair_totals)
-_per_trait("pairs", P.pairwise_differences)
+_per_trait("replicate_differences", P.replicate_differences)
+# Days and whole percents take few distinct values, which bounds the pair table; for a
+# continuous trait it is quadratic in the size of a family and is not registered.
+_per_trait("pairs", P.pairwise_differences, [P.DOY, P.LDMC])
 _per_trait("mean_shift", P.mean_shift)
 _per_trait("env_means", P.env_means)
 _per_trait(

@@ -115,6 +115,30 @@ def test_random_tables_match_nested_loops(spark, seed):
     assert got == want
 
 
+def test_pairs_of_a_continuous_trait(spark):
+    rnd = random.Random(8)
+    rows = [(d, "N1", 2010, g, rnd.random()) for d in "ab" for g in ("north", "south") for _ in range(9)]
+    table = spark.createDataFrame([(*r[:4], None, r[4], None) for r in rows], SCHEMA)
+    got = sorted((r.Dam_ID, r.garden_1, r.sla_1, r.sla_2) for r in P.pairwise_differences(table, P.SLA).collect())
+    want = sorted((k[0], a, x, y) for k, v in reference(rows, P.SLA).items() for a, _, x, y, _ in v)
+    assert got == want and len(got) == 2 * 81
+
+
+def test_replicate_differences_sum_the_pairs(spark):
+    rows = random_rows(12)
+    seen = {}
+    for k, v in reference(rows).items():
+        for a, b, x, y, ratio in v:
+            seen.setdefault((*k, a, b, x), []).append((x - y, ratio))
+    got = P.replicate_differences(plants(spark, rows), P.DOY).collect()
+    assert len(got) == len(seen)
+    for r in got:
+        v = seen[r.Dam_ID, r.pop_year, r.garden_1, r.garden_2, r.doy_1]
+        assert r.n_pairs == len(v)
+        assert r.mean_difference == pytest.approx(sum(d for d, _ in v) / len(v), abs=1e-12)
+        assert r.mean_ratio == pytest.approx(sum(q for _, q in v) / len(v), abs=1e-12)
+
+
 def test_spread_pair_keys_change_nothing(spark, monkeypatch):
     rows = random_rows(7, 600)
     whole = P.pairwise_differences(plants(spark, rows), P.DOY)
