@@ -52,14 +52,16 @@ class Design:
 
     # ------------------------------------------------------------------ columns
 
+    def is_complete(self) -> Column:
+        """Whether a row has a response, every covariate and known factor levels."""
+        needed = [F.col(c).isNotNull() for c in (self.response, *self.covariates)]
+        levels = F.col("Population").isin(*self.populations)
+        cohorts = F.col("Year").cast("string").isin(*self.years)
+        return reduce(lambda a, b: a & b, [*needed, levels, cohorts])
+
     def complete_cases(self, df: DataFrame) -> DataFrame:
-        """Rows with a response, every covariate and known factor levels."""
-        needed = [self.response, *self.covariates]
-        has = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
-        year = F.col("Year").cast("string")
-        return df.where(
-            has & F.col("Population").isin(*self.populations) & year.isin(*self.years)
-        )
+        """Listwise deletion: complete rows only."""
+        return df.where(self.is_complete())
 
     def row(self) -> list[Column]:
         """Design row of a data frame as double columns, in term order."""
@@ -92,20 +94,19 @@ class Design:
 
     # ------------------------------------------------------------------- statistics
 
-    def moments(self, df: DataFrame) -> DataFrame:
-        """Sufficient statistics: count, means and central products of (covariates, response)
-        per cell. One map-side-combined aggregate of built-in functions; a cell holding a
-        third of all rows is one partial row per task."""
-        cols = [*self.covariates, self.response]
-        aggs = [F.count(F.lit(1)).alias("n")]
-        aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
-        aggs += [
+    def moments(self) -> Column:
+        """Sufficient statistics of the complete rows of a group: count, means and central
+        products of (covariates, response), as one struct of built-in aggregates."""
+        ok = self.is_complete()
+        cols = [F.when(ok, F.col(c).cast("double")) for c in (*self.covariates, self.response)]
+        parts = [F.count_if(ok).alias("n")]
+        parts += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
+        parts += [
             F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}")
             for i in range(len(cols))
             for j in range(i + 1)
         ]
-        year = F.col("Year").cast("string")
-        return self.complete_cases(df).groupBy("Population", year.alias("Year")).agg(*aggs)
+        return F.struct(*parts)
 
 
 def design_for(

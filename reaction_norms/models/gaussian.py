@@ -1,14 +1,15 @@
 """Gaussian linear models from sufficient statistics, and their posterior draws.
 
-The data are read once, in a distributed aggregate (``Design.moments``); its result
+The data are read once, in a distributed aggregate (``fit_all``); its result
 has one row per factor cell whatever the data size. The closed-form solve of a matrix
 of at most a few dozen columns is local, and the draws are produced by Spark tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -80,29 +81,55 @@ class GaussianFit:
         return spark.range(1, n + 1).mapInPandas(generate, DRAWS)
 
 
-def fit_gaussian(df: DataFrame, design: Design, prior: Prior | None = None) -> GaussianFit:
-    """Fit by one distributed pass; missing rows are dropped listwise."""
-    rows = design.moments(df).limit(MAX_LEVELS + 1).collect()
+def fit_all(
+    df: DataFrame, designs: Mapping[str, Design], prior: Prior | None = None
+) -> dict[str, GaussianFit]:
+    """Fit several models in one distributed pass; missing rows are dropped listwise.
+
+    The aggregate has one row per population x cohort and is combined before its shuffle,
+    so a cell holding a third of all rows is one partial row per task.
+    """
+    some = reduce(lambda a, b: a | b, [d.is_complete() for d in designs.values()])
+    rows = (
+        df.where(some)
+        .groupBy("Population", F.col("Year").cast("string").alias("Year"))
+        .agg(*[d.moments().alias(name) for name, d in designs.items()])
+        .limit(MAX_LEVELS + 1)
+        .collect()
+    )
     if len(rows) > MAX_LEVELS:
         raise ValueError(f"more than {MAX_LEVELS} population x cohort cells")
-    if not rows:
+    return {
+        name: _assemble(d, [(r["Population"], r["Year"], r[name]) for r in rows if r[name]["n"]], prior)
+        for name, d in designs.items()
+    }
+
+
+def fit_gaussian(df: DataFrame, design: Design, prior: Prior | None = None) -> GaussianFit:
+    """Fit one model by one distributed pass."""
+    return fit_all(df, {"model": design}, prior)["model"]
+
+
+def _assemble(design: Design, cells: Sequence[tuple], prior: Prior | None) -> GaussianFit:
+    """Cross products of the design from the moments of its cells."""
+    if not cells:
         raise ValueError("no complete rows to fit")
     p, k = len(design.terms), len(design.covariates)
     xtx, xty, yty, total = np.zeros((p, p)), np.zeros(p), 0.0, 0
-    for row in rows:
-        n = row["n"]
-        mean = np.array([row[f"m{i}"] for i in range(k + 1)])
+    for population, year, m in cells:
+        n = m["n"]
+        mean = np.array([m[f"m{i}"] for i in range(k + 1)])
         cov = np.zeros((k + 1, k + 1))
         for i in range(k + 1):
             for j in range(i + 1):
-                cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
+                cov[i, j] = cov[j, i] = m[f"c{i}_{j}"]
         # Cross products of (1, covariates, response) in this cell.
         cross = np.empty((k + 2, k + 2))
         cross[0, 0] = n
         cross[0, 1:] = cross[1:, 0] = n * mean
         cross[1:, 1:] = n * (cov + np.outer(mean, mean))
         spread = np.zeros((p, k + 1))
-        for i, covariate in design.active(row["Population"], row["Year"]).items():
+        for i, covariate in design.active(population, year).items():
             spread[i, 0 if covariate is None else 1 + design.covariates.index(covariate)] = 1.0
         xtx += spread @ cross[:-1, :-1] @ spread.T
         xty += spread @ cross[:-1, -1]
@@ -302,9 +329,23 @@ def fitted_draws(draws: DataFrame, design: Design, newdata: DataFrame) -> DataFr
     return out.select(*newdata.columns, F.col("_d.draw").alias("draw"), total.alias("value"))
 
 
-def draw_matrix(draws: DataFrame, columns: Sequence[str] = ("beta", "sigma")) -> tuple[np.ndarray, np.ndarray]:
-    """Draws as arrays on the driver: a checked, data-independent number of rows."""
-    rows = draws.select("draw", *columns).orderBy("draw").limit(MAX_DRAWS + 1).collect()
-    if len(rows) > MAX_DRAWS:
+def draw_matrices(
+    draws: Mapping[str, DataFrame],
+) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(beta, sigma) arrays of several draw tables on the driver, in one job: a checked
+    number of short rows that does not depend on the data."""
+    parts = [d.select(F.lit(n).alias("m"), "draw", "beta", "sigma") for n, d in draws.items()]
+    together = reduce(lambda a, b: a.unionByName(b), parts)
+    rows = together.limit(len(parts) * MAX_DRAWS + 1).collect()
+    if len(rows) > len(parts) * MAX_DRAWS:
         raise ValueError(f"more than {MAX_DRAWS} draws")
-    return np.array([r["beta"] for r in rows]), np.array([r["sigma"] for r in rows])
+    out = {}
+    for name in draws:
+        mine = sorted((r for r in rows if r["m"] == name), key=lambda r: r["draw"])
+        out[name] = (np.array([r["beta"] for r in mine]), np.array([r["sigma"] for r in mine]))
+    return out
+
+
+def draw_matrix(draws: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(beta, sigma) arrays of one draw table."""
+    return draw_matrices({"model": draws})["model"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reaction_norms.models.gaussian import GaussianFit, draw_matrix
+from reaction_norms.models.gaussian import GaussianFit, draw_matrices
 
 BATCH = 128
 ROWS_PER_TASK = 10_000
@@ -106,13 +106,11 @@ def loo_pointwise(
     milliseconds while reading it costs nothing, so rows are spread evenly over tasks by
     their number, not by their bytes.
     """
-    packed = {}
+    packed = draw_matrices({name: draws for name, (_, draws) in models.items()})
     rows = df
     columns = []
-    for name, (fit, draws) in models.items():
+    for name, (fit, _) in models.items():
         design = fit.design
-        beta, sigma = draw_matrix(draws)
-        packed[name] = (len(design.terms), beta, sigma)
         rows = design.complete_cases(rows)
         columns.append(F.array(*design.row()).alias(f"x_{name}"))
         columns.append(F.col(design.response).cast("double").alias(f"y_{name}"))
@@ -129,8 +127,8 @@ def loo_pointwise(
             for start in range(0, len(batch), BATCH):
                 part = batch.iloc[start : start + BATCH]
                 out = {c: part[c] for c in keep}
-                for name, (p, beta, sigma) in packed.items():
-                    x = np.vstack(part[f"x_{name}"].to_list()).reshape(-1, p)
+                for name, (beta, sigma) in packed.items():
+                    x = np.vstack(part[f"x_{name}"].to_list())
                     scores = score_rows(x, part[f"y_{name}"].to_numpy(), beta, sigma)
                     for label, values in zip(("elpd", "lpd", "pareto_k"), scores):
                         out[f"{label}_{name}"] = values

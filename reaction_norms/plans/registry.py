@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -400,35 +401,46 @@ def design_matrix(spark, d):
     return tidy(rows.select("Dam_ID", *[c.alias(t.replace(":", "_x_")) for c, t in zip(design.row(), design.terms)]))
 
 
-def _selection_model(
-    data: DataFrame, trait: P.Trait, quadratic: bool
-) -> tuple[Design, M.GaussianFit]:
-    covariates = [f"{trait.name}_pp_z"] + ([f"{trait.name}_pp2_z"] if quadratic else [])
-    design = design_for(data, "fitness_rel", covariates)
-    return design, M.fit_gaussian(data, design, M.SELECTION_PRIOR)
+def _selection_models(
+    data: DataFrame, traits: Sequence[P.Trait], forms: Sequence[str] = ("linear", "quadratic")
+) -> dict[str, M.GaussianFit]:
+    """``{trait}_{form}`` models, all fitted in one pass over the selection table."""
+    levels = design_for(data, "fitness_rel")
+    designs = {}
+    for t in traits:
+        for form in forms:
+            covariates = (f"{t.name}_pp_z", f"{t.name}_pp2_z")[: 1 + (form == "quadratic")]
+            designs[f"{t.name}_{form}"] = replace(levels, covariates=covariates)
+    return M.fit_all(data, designs, M.SELECTION_PRIOR)
+
+
+def _doy_model(data: DataFrame) -> tuple[Design, M.GaussianFit]:
+    fit = _selection_models(data, [P.DOY], ["linear"])["doy_linear"]
+    return fit.design, fit
 
 
 @query
 def posterior_draws(spark, d):
     """Draws of the linear selection model under its priors."""
-    _, fit = _selection_model(_model_data(spark, d), P.DOY, False)
+    _, fit = _doy_model(_model_data(spark, d))
     return fit.draws(spark)
 
 
 @query
 def posterior_coefficients(spark, d):
-    design, fit = _selection_model(_model_data(spark, d), P.DOY, False)
+    design, fit = _doy_model(_model_data(spark, d))
     return Q.coefficient_summary(fit.draws(spark), design.terms)
 
 
 @query
 def posterior_slope_table(spark, d):
     """Slopes and intervals of the three linear models."""
-    data = _model_data(spark, d)
+    fits = _selection_models(_model_data(spark, d), P.TRAITS, ["linear"])
     parts = []
     for t in P.TRAITS:
-        design, fit = _selection_model(data, t, False)
-        parts.append(Q.slope_table(M.slope_draws(fit.draws(spark), design, f"{t.name}_pp_z"), t.label))
+        fit = fits[f"{t.name}_linear"]
+        slopes = M.slope_draws(fit.draws(spark), fit.design, f"{t.name}_pp_z")
+        parts.append(Q.slope_table(slopes, t.label))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -447,7 +459,7 @@ def posterior_cohort_pd(spark, d):
 def posterior_conditional(spark, d):
     """Ribbon of the linear model's fitted draws over the observed ranges, all cells."""
     data = _model_data(spark, d)
-    design, fit = _selection_model(data, P.DOY, False)
+    design, fit = _doy_model(data)
     draws, x = materialize(fit.draws(spark)), "doy_pp_z"
     probs = Q.slope_probability(M.trend_draws(draws, design, x))
     effects = M.conditional_effects(draws, design, x, S.observed_range(data, x))
@@ -458,7 +470,7 @@ def posterior_conditional(spark, d):
 def fitted_values(spark, d):
     """Posterior expected value of every family under 100 kept draws."""
     data = _model_data(spark, d)
-    design, fit = _selection_model(data, P.DOY, False)
+    design, fit = _doy_model(data)
     draws = Q.subsample_draws(fit.draws(spark), 100)
     rows = design.complete_cases(data).select("Dam_ID", "Population", "Year", "doy_pp_z")
     return M.fitted_draws(draws, design, rows)
@@ -466,13 +478,12 @@ def fitted_values(spark, d):
 
 def _loo(spark, d, traits: Sequence[P.Trait]) -> dict[str, DataFrame]:
     data = _model_data(spark, d)
+    fits = _selection_models(data, traits)
     out = {}
     for t in traits:
-        models = {}
-        for name, quadratic in (("linear", False), ("quadratic", True)):
-            _, fit = _selection_model(data, t, quadratic)
-            models[name] = (fit, fit.draws(spark))
-        out[t.name] = L.loo_pointwise(data, models, ["Dam_ID"])
+        models = {f: fits[f"{t.name}_{f}"] for f in ("linear", "quadratic")}
+        drawn = {f: (fit, fit.draws(spark)) for f, fit in models.items()}
+        out[t.name] = L.loo_pointwise(data, drawn, ["Dam_ID"])
     return out
 
 
