@@ -35,6 +35,7 @@ class Prior:
 # The priors of the selection models. ``None`` is the flat prior.
 SELECTION_PRIOR = Prior()
 N_DRAWS = 8_000
+DRAWS_PER_TASK = 1_000
 SIGMA_POINTS = 2_000
 
 
@@ -69,8 +70,13 @@ class GaussianFit:
     def terms(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(enumerate(self.design.terms)), TERMS)
 
-    def draws(self, spark: SparkSession, n: int = N_DRAWS, seed: int = 123) -> DataFrame:
-        """Independent posterior draws, the same for any number of partitions."""
+    def draws(
+        self, spark: SparkSession, n: int = N_DRAWS, seed: int = 123, partitions: int | None = None
+    ) -> DataFrame:
+        """Independent posterior draws, the same for any number of partitions.
+
+        The number of tasks follows the number of draws, not the size of the cluster.
+        """
         sampler = _flat_sampler(self) if self.prior is None else _prior_sampler(self)
 
         def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +84,8 @@ class GaussianFit:
                 beta, sigma = sampler(seed, batch["id"].to_numpy())
                 yield pd.DataFrame({"draw": batch["id"], "beta": list(beta), "sigma": sigma})
 
-        return spark.range(1, n + 1).mapInPandas(generate, DRAWS)
+        tasks = partitions or -(-n // DRAWS_PER_TASK)
+        return spark.range(1, n + 1, 1, tasks).mapInPandas(generate, DRAWS)
 
 
 def fit_all(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +34,17 @@ def local_session(app: str = "reaction_norms", cores: int | str = "*", **conf: s
     return spark
 
 
+@cache
+def _scratch_folder() -> str:
+    return tempfile.mkdtemp(prefix="reaction_norms-")
+
+
 def shared_folder(spark: SparkSession) -> str | None:
-    """The checkpoint folder of the cluster, or a scratch one in local mode only."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; without that setting, a
+    scratch folder in local mode and None elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="reaction_norms-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        return _scratch_folder()
     return folder
 
 

@@ -59,14 +59,9 @@ def test_least_squares_match_numpy(data, covariates):
 
 def test_draws_do_not_depend_on_partitions(spark, data):
     fit = M.fit_gaussian(data, Design("w", POPS, YEARS, ("x",)), M.SELECTION_PRIOR)
-    draws = fit.draws(spark, 50, seed=123)
-    a = {r.draw: (tuple(r.beta), r.sigma) for r in draws.collect()}
-    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
-    try:
-        b = {r.draw: (tuple(r.beta), r.sigma) for r in fit.draws(spark, 50, seed=123).collect()}
-    finally:
-        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
-    assert a == b and sorted(a) == list(range(1, 51))
+    by_draw = lambda df: {r.draw: (tuple(r.beta), r.sigma) for r in df.collect()}
+    a = by_draw(fit.draws(spark, 50, partitions=8))
+    assert a == by_draw(fit.draws(spark, 50, partitions=1)) and sorted(a) == list(range(1, 51))
     other = {r.draw: r.sigma for r in fit.draws(spark, 50, seed=7).collect()}
     assert other != {k: v[1] for k, v in a.items()}
 

@@ -78,6 +78,18 @@ def test_selection_join_quirks(spark):
     }
 
 
+def test_intermediates_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    from reaction_norms import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    df = spark.range(10).withColumn("v", F.col("id") * 2.0)
+    stored = session.materialize(df)
+    assert stored.schema.names == df.schema.names and stored.count() == 10
+    assert str(tmp_path) in stored.inputFiles()[0]
+    monkeypatch.setattr(session, "shared_folder", lambda _: None)
+    assert session.materialize(df) is df
+
+
 def test_standardize(spark):
     df = spark.createDataFrame([(float(i), float(i * i), 5.0) for i in range(1, 20)], "a double, b double, c double")
     z = S.standardize(df, ["a", "b", "c"], {"rel": "a"})
