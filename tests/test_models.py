@@ -207,3 +207,26 @@ def test_too_few_rows_are_refused(data):
         M.fit_gaussian(data.where("Dam_ID in ('f1', 'f2', 'f3')"), design).least_squares()
     with pytest.raises(ValueError, match="no complete rows"):
         M.fit_gaussian(data.where("w is null"), design)
+
+
+def test_task_code_travels_without_the_package(data, tmp_path):
+    """Executors need not have the package: its task functions are pickled by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    fit = M.fit_gaussian(data, Design("w", POPS, YEARS, ("x",)), M.SELECTION_PRIOR)
+    (tmp_path / "f.pkl").write_bytes(
+        cloudpickle.dumps((M._prior_sampler(fit), M._flat_sampler(fit), L.score_rows))
+    )
+    code = (
+        "import pickle, numpy as np, sys\n"
+        "a, b, score = pickle.load(open('f.pkl', 'rb'))\n"
+        "beta, sigma = a(1, np.arange(200)); b(1, np.arange(3))\n"
+        "print(len(score(np.ones((2, 9)), np.ones(2), beta, sigma)[0]), 'reaction_norms' in sys.modules)\n"
+    )
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60
+    )
+    assert out.stdout.split() == ["2", "False"], out.stderr
