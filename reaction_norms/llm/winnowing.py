@@ -1,6 +1,6 @@
 """Winnowing fingerprints of whole texts (operator 9).
 
-Every k-gram of code points has a 64-bit hash; of each ``window`` consecutive hashes the
+Every k-gram of code points has a hash of 40 bits; of each ``window`` consecutive hashes the
 least is chosen, the rightmost of equal ones, and its position kept. Any run of
 ``window + k - 1`` code points that two texts share is then found in both fingerprints.
 """
@@ -18,7 +18,8 @@ from reaction_norms.llm.common import by_batch, documents, shuffle_partitions
 
 K, WINDOW = 16, 32
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_REACH = 1 << 24
+_LOWER, _UPPER = np.uint64(_REACH - 1), np.uint64(((1 << 40) - 1) << 24)
 
 
 def gram_hashes(text: str, k: int = K) -> np.ndarray:
@@ -49,20 +50,24 @@ def gram_hashes(text: str, k: int = K) -> np.ndarray:
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (ascending) and hashes of the chosen k-grams."""
+    """Positions (ascending) and hashes (of 40 bits) of the chosen k-grams."""
     h = gram_hashes(text, k)
     if not len(h):
         return np.empty(0, np.int64), h
     window = min(window, len(h))
-    least, at, width = h, np.arange(len(h)), 1
-    while width < window:
-        step = min(width, window - width)
-        left, right = least[:-step], least[step:]
-        later = right <= left
-        least, at = np.where(later, right, left), np.where(later, at[step:], at[:-step])
-        width += step
+    found = []
+    # hash above, position from the end below: the least number is the rightmost least hash
+    for start in range(0, len(h) - window + 1, _REACH - window + 1):
+        piece = h[start : start + _REACH]
+        least, width = (piece & _UPPER) | np.arange(_REACH - 1, _REACH - 1 - len(piece), -1, dtype=np.uint64), 1
+        while width < window:
+            step = min(width, window - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        found.append(start + _REACH - 1 - (least & _LOWER).astype(np.int64))
+    at = np.concatenate(found)
     at = at[np.r_[True, at[1:] != at[:-1]]]
-    return at, h[at]
+    return at, h[at] >> np.uint64(24)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -146,7 +151,7 @@ def edit_trial(docs: DataFrame, k: int = K, window: int = WINDOW, buckets: int |
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"]
 
     def show(h):
-        return (h >> np.uint64(32)).astype(">u4").tobytes().hex()
+        return (h >> np.uint64(8)).astype(">u4").tobytes().hex()
 
     def run(batches):
         last = None
