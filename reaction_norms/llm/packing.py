@@ -10,8 +10,7 @@ are never shuffled.
 from __future__ import annotations
 
 import base64
-import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -24,29 +23,9 @@ from tokenizers import Tokenizer
 from reaction_norms.llm.common import documents, stored
 
 LENGTH, END = 1024, 0
-CACHED = 700_000
-_SPACE_IN_RUN = re.compile(r" (?=\s|$)")
 _CODERS: dict = {}
 
 
-def _spaced(text: str) -> list[str]:
-    """Parts between the single spaces that stand before something other than white space.
-
-    Such a space always opens a new piece of the tokenizer's own splitting, so parts can be
-    encoded apart, each with its space.
-    """
-    parts = text.split(" ")
-    if not _SPACE_IN_RUN.search(text):
-        return parts
-    out = parts[:1]
-    for part in parts[1:]:
-        if part and not part[0].isspace():
-            out.append(part)
-        else:
-            out[-1] += " " + part
-    return out
-
-
 @dataclass
 class Coder:
     """Byte-level BPE ids of whole texts. ``ranks`` holds the vocabulary of ``tokenizer`` as ranks;
@@ -54,7 +33,6 @@ class Coder:
 
     tokenizer: str
     ranks: str
-    cache: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(self.ranks, "rb"))}
@@ -62,33 +40,13 @@ class Coder:
         self.full = Tokenizer.from_file(self.tokenizer)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
-        self.widths = np.zeros(max(table.values()) + 1, np.int64)
-        for token, rank in table.items():
-            self.widths[rank] = len(token)
-
-    def learn(self, parts: list[str]) -> None:
-        """Encode new parts in one string and cut the ids where the parts end."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        ids = np.array(self.fast.encode_ordinary(" " + " ".join(parts)), self.kind)
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)) + 1)
-        at = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="right")
-        raw, w, begin = ids.tobytes(), self.kind.itemsize, 0
-        for part, stop in zip(parts, (at * w).tolist()):
-            self.cache[part] = raw[begin:stop]
-            begin = stop
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        parts = _spaced(text)
-        head = np.array(self.fast.encode_ordinary(parts[0]), self.kind).tobytes()
-        found = list(map(self.cache.get, parts))
-        found[0] = head
-        if None in found:
-            self.learn(list(dict.fromkeys(p for p, f in zip(parts[1:], found[1:]) if f is None)))
-            found = [self.cache[p] if f is None else f for p, f in zip(parts, found)]
-        return b"".join(found)
+            ids = np.array(self.full.encode(text, add_special_tokens=False).ids)
+        else:
+            ids = self.fast.encode_to_numpy(text)
+        return ids.astype(self.kind).tobytes()
 
 
 def coder(tokenizer: str, ranks: str) -> Coder:
