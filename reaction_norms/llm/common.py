@@ -73,3 +73,32 @@ def by_batch(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | It
                 yield from out
 
     return df.mapInArrow(run, schema)
+
+
+def bisect(edges: Column, n: int, value: Column) -> Column:
+    """Number of the n ascending edges that are below the value (edge < value), in log2(n) steps."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(edges, at + step - 1) < value), at + step).otherwise(at))
+
+
+def bucket_bits(n: int, per_bucket: int) -> int:
+    """Bits of a hash that deal n rows into buckets of about per_bucket."""
+    return max(1, (n // per_bucket).bit_length())
+
+
+def hash_bucket(h: Column, bits: int) -> Column:
+    """The leading bits of a signed hash: buckets ascend with it."""
+    return F.shiftright(h, 64 - bits)
+
+
+def before(df: DataFrame, group: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Running sum of ``value`` over the rows of a group with a lesser ``order`` (a long), in two
+    levels: inside blocks of ``width`` order values, and over the totals of the blocks."""
+    from pyspark.sql import Window
+
+    df = df.withColumn("_block", F.floor(F.col(order) / width))
+    totals = df.groupBy(*group, "_block").agg(F.sum(value).alias("_sum"))
+    w = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "_block", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
+    w = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(totals, [*group, "_block"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_block", "_base")
