@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +103,68 @@ def before(df: DataFrame, group: list[str], order: str, value: str, name: str, w
     totals = totals.select(*group, "_block", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
     w = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.join(totals, [*group, "_block"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_block", "_base")
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def rolling_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of each k consecutive values (unsigned 64-bit), none where there are fewer.
+
+    Hashes of 1, 2, 4, ... values are joined to k by its binary digits; a last step mixes bits.
+    """
+    if len(values) < k:
+        return np.empty(0, np.uint64)
+    total, h, width, done = None, values, 1, 0
+    while True:
+        if k & width:
+            total = h if total is None else total[: len(h) - done] * np.uint64(pow(_BASE, width, 1 << 64)) + h[done:]
+            done += width
+        if 2 * width > k:
+            break
+        h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
+        width *= 2
+    total = total[: len(values) - k + 1]
+    total = (total ^ (total >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    total = (total ^ (total >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return total ^ (total >> np.uint64(33))
+
+
+_REACH = 1 << 24
+_LOWER, _UPPER = np.uint64(_REACH - 1), np.uint64(((1 << 40) - 1) << 24)
+
+
+def window_minima(h: np.ndarray, window: int) -> np.ndarray:
+    """Place of the least hash (by its upper 40 bits) in each window, the rightmost of equal ones."""
+    found = [np.empty(0, np.int64)]
+    # hash above, place from the end below: the least number is the rightmost least hash
+    for start in range(0, len(h) - window + 1, _REACH - window + 1):
+        piece = h[start : start + _REACH]
+        least, width = (piece & _UPPER) | np.arange(_REACH - 1, _REACH - 1 - len(piece), -1, dtype=np.uint64), 1
+        while width < window:
+            step = min(width, window - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        found.append(start + _REACH - 1 - (least & _LOWER).astype(np.int64))
+    return np.concatenate(found)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], n_key: int, least: int = 2) -> Iterator[list[np.ndarray]]:
+    """The runs of equal leading columns that hold ``least`` rows or more, from sorted batches of integers."""
+    rest = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if rest is not None:
+            columns = [np.concatenate([x, y]) for x, y in zip(rest, columns)]
+        if not len(columns[0]):
+            continue
+        new = np.zeros(len(columns[0]), bool)
+        for c in columns[:n_key]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.r_[0, np.flatnonzero(new)]
+        sizes = np.diff(starts)
+        for s, k in zip(starts[:-1][sizes >= least].tolist(), sizes[sizes >= least].tolist()):
+            yield [c[s : s + k] for c in columns]
+        rest = [c[starts[-1] :] for c in columns]
+    if rest is not None and len(rest[0]) >= least:
+        yield rest

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reaction_norms.llm.common import DOCUMENT, by_batch, documents, shuffle_partitions, stored
+from reaction_norms.llm.common import DOCUMENT, by_batch, documents, shuffle_partitions, sorted_runs, stored
 from reaction_norms.llm.components import components
 
 SHINGLE, MAX_BITS, PIVOTS = 4, 4, 16
@@ -142,7 +142,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
     def run(batches):
-        for columns in _groups(batches, 4):
+        for columns in sorted_runs(batches, 4):
             fp = columns[5].view(np.uint64)
             if found := forest(fp, columns[4], max_bits):
                 a, b = (columns[5][list(x)] for x in zip(*found))
@@ -151,27 +151,6 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _groups(batches, n_key: int):
-    """The runs of equal leading columns that hold two rows or more, from sorted batches."""
-    rest = None
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        if rest is not None:
-            columns = [np.concatenate([x, y]) for x, y in zip(rest, columns)]
-        if not len(columns[0]):
-            continue
-        new = np.zeros(len(columns[0]), bool)
-        for c in columns[:n_key]:
-            new[1:] |= c[1:] != c[:-1]
-        starts = np.r_[0, np.flatnonzero(new)]
-        sizes = np.diff(starts)
-        for s, k in zip(starts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            yield [c[s : s + k] for c in columns]
-        rest = [c[starts[-1] :] for c in columns]
-    if rest is not None and len(rest[0]) > 1:
-        yield rest
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id of every row: the least doc_id that it reaches over links.
 

@@ -14,39 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reaction_norms.llm.common import by_batch, documents, shuffle_partitions
+from reaction_norms.llm.common import by_batch, documents, rolling_hashes, shuffle_partitions, window_minima
 
 K, WINDOW = 16, 32
-_BASE = 0x9E3779B97F4A7C15
-_REACH = 1 << 24
-_LOWER, _UPPER = np.uint64(_REACH - 1), np.uint64(((1 << 40) - 1) << 24)
 
 
 def gram_hashes(text: str, k: int = K) -> np.ndarray:
     """Hash of each k-gram; a text of fewer code points has one hash, an empty text none."""
-    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if not len(h):
-        return h
-    k = min(k, len(h))
-    h = h + np.uint64(1)
-    # polynomial hashes of 1, 2, 4, ... characters, joined to k by the binary digits of k
-    total, width, done = None, 1, 0
-    while True:
-        if k & width:
-            if total is None:
-                total, done = h, width
-            else:
-                n = len(h) - done
-                total = total[:n] * np.uint64(pow(_BASE, width, 1 << 64)) + h[done:]
-                done += width
-        if 2 * width > k:
-            break
-        h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
-        width *= 2
-    total = total[: len(text) - k + 1]
-    total = (total ^ (total >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    total = (total ^ (total >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return total ^ (total >> np.uint64(33))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    return rolling_hashes(points, min(k, len(points))) if len(points) else points
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -54,18 +30,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     h = gram_hashes(text, k)
     if not len(h):
         return np.empty(0, np.int64), h
-    window = min(window, len(h))
-    found = []
-    # hash above, position from the end below: the least number is the rightmost least hash
-    for start in range(0, len(h) - window + 1, _REACH - window + 1):
-        piece = h[start : start + _REACH]
-        least, width = (piece & _UPPER) | np.arange(_REACH - 1, _REACH - 1 - len(piece), -1, dtype=np.uint64), 1
-        while width < window:
-            step = min(width, window - width)
-            least = np.minimum(least[:-step], least[step:])
-            width += step
-        found.append(start + _REACH - 1 - (least & _LOWER).astype(np.int64))
-    at = np.concatenate(found)
+    at = window_minima(h, min(window, len(h)))
     at = at[np.r_[True, at[1:] != at[:-1]]]
     return at, h[at] >> np.uint64(24)
 
