@@ -61,10 +61,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def block_keys(n: int, max_bits: int = MAX_BITS) -> list[int]:
     """Bit masks of which two fingerprints in reach share one at least.
 
-    The bits are cut into b blocks, and a mask takes all but ``max_bits`` of them. b is the least
+    The bits are cut into b blocks, and a mask takes all but ``max_bits`` of them. b is the least, from two more,
     for which n fingerprints leave about 32 in a bucket, so that buckets stay small at any size.
     """
-    for b in range(max_bits + 1, max_bits + 5):
+    for b in range(max_bits + 2, max_bits + 6):
         cut = [64 * i // b for i in range(b + 1)]
         blocks = [((1 << (cut[i + 1] - cut[i])) - 1) << cut[i] for i in range(b)]
         masks = [sum(c) for c in combinations(blocks, b - max_bits)]
