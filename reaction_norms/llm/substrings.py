@@ -39,12 +39,13 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Hash of the anchor of each window."""
+def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the anchor of each window."""
     if len(h) < window:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     grams = rolling_hashes(h, min(gram, window))
-    return grams[window_minima(grams, window - min(gram, window) + 1)].view(np.int64)
+    at = window_minima(grams, window - min(gram, window) + 1)
+    return at, grams[at].view(np.int64)
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -80,12 +81,12 @@ def repeated_anchors(classes: DataFrame, window: int = WINDOW, gram: int = GRAM)
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         which, found, times = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i, text in enumerate(batch["text"].to_pylist()):
-            a = _anchors(_hashes(_words(text)), window, gram)
-            # a window that comes again in the text may have its anchor at another place
-            n_places = np.unique(a, return_counts=True)
-            found.append(n_places[0])
-            times.append(n_places[1])
-            which.append(np.full(len(n_places[0]), i))
+            at, anchors = _anchors(_hashes(_words(text)), window, gram)
+            # neighbouring windows share an anchor, windows that come again have one at another place
+            own, n_places = np.unique(anchors[np.r_[True, at[1:] != at[:-1]]] if len(at) else anchors, return_counts=True)
+            found.append(own)
+            times.append(n_places)
+            which.append(np.full(len(own), i))
         at = pa.array(np.concatenate([*which, np.empty(0, np.int64)]).astype(np.int64))
         return pa.RecordBatch.from_arrays([batch["c"].take(at), batch["tag"].take(at), pa.array(np.concatenate(found)), pa.array(np.concatenate(times))], ["c", "tag", "anchor", "n"])
 
@@ -98,7 +99,7 @@ def _suffixes(text: str, anchors: list[int], window: int, gram: int) -> tuple[np
     """Starts of the windows with a listed anchor; the hash of their prefix at each level; and the
     two halves of the window's digest."""
     h = _hashes(_words(text))
-    starts = np.flatnonzero(np.isin(_anchors(h, window, gram), np.array(anchors, np.int64)))
+    starts = np.flatnonzero(np.isin(_anchors(h, window, gram)[1], np.array(anchors, np.int64)))
     prefixes = [rolling_hashes(h, -(-window * level // LEVELS))[starts] for level in range(1, LEVELS + 1)]
     half = window // 2
     return starts, prefixes, rolling_hashes(h, half)[starts], rolling_hashes(h, window - half)[starts + half]
