@@ -155,6 +155,15 @@ def _standard_draws(seed: int, ids: np.ndarray, p: int, extra):
     return z, e
 
 
+def _times(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``rows @ matrix``, summed in the order of the columns, so that a row's result does not
+    depend on the rows beside it."""
+    out = np.zeros((len(rows), matrix.shape[1]))
+    for column, weights in zip(rows.T, matrix):
+        out += column[:, None] * weights
+    return out
+
+
 def _flat_sampler(fit: GaussianFit):
     beta, s2 = fit.least_squares()
     p = len(beta)
@@ -164,7 +173,7 @@ def _flat_sampler(fit: GaussianFit):
     def sample(seed: int, ids: np.ndarray):
         z, chi2 = _standard_draws(seed, ids, p, lambda rng: rng.chisquare(dof))
         sigma = np.sqrt(dof * s2 / chi2)
-        return beta + sigma[:, None] * (z @ root.T), sigma
+        return beta + sigma[:, None] * _times(z, root.T), sigma
 
     return sample
 
@@ -223,7 +232,7 @@ def _prior_sampler(fit: GaussianFit):
         sigma = np.exp(np.interp(u, cdf, log_grid))
         mean, precision = given(sigma)
         rotated = mean + z / np.sqrt(precision)
-        return (rotated @ vectors.T) * sd @ center.T, sigma
+        return _times(_times(rotated, vectors.T) * sd, center.T), sigma
 
     return sample
 

@@ -229,7 +229,7 @@ def subtraction_pairs(means: DataFrame, mean_col: str, env: str = "garden") -> D
     ranked = F.reverse(
         F.array_sort(F.collect_list(F.struct(F.col(mean_col).alias("v"), F.col(env).alias("e"))))
     )
-    rows = means.where(F.col(mean_col).isNotNull()).limit(1_000).agg(ranked.alias("r"))
+    rows = means.where(F.col(mean_col).isNotNull()).agg(ranked.alias("r"))
     return (
         rows.select("r", F.posexplode("r").alias("i", "a"))
         .select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))

@@ -153,7 +153,10 @@ def sample_sizes(spark, d):
 @query
 def saved_index(spark, d):
     """The family index written to the shared folder and read back."""
-    path = f"{shared_folder(spark)}/saved_index-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/saved_index-{uuid.uuid4().hex}"
     tables.write_table(P.plasticity_index(B.plants(spark, d), P.DOY), path)
     return tidy(tables.read_plasticity(spark, path, "doy"))
 

@@ -4,47 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {
-    "string": T.StringType(),
-    "int": T.IntegerType(),
-    "double": T.DoubleType(),
-    "date": T.DateType(),
-}
-
-
-def _struct(spec: str) -> T.StructType:
-    """``"int: block row; double: gsw_early"`` -> StructType, in the order written."""
-    out = T.StructType()
-    for part in spec.split(";"):
-        kind, names = part.split(":")
-        for name in names.split():
-            out = out.add(name, _TYPES[kind.strip()], True)
-    return out
-
-
 # The plant-table data dictionary.
-PLANTS = _struct(
-    "string: garden; int: block; string: garden_block; int: row position;"
-    "string: rowPosition Cross_ID_Rep Cross_ID Sire_ID Dam_ID Population; int: Year; string: Year1;"
-    "date: Date_early; double: Time1_early log_VPDleaf_early gsw_early"
-    " freshMass_g dryMass_g leafArea_cm2 lma_g_per_m2 sla_cm2_per_g ldmc"
-    " L1 L2 L3 totalStemLen; date: first_flower_date; double: first_flower_doy;"
-    "date: last_flower_date; double: last_flower_doy flowering_duration;"
-    "date: Date_late; double: Time1_late log_VPDleaf_late gsw_late maxHeight"
-    " repBranchN RScount1 RScount2 RScount3 totalRS"
+PLANTS = T.StructType(
+    [
+        T.StructField("garden", T.StringType()),
+        T.StructField("block", T.IntegerType()),
+        T.StructField("garden_block", T.StringType()),
+        T.StructField("row", T.IntegerType()),
+        T.StructField("position", T.IntegerType()),
+        T.StructField("rowPosition", T.StringType()),
+        T.StructField("Cross_ID_Rep", T.StringType()),
+        T.StructField("Cross_ID", T.StringType()),
+        T.StructField("Sire_ID", T.StringType()),
+        T.StructField("Dam_ID", T.StringType()),
+        T.StructField("Population", T.StringType()),
+        T.StructField("Year", T.IntegerType()),
+        T.StructField("Year1", T.StringType()),
+        T.StructField("Date_early", T.DateType()),
+        T.StructField("Time1_early", T.DoubleType()),
+        T.StructField("log_VPDleaf_early", T.DoubleType()),
+        T.StructField("gsw_early", T.DoubleType()),
+        T.StructField("freshMass_g", T.DoubleType()),
+        T.StructField("dryMass_g", T.DoubleType()),
+        T.StructField("leafArea_cm2", T.DoubleType()),
+        T.StructField("lma_g_per_m2", T.DoubleType()),
+        T.StructField("sla_cm2_per_g", T.DoubleType()),
+        T.StructField("ldmc", T.DoubleType()),
+        T.StructField("L1", T.DoubleType()),
+        T.StructField("L2", T.DoubleType()),
+        T.StructField("L3", T.DoubleType()),
+        T.StructField("totalStemLen", T.DoubleType()),
+        T.StructField("first_flower_date", T.DateType()),
+        T.StructField("first_flower_doy", T.DoubleType()),
+        T.StructField("last_flower_date", T.DateType()),
+        T.StructField("last_flower_doy", T.DoubleType()),
+        T.StructField("flowering_duration", T.DoubleType()),
+        T.StructField("Date_late", T.DateType()),
+        T.StructField("Time1_late", T.DoubleType()),
+        T.StructField("log_VPDleaf_late", T.DoubleType()),
+        T.StructField("gsw_late", T.DoubleType()),
+        T.StructField("maxHeight", T.DoubleType()),
+        T.StructField("repBranchN", T.DoubleType()),
+        T.StructField("RScount1", T.DoubleType()),
+        T.StructField("RScount2", T.DoubleType()),
+        T.StructField("RScount3", T.DoubleType()),
+        T.StructField("totalRS", T.DoubleType()),
+    ]
 )
 
 # The climate columns used downstream.
-CLIMATE = _struct(
-    "string: ID1 ID2; int: Year; double: Latitude Longitude MAP PPT_wt MAT Tmax_sm CMD"
+CLIMATE = T.StructType(
+    [
+        T.StructField("ID1", T.StringType()),
+        T.StructField("ID2", T.StringType()),
+        T.StructField("Year", T.IntegerType()),
+        T.StructField("Latitude", T.DoubleType()),
+        T.StructField("Longitude", T.DoubleType()),
+        T.StructField("MAP", T.DoubleType()),
+        T.StructField("PPT_wt", T.DoubleType()),
+        T.StructField("MAT", T.DoubleType()),
+        T.StructField("Tmax_sm", T.DoubleType()),
+        T.StructField("CMD", T.DoubleType()),
+    ]
 )
 
 
 def plasticity_schema(trait: str) -> T.StructType:
     """Hand-off schema of one trait's family index."""
-    return _struct(
-        f"string: Dam_ID pop_year Population Year; double: {trait}_plasticity"
-    )
+    keys = [T.StructField(k, T.StringType()) for k in ("Dam_ID", "pop_year", "Population", "Year")]
+    return T.StructType([*keys, T.StructField(f"{trait}_plasticity", T.DoubleType())])
 
 
 TERMS = T.StructType(

@@ -14,8 +14,10 @@ NA = "NA"
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     if fmt == "csv":
         # Without inference this reads only the header. Columns are then bound by
-        # name, so files with more, fewer or reordered columns meet the contract.
-        raw = spark.read.csv(path, header=True, nullValue=NA, inferSchema=False)
+        # name, so files with more, fewer or reordered columns meet the contract. All
+        # files of a folder must share one header: Spark binds by position within a
+        # read, so another header is an error.
+        raw = spark.read.csv(path, header=True, nullValue=NA, inferSchema=False, enforceSchema=False)
         present = set(raw.columns)
         return raw.select(
             *[

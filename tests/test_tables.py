@@ -27,6 +27,22 @@ def test_csv_missing_text_and_column_order(spark, tmp_path):
     assert (row.Year, row.MAP, row.PPT_wt) == (2000, 3.0, None)
 
 
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "climate"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ID1,Year,MAP,PPT_wt\nN1,2000,10,20\n")
+    (folder / "b.csv").write_text("ID1,Year,MAP,PPT_wt\nN2,2000,10,20\n")
+    assert [(r.MAP, r.PPT_wt) for r in tables.read_climate(spark, str(folder)).collect()] == [(10.0, 20.0)] * 2
+    (folder / "c.csv").write_text("ID1,Year,PPT_wt,MAP\nN3,2000,20,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_climate(spark, str(folder)).collect()
+
+
+def test_directions_of_many_environments(spark):
+    means = spark.range(1200).select(F.col("id").cast("string").alias("garden"), F.col("id").cast("double").alias("m"))
+    assert P.subtraction_pairs(means, "m").count() == 1200 * 1199 // 2
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_index_round_trip(spark, sf, tmp_path, fmt):
     index = P.plasticity_index(B.plants(spark, sf), P.DOY).withColumn(
