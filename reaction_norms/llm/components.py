@@ -9,7 +9,7 @@ from reaction_norms.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of the edges (a, b; longs) reaches.
+    """node, root: the least node that each other node of the edges (a, b; longs) reaches.
 
     Each round hangs neighbours on their least neighbour, in joins only: no group is
     gathered, and each round's edges are a written table, so that a lost executor costs its

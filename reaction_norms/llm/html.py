@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ CLOSES = {
 SCOPE = frozenset("ul ol dl table body html div article section main".split())
 DEPTH = 64
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z|\"|')", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -73,6 +74,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     # open elements: tag, path, whether dropped, whether main
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     linked, links, at, n = 0, 0, 0, len(page)
+    opened: Counter[str] = Counter()
 
     def flush():
         nonlocal parts, linked
@@ -86,6 +88,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         nonlocal links
         for tag, *_ in stack[to:]:
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[to:]
 
     while at < n:
@@ -104,7 +107,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -112,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         if tag in BLOCK:
             flush()
             if tag == "p" or tag in CONTAINER or tag[0] == "h" and tag[1:].isdigit():
-                for i in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph
+                for i in range(len(stack) - 1, 0, -1) if opened["p"] > 0 else ():  # a block closes an open paragraph
                     if stack[i][0] == "p":
                         pop(i)
                         break
@@ -145,6 +148,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             flush()
         stack.append((tag, path, dropped, main))
         links += tag == "a"
+        opened[tag] += 1
     flush()
     return out
 
