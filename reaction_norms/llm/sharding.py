@@ -21,7 +21,9 @@ SHARDS, POINTS = 8, 64
 
 def ring(spark: SparkSession, shards: int, points: int) -> list[tuple[int, int]]:
     """(position, shard) of every virtual node, clockwise."""
-    rows = spark.range(shards * points).select((F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit("point"), F.col("id")).alias("at"))
+    shard, copy = (F.col("id") % shards).cast("int"), F.floor(F.col("id") / shards)
+    # a point's place knows its own shard only, so that another shard leaves the others' points alone
+    rows = spark.range(shards * points).select(shard.alias("shard"), F.xxhash64(F.lit("point"), shard, copy).alias("at"))
     return sorted((r["at"], r["shard"]) for r in rows.collect())
 
 
