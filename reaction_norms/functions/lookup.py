@@ -1,51 +1,36 @@
-"""Size-checked lookups from factor-level tables.
+"""Lookups from factor-level tables.
 
-Statistics per environment, per cell or per contrast have one row per factor
-level. Joining them by shuffle would move every data row by a key with a handful
-of values; here they become one scalar-subquery map that every task reads. The
-map is built from at most ``MAX_LEVELS + 1`` rows, and more levels than
-``MAX_LEVELS`` stop the query with an error instead of growing it.
+Statistics per environment, per cell or per contrast have one row per factor level and reach
+the data rows by a null-safe left join. Any number of levels is answered: adaptive execution
+broadcasts the level table where its measured size allows, and splits skewed keys otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000
-
-
-def level_map(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Column:
-    """Scalar map ``struct(keys) -> struct(values)`` of a one-row-per-level table."""
-    rows = df.select(
-        F.struct(*keys).alias("k"), F.struct(*values).alias("v")
-    ).limit(MAX_LEVELS + 1)
-    entries = F.collect_list(F.struct("k", "v"))
-    guarded = F.when(F.count(F.lit(1)) <= MAX_LEVELS, F.map_from_entries(entries)).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_LEVELS} levels of {', '.join(keys)}"))
-    )
-    return rows.agg(guarded.alias("levels")).scalar()
-
-
-def look_up(levels: Column, *keys: Column) -> Column:
-    """Value struct of a key; NULL where the key has no entry. NULL keys match NULL."""
-    return F.element_at(levels, F.struct(*keys))
-
 
 def with_levels(
     df: DataFrame, stats: DataFrame, keys: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
-    """Left join of a level table: adds its value columns to every row."""
-    found = look_up(level_map(stats, keys, values), *[F.col(k) for k in keys])
-    packed = df.withColumn("_level", found)
-    return packed.select(*df.columns, *[F.col("_level")[v].alias(v) for v in values])
+    """Left join of a one-row-per-level table: adds its value columns to every row.
+
+    Null keys match null keys; a key without a level gets nulls.
+    """
+    level = stats.select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+        *[F.col(v).alias(f"_of_{i}") for i, v in enumerate(values)],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    joined = df.join(level, reduce(lambda a, b: a & b, same), "left")
+    return joined.select(*df.columns, *[F.col(f"_of_{i}").alias(v) for i, v in enumerate(values)])
 
 
 def level_values(df: DataFrame, col: str) -> list:
-    """Distinct non-null values of a factor column on the driver, sorted, size-checked."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
-    return sorted(r[0] for r in rows)
+    """Distinct non-null values of a factor column on the driver, sorted. For the factors of a
+    model, whose terms are solved locally anyway; declare the levels to avoid the job."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reaction_norms.functions.lookup import MAX_LEVELS, level_map, look_up
+from reaction_norms.functions.lookup import with_levels
 from reaction_norms.models.design import Design
 from reaction_norms.sources.schemas import DRAWS, TERMS
 
@@ -93,7 +93,7 @@ def fit_all(
 ) -> dict[str, GaussianFit]:
     """Fit several models in one distributed pass; missing rows are dropped listwise.
 
-    The aggregate has one row per population x cohort and is combined before its shuffle,
+    The aggregate has one row per population x cohort of the designs and is combined before its shuffle,
     so a cell holding a third of all rows is one partial row per task.
     """
     some = reduce(lambda a, b: a | b, [d.is_complete() for d in designs.values()])
@@ -101,11 +101,8 @@ def fit_all(
         df.where(some)
         .groupBy("Population", F.col("Year").cast("string").alias("Year"))
         .agg(*[d.moments().alias(name) for name, d in designs.items()])
-        .limit(MAX_LEVELS + 1)
         .collect()
     )
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} population x cohort cells")
     return {
         name: _assemble(d, [(r["Population"], r["Year"], r[name]) for r in rows if r[name]["n"]], prior)
         for name, d in designs.items()
@@ -288,14 +285,8 @@ def conditional_effects(
     """Fitted values of every draw along each cell's observed covariate range.
 
     ``ranges`` has one row per cell (Population, Year, lo, hi). Work is spread over the
-    draws; each draw reads the ranges from a size-checked scalar map. Other covariates
-    are held at 0, their mean after standardisation.
+    draws. Other covariates are held at 0, their mean after standardisation.
     """
-    lookup = level_map(
-        ranges.select("Population", F.col("Year").cast("string").alias("Year"), "lo", "hi"),
-        ["Population", "Year"],
-        ["lo", "hi"],
-    )
     at_zero = F.array(
         *[
             F.struct(
@@ -307,12 +298,14 @@ def conditional_effects(
             for p, y in design.cells()
         ]
     )
-    cells = draws.select("draw", F.inline(at_zero)).withColumn(
-        "_range", look_up(lookup, F.col("Population"), F.col("Year"))
+    cells = with_levels(
+        draws.select("draw", F.inline(at_zero)),
+        ranges.withColumn("Year", F.col("Year").cast("string")),
+        ["Population", "Year"],
+        ["lo", "hi"],
     )
-    points = cells.where(F.col("_range.lo").isNotNull()).select(
-        "draw", "Population", "Year", "base", "slope",
-        F.col("_range.lo").alias("lo"), F.col("_range.hi").alias("hi"),
+    points = cells.where(F.col("lo").isNotNull()).select(
+        "draw", "Population", "Year", "base", "slope", "lo", "hi",
         F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"),
     )
     x = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / F.lit(float(n - 1))
@@ -322,21 +315,13 @@ def conditional_effects(
     )
 
 
-MAX_DRAWS = 100_000
-
-
 def fitted_draws(draws: DataFrame, design: Design, newdata: DataFrame) -> DataFrame:
     """Expected value of every draw at every row of ``newdata`` (any size).
 
-    The draws, a checked number of short vectors, are read by every task as one scalar
-    array; rows of ``newdata`` stay where they are.
+    The draws, short vectors whose number is a parameter of the fit, are read by every task
+    as one scalar array; rows of ``newdata`` stay where they are.
     """
-    packed = draws.select(F.struct("draw", "beta").alias("d")).limit(MAX_DRAWS + 1)
-    all_draws = packed.agg(
-        F.when(F.count(F.lit(1)) <= MAX_DRAWS, F.collect_list("d"))
-        .otherwise(F.raise_error(F.lit(f"more than {MAX_DRAWS} draws")))
-        .alias("draws")
-    ).scalar()
+    all_draws = draws.agg(F.collect_list(F.struct("draw", "beta")).alias("draws")).scalar()
     rows = newdata.select("*", F.array(*design.row()).alias("_x"))
     out = rows.withColumn("_d", F.explode(all_draws))
     total = F.aggregate(
@@ -348,13 +333,11 @@ def fitted_draws(draws: DataFrame, design: Design, newdata: DataFrame) -> DataFr
 def draw_matrices(
     draws: Mapping[str, DataFrame],
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """(beta, sigma) arrays of several draw tables on the driver, in one job: a checked
-    number of short rows that does not depend on the data."""
+    """(beta, sigma) arrays of several draw tables on the driver, in one job: short rows whose
+    number is a parameter of the fit and does not depend on the data."""
     parts = [d.select(F.lit(n).alias("m"), "draw", "beta", "sigma") for n, d in draws.items()]
     together = reduce(lambda a, b: a.unionByName(b), parts)
-    rows = together.limit(len(parts) * MAX_DRAWS + 1).collect()
-    if len(rows) > len(parts) * MAX_DRAWS:
-        raise ValueError(f"more than {MAX_DRAWS} draws")
+    rows = together.collect()
     out = {}
     for name in draws:
         mine = sorted((r for r in rows if r["m"] == name), key=lambda r: r["draw"])

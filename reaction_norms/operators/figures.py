@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reaction_norms.functions.columns import censor
-from reaction_norms.functions.lookup import level_map, look_up, with_levels
+from reaction_norms.functions.lookup import with_levels
 from reaction_norms.functions.quantiles import draw_quantiles, exact_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -91,8 +91,8 @@ def density_curve(
         )
     ).scalar()
 
-    found = look_up(level_map(own, keys, ["_n", "_bw", "_lo", "_hi"]), *[F.col(k) for k in keys])
-    placed = rows.withColumn("_own", found)
+    own = own.select(*keys, F.struct("_n", "_bw", "_lo", "_hi").alias("_own"))
+    placed = with_levels(rows, own, keys, ["_own"])
     if bins is None:
         weighted = placed.withColumn("_w", F.lit(1.0))
     else:
@@ -108,9 +108,8 @@ def density_curve(
             .where(F.col("_b.w") > 0)
             .groupBy(*keys, F.col("_b.b").alias("_bin"))
             .agg(F.sum("_b.w").alias("_w"))
-            .withColumn("_own", found)
         )
-        weighted = binned.withColumn(
+        weighted = with_levels(binned, own, keys, ["_own"]).withColumn(
             "_v",
             F.col("_own._lo")
             + F.col("_bin") * (F.col("_own._hi") - F.col("_own._lo")) / F.lit(float(bins - 1)),

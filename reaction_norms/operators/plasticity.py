@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reaction_norms.functions.columns import key_text, mean
-from reaction_norms.functions.lookup import level_map, look_up
+from reaction_norms.functions.lookup import with_levels
 
 # Factor levels of the study design.
 POPULATIONS = ("N1", "N2", "C1", "C2", "S1", "S2")
@@ -201,10 +201,10 @@ def gated_cells(plants: DataFrame, *traits: Trait) -> DataFrame:
 def center_on_env_min(
     df: DataFrame, trait: str, env: str = "garden", out: str = "transplant_DOY"
 ) -> DataFrame:
-    """Subtract each environment's minimum. Environments are factor levels (size-checked)."""
+    """Subtract each environment's minimum."""
     minima = df.groupBy(env).agg(F.min(trait).alias("_min"))
-    low = look_up(level_map(minima, [env], ["_min"]), F.col(env))["_min"]
-    return df.withColumn(out, F.col(trait) - low)
+    lowest = with_levels(df, minima, [env], ["_min"])
+    return lowest.withColumn(out, F.col(trait) - F.col("_min")).drop("_min")
 
 
 def _env_sums(cells: DataFrame, traits: Sequence[Trait]) -> DataFrame:

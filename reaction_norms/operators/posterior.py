@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reaction_norms.functions import columns as C
-from reaction_norms.functions.lookup import level_map, look_up, with_levels
+from reaction_norms.functions.lookup import with_levels
 from reaction_norms.functions.quantiles import draw_quantiles
 from reaction_norms.operators import reshape as R
 
@@ -158,14 +158,12 @@ def slope_probability(trends: DataFrame) -> DataFrame:
 
 def join_significance(effects: DataFrame, slope_probs: DataFrame) -> DataFrame:
     """Fitted draws with the probability and the significance label of their cell."""
-    levels = level_map(
-        slope_probs.withColumn("pop_year", C.key_text("Population", "Year")),
+    cell = C.key_text("Population", "Year")
+    joined = with_levels(
+        effects.withColumn("pop_year", cell),
+        slope_probs.withColumn("pop_year", cell),
         ["pop_year"],
         ["prob_diff_from_zero"],
     )
-    keyed = effects.withColumn("pop_year", C.key_text("Population", "Year"))
-    joined = keyed.withColumn(
-        "prob_diff_from_zero", look_up(levels, F.col("pop_year"))["prob_diff_from_zero"]
-    )
     # A missing probability is neither label.
     return joined.withColumn("sig", C.significance("prob_diff_from_zero"))

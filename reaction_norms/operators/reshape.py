@@ -8,10 +8,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reaction_norms.functions.lookup import MAX_LEVELS
-
 Contrast = tuple[str, str, str]
 
+LEVELS_PER_BLOCK = 1_000
+
 # Order in which populations are compared, and the cohorts.
 CONTRAST_POPULATIONS = ("N1", "N2", "C1", "C2", "S1", "S2")
 CONTRAST_COHORTS = ("2010", "2017")
@@ -37,16 +37,17 @@ def to_wide(
 def level_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Every combination of the observed levels of factor columns, missing ones excluded.
 
-    Each further column's levels reach the rows as one scalar array of checked length.
+    Each further column's levels are dealt into blocks of about ``LEVELS_PER_BLOCK``, and every
+    row meets every block by an equi-join, so any number of levels is answered.
     """
     first, *rest = cols
     out = df.select(first).where(F.col(first).isNotNull()).distinct()
     for c in rest:
-        levels = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1)
-        listed = F.when(F.count(c) <= MAX_LEVELS, F.collect_list(c)).otherwise(
-            F.raise_error(F.lit(f"more than {MAX_LEVELS} levels of {c}"))
-        )
-        out = out.select("*", F.explode(levels.agg(listed.alias("l")).scalar()).alias(c))
+        levels = df.select(c).where(F.col(c).isNotNull()).distinct()
+        blocks = levels.agg(F.ceil(F.greatest(F.count(c), F.lit(1)) / LEVELS_PER_BLOCK).alias("n")).scalar()
+        dealt = levels.withColumn("_block", F.pmod(F.xxhash64(c), blocks))
+        met = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        out = met.join(dealt, "_block").drop("_block")
     return out
 
 

@@ -53,11 +53,29 @@ def test_labels_stars_levels(spark):
     assert [r.p for r in order] == ["S1", "C2", "N1", "X", None]
 
 
-def test_level_map_stops_beyond_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "MAX_LEVELS", 3)
-    stats = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    with pytest.raises(Exception, match="more than 3 levels"):
-        lookup.with_levels(spark.range(2).withColumnRenamed("id", "k"), stats, ["k"], ["v"]).collect()
+def test_with_levels_answers_any_number_of_levels(spark):
+    stats = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    stats = stats.unionByName(spark.createDataFrame([(None, -1)], "k long, v long"))
+    rows = spark.range(20_010).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit(1).alias("v_old"))
+    got = lookup.with_levels(rows, stats, ["k"], ["v"])
+    assert got.columns == ["k", "v_old", "v"]
+    found = {r.k: r.v for r in got.collect()}
+    assert len(found) == 20_010 and found[None] == -1 and found[19_999] == 39_998 and found[20_009] is None
+
+
+def test_level_cells_over_several_blocks(spark, monkeypatch):
+    from reaction_norms.operators import reshape
+
+    monkeypatch.setattr(reshape, "LEVELS_PER_BLOCK", 3)
+    df = spark.range(40).select((F.col("id") % 4).alias("a"), F.when(F.col("id") > 0, F.col("id")).alias("b"))
+    got = [tuple(r) for r in reshape.level_cells(df, ["a", "b"]).collect()]
+    assert sorted(got) == [(a, b) for a in range(4) for b in range(1, 40)]
+    assert reshape.level_cells(df.where("b is null"), ["a", "b"]).count() == 0
+
+
+def test_draw_quantiles_of_many_draws(spark):
+    got = draw_quantiles(spark.range(150_001).withColumnRenamed("id", "v"), "v", {"m": 0.5}, []).first()
+    assert got.m == 75_000
 
 
 @pytest.mark.parametrize("shape", ["normal", "third_equal", "outliers", "small"])
