@@ -9,12 +9,16 @@ whose distances to any pivot differ by more than ``max_bits`` is discarded, and
 are verified bit by bit. Buckets over the tile size are cut into tiles, and every pair of
 tiles is a bucket of its own, so no task holds more than two tiles and no pair is lost. Each
 bucket returns a spanning forest of its links, never its pairs.
+
+``similar`` links texts by similarity instead: more bits may differ than blocks could find, so
+fingerprints are four times as wide and meet where sampled bits of theirs are equal; pivot
+tables and the verification are the same. ``keep_one`` uses it.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +30,37 @@ from reaction_norms.llm.common import DOCUMENT, by_batch, documents, shuffle_par
 from reaction_norms.llm.components import components
 
 SHINGLE, MAX_BITS, PIVOTS = 4, 4, 16
+#: Words of 64 bits in a wide fingerprint.
+WORDS = 4
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of a text's lower-cased (A-Z) words; no words: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of each word shingle of a text's lower-cased (A-Z) words; fewer words: of all of them."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())], np.uint64, n)
+    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())], np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Unsigned word of the bits that are set in over half the hashes; none: 0."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65280):
+    for i in range(0, len(h), 65280):
         # a byte for each bit, eight bytes in a word: 255 rows add up without a carry
         lanes = np.unpackbits(h[i : i + 65280].astype("<u8").view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
         ones += np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned fingerprint of a text; no words: 0."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -175,9 +190,185 @@ def op6_simhash(spark, sf_dir) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5) -> list[int]:
+    """The fingerprint of a text in ``WORDS`` words of 64 bits, each from hashes mixed anew."""
+    h, out = shingle_hashes(text, shingle), []
+    for k in range(WORDS):
+        x = h ^ np.uint64(xxhash.xxh64_intdigest(str(k), 2))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def share_of_bits(similarity: float) -> float:
+    """Share of bits that differ, on average, between texts whose shingle sets are so similar (Jaccard)."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def sampled_bits(n: int, similarity: float, recall: float = 0.97) -> np.ndarray:
+    """Places of the fingerprint's bits that make up each key, one row per key.
+
+    n fingerprints leave about 32 in a bucket, and there are so many keys that a pair of the
+    given similarity shares one of them with the chance ``recall``.
+    """
+    width = min(48, max(10, ceil(log2(max(n, 2))) - 5))
+    tables = ceil(log(1 - recall) / log(1 - (1 - share_of_bits(similarity)) ** width))
+    rng = np.random.default_rng(5)
+    return np.array([rng.choice(64 * WORDS, width, replace=False) for _ in range(tables)])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
+
+
+def _wide_pivots() -> np.ndarray:
+    return pivots(PIVOTS * WORDS).reshape(PIVOTS, WORDS)
+
+
+def _small_links(fp: np.ndarray, bucket: np.ndarray, dist: np.ndarray, reach: int) -> np.ndarray:
+    """label[i]: a lesser place that row i is linked to over links inside its bucket, else i. Buckets are runs."""
+    label, far, at = np.arange(len(fp)), 0, np.arange(len(fp))
+    while len(at):
+        far += 1
+        at = at[at + far < len(fp)]
+        at = at[bucket[at] == bucket[at + far]]
+        i, j = at, at + far
+        near = np.abs(dist[i] - dist[j]).max(1, initial=0) <= reach
+        i, j = i[near], j[near]
+        near = _apart(fp[i], fp[j]) <= reach
+        i, j = i[near], j[near]
+        while len(i):
+            a, b = label[i], label[j]
+            if (a == b).all():
+                break
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+    return label
+
+
+def _large_links(fp: np.ndarray, tile: np.ndarray, dist: np.ndarray, reach: int) -> np.ndarray:
+    """The same for one bucket: each row that is reached looks for rows that are not yet, so that a
+    group of copies costs one look. Two tiles: only links across them count."""
+    n, two = len(fp), tile.min() != tile.max()
+    label, order = np.arange(n), np.argsort(dist[:, 0], kind="stable")
+    open_rows, first = order, dist[order, 0]
+    queue = []
+    while len(open_rows):
+        if queue:
+            i = queue.pop()
+        else:
+            i = root = int(open_rows[0])
+            open_rows, first = open_rows[1:], first[1:]
+        lo, hi = np.searchsorted(first, [dist[i, 0] - reach, dist[i, 0] + reach + 1])
+        j = open_rows[lo:hi]
+        near = np.abs(dist[j] - dist[i]).max(1, initial=0) <= reach
+        if two:
+            near &= tile[j] != tile[i]
+        at = np.flatnonzero(near)
+        at = at[_apart(fp[j[at]], fp[i]) <= reach]
+        if len(at):
+            found = j[at]
+            label[found] = root
+            queue.extend(found.tolist())
+            left = np.ones(len(open_rows), bool)
+            left[lo + at] = False
+            open_rows, first = open_rows[left], first[left]
+    return label
+
+
+def similar_links(classes: DataFrame, similarity: float, reach: int) -> DataFrame:
+    """a, b (nodes): links between distinct wide fingerprints (columns f0, ...) that join those in reach."""
+    spark, parts = classes.sparkSession, shuffle_partitions(classes.sparkSession)
+    bits = sampled_bits(classes.count(), similarity)
+    names = [f"f{k}" for k in range(WORDS)]
+    fields = ", ".join(f"{c} long" for c in names)
+    salt = np.array([xxhash.xxh64_intdigest(str(t), 3) for t in range(len(bits))], np.uint64)
+
+    def keys(batch: pa.RecordBatch):
+        fp = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        flat = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+        for t, places in enumerate(bits):
+            key = flat[:, places].astype(np.uint64) @ (np.uint64(1) << np.arange(len(places), dtype=np.uint64))
+            key = (key ^ salt[t]) * np.uint64(0x9E3779B97F4A7C15)
+            yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(32))).view(np.int64)), *batch.columns], ["key", *names])
+
+    keyed = by_batch(classes.select(*names), keys, f"key long, {fields}")
+    size = 8192
+    hot = stored(keyed.groupBy("key").count().filter(F.col("count") > size).select("key", F.ceil(F.col("count") / size).cast("int").alias("tiles")), "tiles")
+    met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("one"), F.greatest(t, F.col("own")).alias("two")))
+    whole = keyed.join(hot, "key", "left_anti").select("key", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("own"), *names)
+    split = keyed.join(hot, "key").withColumn("own", F.pmod(F.xxhash64(*names), F.col("tiles")).cast("int"))
+    split = split.select("key", F.explode(met).alias("met"), "own", *names).select("key", "met.one", "met.two", "own", *names)
+    rows = whole.unionByName(split).repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
+
+    def links_of(columns: list[np.ndarray]):
+        fp = np.stack([c.view(np.uint64) for c in columns[4:]], 1)
+        dist = np.stack([_apart(fp, p) for p in _wide_pivots()], 1)
+        new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]
+        starts = np.r_[np.flatnonzero(new), len(fp)]
+        bucket, sizes = np.cumsum(new), np.diff(starts)
+        small = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+        label = np.arange(len(fp))
+        label[small] = small[_small_links(fp[small], bucket[small], dist[small], reach)]
+        for s, k in zip(starts[:-1][sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+            label[s : s + k] = s + _large_links(fp[s : s + k], columns[3][s : s + k], dist[s : s + k], reach)
+        at = np.flatnonzero(label != np.arange(len(fp)))
+        ends = [pa.array(c[x]) for x in (at, label[at]) for c in columns[4:]]
+        return pa.RecordBatch.from_arrays(ends, [f"{e}{k}" for e in "ab" for k in range(WORDS)])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns)]
+            if not len(columns[0]):
+                continue
+            # the last bucket may go on in the next batch
+            last = np.flatnonzero(np.any([c != c[-1] for c in columns[:3]], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield links_of([c[:cut] for c in columns])
+            rest = [c[cut:] for c in columns]
+        if rest is not None:
+            yield links_of(rest)
+
+    ends = rows.mapInArrow(run, ", ".join(f"{e}{k} long" for e in "ab" for k in range(WORDS)))
+    return ends.select(*(F.xxhash64(*(f"{e}{k}" for k in range(WORDS))).alias(e) for e in "ab"))
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of every row: the least doc_id that it reaches over links, which join
+    texts whose word shingles are so similar (Jaccard) by their fingerprints of 256 bits.
+
+    The bits that differ estimate the similarity; a pair counts as linked up to 0.75 standard
+    deviations more than the similarity gives on average. Equal texts are always one component.
+    Null and empty texts are alike. A null doc_id counts for no component_id unless all ids of
+    the component are null (then null). No rows: no rows. Extra columns are not read.
+    """
+    share = share_of_bits(similarity)
+    reach = int(64 * WORDS * share + 0.75 * sqrt(64 * WORDS * share * (1 - share)))
+    names = [f"f{k}" for k in range(WORDS)]
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([wide_fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64).reshape(-1, WORDS).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(WORDS))], ["doc_id", *names])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = stored(by_batch(texts, rows, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "wide").withColumn("node", F.xxhash64(*names))
+    classes = stored(found.groupBy(*names, "node").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(similar_links(classes, similarity, reach)).withColumnRenamed("node", "_node")
+    labelled = classes.join(roots, classes.node == roots["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = stored(labelled.join(least, "root").select("node", "component_id"), "components")
+    return found.select("doc_id", "node").join(of_class, "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows whose doc_id is their component's least one. Of rows that repeat that id one
     stays (the least text); a component without any id keeps its least text."""
-    found = stored(near_duplicates(docs), "near").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = stored(similar(docs), "near").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.select(*DOCUMENT).join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi")
     return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")

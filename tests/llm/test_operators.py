@@ -64,6 +64,7 @@ def operators(labels):
         "substrings": substrings.dedup,
         "without_repeats": substrings.without_repeats,
         "simhash": simhash.near_duplicates,
+        "similar": simhash.similar,
         "keep_one": simhash.keep_one,
         "sharding": sharding.ring_shards,
         "mixing": mixing.mix,
@@ -72,7 +73,7 @@ def operators(labels):
     }
 
 
-PER_ROW = {"toxicity", "quality", "rules", "substrings", "simhash", "sharding", "mixing", "winnowing"}
+PER_ROW = {"toxicity", "quality", "rules", "substrings", "simhash", "similar", "sharding", "mixing", "winnowing"}
 
 
 @pytest.mark.parametrize("name", sorted(operators(None)))
@@ -225,6 +226,68 @@ def test_simhash(docs, table):
     assert got == {i: (f[i], find(i)) for i in f}
 
 
+def linked_places(near, n):
+    """The least place of each place's component, from near(i): the places linked to i."""
+    label = np.arange(n)
+    for i in range(n):
+        for j in near(i):
+            a, b = label[i], label[j]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+    return label
+
+
+def brute_similar(texts, reach=43):
+    """The least id of each id's component, all wide fingerprints held against all."""
+    ids = sorted(texts)
+    f = np.array([simhash.wide_fingerprint(texts[i]) for i in ids], np.uint64)
+    label = linked_places(lambda i: np.flatnonzero(np.bitwise_count(f ^ f[i]).sum(1) <= reach), len(ids))
+    return {i: ids[k] for i, k in zip(ids, label)}
+
+
+def test_similar(docs, table):
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == brute_similar(dict(zip(table.doc_id, table.text)))
+
+
+def test_edited_copies_are_similar_and_other_texts_are_not(spark):
+    rng = np.random.default_rng(2)
+    base = [[f"w{x}" for x in rng.integers(0, 3000, 300)] for _ in range(60)]
+    edited = []
+    for words in base:
+        words = list(words)
+        for at in rng.choice(30, 5, replace=False):  # 25 of 296 shingles: similarity of about 0.85
+            words[int(at) * 10] = "edited"
+        edited.append(words)
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, [" ".join(w) for w in base + edited])).collect()}
+    assert all(got[i] == i for i in range(60))
+    assert sum(got[60 + i] == i for i in range(60)) >= 57 and all(got[60 + i] in (i, 60 + i) for i in range(60))
+
+
+@pytest.mark.parametrize("tiles", [1, 2])
+def test_links_of_small_and_large_buckets(tiles):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (5, simhash.WORDS), dtype=np.uint64)
+    fp = base[rng.integers(0, 5, 400)]
+    for row in fp:
+        for b in rng.choice(256, int(rng.integers(5, 60)), replace=False):
+            row[b // 64] ^= np.uint64(1 << int(b % 64))
+    tile = rng.integers(0, tiles, 400)
+    dist = np.stack([np.bitwise_count(fp ^ p).sum(1).astype(np.int16) for p in simhash._wide_pivots()], 1)
+
+    def near(i):
+        return np.flatnonzero((np.bitwise_count(fp ^ fp[i]).sum(1) <= 43) & ((tiles == 1) | (tile != tile[i])))
+
+    def components_of(label):
+        return linked_places(lambda i: [label[i]], 400).tolist()
+
+    want = linked_places(near, 400).tolist()
+    assert 5 < len(set(want)) < 400
+    assert components_of(simhash._large_links(fp, tile, dist, 43)) == want
+    if tiles == 1:
+        assert components_of(simhash._small_links(fp, np.zeros(400, int), dist, 43)) == want
+
+
 def test_tiles_and_masks_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 1, dtype=np.uint64)[0]

@@ -15,19 +15,10 @@ def test_stages(spark, sf):
     rows = {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id for r in kept.collect()} == {i for i, t in rows.items() if chain.chances(t)[-1] < toxicity.THRESHOLD}
 
-    from test_operators import brute_fingerprint, brute_repeats
+    from test_operators import brute_repeats, brute_similar
 
     one = common.stored(corpus_pipeline.near_copies(spark, kept, sf), "t")
-    ids = sorted(r.doc_id for r in kept.collect())
-    f = {i: brute_fingerprint(rows[i]) for i in ids}
-    root = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a in ids:
-            for b in ids:
-                if root[a] < root[b] and (f[a] ^ f[b]).bit_count() <= 4:
-                    root[b], changed = root[a], True
+    root = brute_similar({r.doc_id: r.text for r in kept.collect()})
     assert one.columns == list(common.DOCUMENT) and sorted(r.doc_id for r in one.collect()) == sorted(set(root.values()))
 
     cut = common.stored(corpus_pipeline.passages(spark, one, sf), "t")
