@@ -30,8 +30,8 @@ from reaction_norms.llm.common import DOCUMENT, by_batch, documents, shuffle_par
 from reaction_norms.llm.components import components
 
 SHINGLE, MAX_BITS, PIVOTS = 4, 4, 16
-#: Words of 64 bits in a wide fingerprint.
-WORDS = 4
+#: Words of 64 bits in a wide fingerprint; ways in which a component's rows are dealt out.
+WORDS, SALTS = 4, 32
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -361,8 +361,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     classes = stored(found.groupBy(*names, "node").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(similar_links(classes, similarity, reach)).withColumnRenamed("node", "_node")
     labelled = classes.join(roots, classes.node == roots["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = stored(labelled.join(least, "root").select("node", "component_id"), "components")
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # a component may hold a third of all classes: its members meet copies of its one row
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    labelled = labelled.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
+    of_class = stored(labelled.join(least, ["root", "salt"], "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "components")
     return found.select("doc_id", "node").join(of_class, "node").select("doc_id", "component_id")
 
 
