@@ -10,9 +10,12 @@ are verified bit by bit. Buckets over the tile size are cut into tiles, and ever
 tiles is a bucket of its own, so no task holds more than two tiles and no pair is lost. Each
 bucket returns a spanning forest of its links, never its pairs.
 
-``similar`` links texts by similarity instead: more bits may differ than blocks could find, so
+``similar`` estimates similarity instead: more bits may differ than blocks could find, so
 fingerprints are four times as wide and meet where sampled bits of theirs are equal; pivot
-tables and the verification are the same. ``keep_one`` uses it.
+tables and the verification are the same.
+
+``alike`` decides similarity by the shingle sets themselves. Bands of least hashes only say which
+texts to compare; each link is an exact Jaccard similarity, counted in a join. ``keep_one`` uses it.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ from reaction_norms.llm.components import components
 SHINGLE, MAX_BITS, PIVOTS = 4, 4, 16
 #: Words of 64 bits in a wide fingerprint; ways in which a component's rows are dealt out.
 WORDS, SALTS = 4, 32
+#: Bands of least hashes in which texts meet, and least hashes in a band: a pair of Jaccard
+#: similarity 0.8 misses all bands with a chance of (1 - 0.8 ** 5) ** 35, about one in a million.
+BANDS, BAND = 35, 5
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -369,9 +375,120 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     return found.select("doc_id", "node").join(of_class, "node").select("doc_id", "component_id")
 
 
+def _least_hashes() -> tuple[np.ndarray, np.ndarray]:
+    """Xor masks and odd factors, one row for each least hash."""
+    masks, factors = (np.array([xxhash.xxh64_intdigest(str(i), seed) for i in range(BANDS * BAND)], np.uint64)[:, None] for seed in (4, 5))
+    return masks, factors | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One key per band from a text's distinct shingles: alike for two texts with the chance similarity ** BAND."""
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    for i in range(0, len(shingles), 4096):
+        np.minimum(least, ((shingles[i : i + 4096] ^ masks) * factors).min(1), out=least)
+    rows = least.reshape(BANDS, BAND)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), t) for t, r in enumerate(rows)], np.uint64)
+
+
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows with node (digest of the shingle set), n (its size) and keys (of its bands)."""
+    masks, factors = _least_hashes()
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 6) for h in found], np.uint64).view(np.int64)
+        keys = [band_keys(h, masks, factors).view(np.int64) for h in found]
+        added = [pa.array(node), pa.array([len(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "node", "n", "keys"])
+
+    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    base = docs.select(*(F.col(c).cast(k) for c, k in kinds.items()))
+    return by_batch(base, rows, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", node long, n long, keys array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles (a set) from node, text."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch["text"].to_pylist()]
+        return pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return by_batch(texts.select("node", "text"), rows, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs whose shingle sets are so similar (Jaccard), in thousandths."""
+    least = round(1000 * similarity)
+    # the one set that many meet is copied, one copy to 256 of them
+    ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("ways"))
+    ones = sets.join(ways, sets.node == ways.a).select("a", "ways", F.col("shingles").alias("one"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    dealt = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).drop("ways")
+    both = dealt.join(ones.drop("ways"), ["a", "way"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
+    shared = both.select("a", "b", (F.size("one") + F.size("two")).cast("long").alias("total"), F.size(F.array_intersect("one", "two")).cast("long").alias("shared"))
+    return shared.filter(1000 * F.col("shared") >= least * (F.col("total") - F.col("shared"))).select("a", "b")
+
+
+def alike_roots(found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, root of the nodes that a link joins to a lesser one, from the rows of ``shingled``.
+
+    In each bucket a few nodes (hubs) meet all others, then more of them, until all that is in the bucket
+    is one component or every pair of different components in it has been compared. So a group
+    of copies costs its size, not its pairs, and no link between two components goes unseen.
+    """
+    classes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = classes.select("node", "n", F.posexplode("keys").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).drop("band")
+    keyed = stored(keyed.withColumn("u", F.xxhash64(F.lit(8), "node")), "bands")
+    many = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("first")).filter("size > 1")
+    active = stored(keyed.join(many, "key"), "buckets")
+    most = active.agg(F.max("size")).first()[0] or 0
+    texts = found.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = stored(shingle_sets(texts, shingle), "sets")
+    links, roots = None, None
+    low = high = 0
+    least = round(1000 * similarity)
+    while True:
+        # a node is a hub early if its hash is small for the bucket's size; the first one is one from the start
+        place = (F.col("u").cast("double") / 2.0**64 + 0.5) * F.col("size")
+        turn = F.when(F.col("u") == F.col("first"), -1).when(place < low, 0).when(place < high, 1).otherwise(2)
+        now = -1 if high == 0 else 1
+        state = active.withColumn("turn", turn).withColumn("root", F.col("node") if roots is None else F.col("root")).filter(F.col("turn") >= now)
+        hubs = state.filter(F.col("turn") == now).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("root").alias("root_a"))
+        others = state.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("root").alias("root_b"), "turn")
+        pairs = others.join(hubs, "key").filter((F.col("root_a") != F.col("root_b")) & ((F.col("turn") > now) | (F.col("u_a") < F.col("u_b"))))
+        pairs = pairs.filter(1000 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+        new = verified(stored(pairs, "pairs"), sets, similarity)
+        links = stored(new if links is None else links.unionByName(new), "links")
+        roots = components(links)
+        if high >= most:
+            return roots
+        low, high = high, max(8, 8 * high)
+        named = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        active = active.drop("root").join(named, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
+        active = stored(active, "active")
+        left = active.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m <> x").select("key")
+        active = stored(active.join(left, "key", "left_semi"), "active")
+        most = active.agg(F.max("size")).first()[0] or 0
+        if most == 0:
+            return roots
+
+
+def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows with root, the key of their component: links join texts whose sets of word shingles have
+    that Jaccard similarity or more, by count.
+
+    Of the pairs that similar, one in a million may never be compared (``BANDS``). Repeated shingles
+    count once. Texts without words are alike. No rows: no rows. Extra columns are not read.
+    """
+    found = stored(shingled(docs, shingle), "shingled")
+    roots = alike_roots(found, shingle, similarity).withColumnRenamed("node", "_node")
+    rows = found.join(roots, found.node == roots["_node"], "left")
+    return rows.select(*DOCUMENT, F.coalesce("root", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows whose doc_id is their component's least one. Of rows that repeat that id one
     stays (the least text); a component without any id keeps its least text."""
-    found = stored(similar(docs), "near").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select(*DOCUMENT).join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi")
+    rows = stored(alike(docs), "near")
+    found = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    kept = rows.join(found, rows.doc_id.eqNullSafe(found.doc_id), "left_semi")
     return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")

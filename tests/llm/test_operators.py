@@ -264,6 +264,51 @@ def test_edited_copies_are_similar_and_other_texts_are_not(spark):
     assert sum(got[60 + i] == i for i in range(60)) >= 57 and all(got[60 + i] in (i, 60 + i) for i in range(60))
 
 
+def brute_alike(texts):
+    """The least place of each place's component by exact Jaccard similarity of five-word shingle sets."""
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+
+    def near(i):
+        return [j for j, s in enumerate(sets) if 5 * len(s & sets[i]) >= 4 * len(s | sets[i])]
+
+    return linked_places(near, len(sets)).tolist()
+
+
+def places_of(rows):
+    """The least doc_id of each doc_id's component, from rows with doc_id and root."""
+    least = {}
+    for r in rows:
+        least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
+    return {r.doc_id: least[r.root] for r in rows}
+
+
+def test_alike_is_exact(docs, table):
+    order = table.sort_values("doc_id").reset_index(drop=True)
+    want = brute_alike(order.text)
+    assert places_of(simhash.alike(docs).collect()) == {i: order.doc_id[k] for i, k in zip(order.doc_id, want)}
+
+
+def test_alike_short_and_repeated_texts_and_a_large_group(spark):
+    words = "a b c d e f g h i".split()
+    texts = [" ".join(words), " ".join(words[:8]), " ".join(words[:7])]  # 4 of 5 shingles, then 3 of 4
+    line = " ".join(f"x{i}" for i in range(60))
+    texts += [line + " end of it", (line + " ") * 40 + "end of it"]
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+    for _ in range(150):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 4)), replace=False):
+            words[int(at)] = f"e{rng.integers(0, 9)}"
+        texts.append(" ".join(words))
+    want = brute_alike(texts)
+    assert want[:3] == [0, 0, 2] and want[3] == want[4] == 3 and 1 < len(set(want[5:])) < 150
+    got = places_of(simhash.alike(frame(spark, texts)).collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("tiles", [1, 2])
 def test_links_of_small_and_large_buckets(tiles):
     rng = np.random.default_rng(6)
