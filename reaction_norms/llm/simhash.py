@@ -486,9 +486,12 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is their component's least one. Of rows that repeat that id one
-    stays (the least text); a component without any id keeps its least text."""
-    rows = stored(alike(docs), "near")
-    found = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = rows.join(found, rows.doc_id.eqNullSafe(found.doc_id), "left_semi")
-    return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
+    """One row of each component: the least doc_id, of rows that repeat it the least text. A component
+    without any id keeps its least text; a null doc_id is never a reason to join components."""
+    found = stored(shingled(docs, 5), "shingled")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *DOCUMENT)).alias("row")
+    # copies become one row where they lie, before they meet the root of their component
+    nodes = found.groupBy("node").agg(row)
+    roots = alike_roots(found, 5, 0.8).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, nodes.node == roots["_node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.groupBy("root").agg(F.min("row").alias("row")).select(*(f"row.{c}" for c in DOCUMENT))

@@ -309,6 +309,14 @@ def test_alike_short_and_repeated_texts_and_a_large_group(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_keep_one_keeps_a_row_of_each_component_whatever_its_ids(spark):
+    text = [" ".join(f"{c}{i}" for i in range(20)) for c in "pqrst"]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (None, text[2]), (9, text[3]), (9, text[4])]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=lambda x: x[1])
+    assert got == [(None, text[0]), (None, text[1]), (7, text[2]), (9, text[3]), (9, text[4])]
+
+
 @pytest.mark.parametrize("tiles", [1, 2])
 def test_links_of_small_and_large_buckets(tiles):
     rng = np.random.default_rng(6)
