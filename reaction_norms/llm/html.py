@@ -68,11 +68,11 @@ def _dropped(tag: str, attributes: dict[str, str]) -> bool:
     return tag not in ("article", "main") and not _names(attributes).isdisjoint(DROPPED_NAMES)
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool]]:
-    """(path, text, characters in links, whether a main tag or name holds it) of each block."""
+def blocks(page: str) -> list[tuple[str, str, int, str]]:
+    """(path, text, characters in links, path of the highest main tag or name that holds it) of each block."""
     out, parts = [], []
-    # open elements: tag, path, whether dropped, whether main
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # open elements: tag, path, whether dropped, path of the highest main container
+    stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
     linked, links, at, n = 0, 0, 0, len(page)
     opened: Counter[str] = Counter()
 
@@ -143,7 +143,8 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         if tag in CONTAINER and len(stack) < DEPTH:
             classes = ".".join(sorted(set(re.sub(r"\d+", "", attributes.get("class", "")).split())))
             path = f"{path}>{tag}" + (f".{classes}" if classes else "")
-            main = main or tag in ("article", "main") or attributes.get("role") == "main" or tag in ("div", "section", "td") and not _names(attributes).isdisjoint(MAIN_NAMES)
+            if not main and (tag in ("article", "main") or attributes.get("role") == "main" or tag in ("div", "section", "td") and not _names(attributes).isdisjoint(MAIN_NAMES)):
+                main = path
         if dropped and not above[2]:
             flush()
         stack.append((tag, path, dropped, main))
@@ -153,33 +154,50 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     return out
 
 
-def best_path(found: list[tuple[str, str, int, bool]]) -> tuple[str | None, float]:
+def _worth(text: str, linked: int, main: str) -> int:
+    """A block's characters less twice those in links, three times as much under a main tag or name."""
+    return max(0, len(text) - 2 * linked) * (3 if main else 1)
+
+
+def best_path(found: list[tuple[str, str, int, str]]) -> tuple[str | None, float]:
     """Path of the best container and its score.
 
-    A block counts its characters less twice those in links, and three times as much under a main
-    tag or name. From the top the way goes down as long as one container below has most (seven
-    tenths) of the score.
+    From the top the way goes down into the container that has most of the score where nothing but
+    links lies beside it, or where it has seven tenths and leads to the page's one article or main tag. It ends
+    at the highest main tag or name: title, lead and all else in there stay.
     """
     score: dict[str, float] = {}
+    text_at: dict[str, int] = {}
+    main_at: dict[str, int] = {}
     below: dict[str, set[str]] = {}
+    tops: set[str] = set()
     for path, text, linked, main in found:
-        worth = max(0, len(text) - 2 * linked) * (3 if main else 1)
-        steps = path.split(">")[1:]
-        up = ""
-        for step in steps:
-            here = f"{up}>{step}"
+        worth, up = _worth(text, linked, main), ""
+        tagged = main.rpartition(">")[2].partition(".")[0] in ("article", "main")
+        for here in ["", *_prefixes(path)]:
             score[here] = score.get(here, 0) + worth
-            below.setdefault(up, set()).add(here)
+            text_at[here] = text_at.get(here, 0) + (worth > 0)
+            main_at[here] = main_at.get(here, 0) + (worth > 0 and tagged)
+            if here:
+                below.setdefault(up, set()).add(here)
             up = here
+        if main:
+            tops.add(main)
     if not found:
         return None, 0.0
-    total, at = sum(score[p] for p in below.get("", ())), ""
-    while at in below:
+    at = ""
+    while at in below and at not in tops and score[at]:
         child = max(below[at], key=lambda p: (score[p], p))
-        if score[child] < 0.7 * (score[at] if at else total):
+        alone = text_at[child] == text_at[at]
+        to_main = main_at[child] == main_at[at] > 0 and score[child] >= 0.7 * score[at]
+        if not alone and not to_main:
             break
         at = child
-    return at, float(score.get(at, total))
+    return at, float(score[at])
+
+
+def _prefixes(path: str) -> list[str]:
+    return [path[:i] for i in [k for k, c in enumerate(path) if c == ">" and k] + [len(path)] if i]
 
 
 def read_pages(pages: DataFrame) -> DataFrame:

@@ -468,3 +468,11 @@ def test_consensus_overrules_an_odd_page(spark):
     odd = "<body><div class='c'><p>short</p></div><div class='d'><p>" + "other words here " * 30 + "</p></div></body>"
     df = spark.createDataFrame([(i, "http://h/", good) for i in range(3)] + [(9, "http://h/", odd)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html.extract(df).collect()}[9] == "short"
+
+
+def test_html_keeps_title_and_lead_beside_the_body():
+    body = "<div class='body'>" + "<p>" + "long text here " * 30 + "</p></div>"
+    for inner in (body, "<ul><li>" + "one item here " * 40 + "</ul>", "<section><p>" + "text again " * 40 + "</p></section>"):
+        page = f"<body><div><a href='/'>home page</a></div><article><h1>title</h1><p>lead</p>{inner}</article></body>"
+        assert html.best_path(html.blocks(page))[0] == ">body>article"
+        assert html.best_path(html.blocks(page.replace("article>", "div>")))[0] in (">body>div", ">body")
