@@ -4,7 +4,7 @@ Each page is read once into blocks of text, each with the generalised path (tags
 without digits) of the container that holds it; menus, adverts, comments and the like never
 become blocks. Every page scores its containers and votes for the path of the best one; Spark
 counts the votes per host, and the pages are extracted anew by their host's winning path. A
-page without that path falls back on its own best container.
+page on which that path holds too little takes the next voted one, or its own best container.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reaction_norms.llm.common import by_batch, stored, table
@@ -38,6 +38,9 @@ CLOSES = {
 }
 SCOPE = frozenset("ul ol dl table body html div article section main".split())
 DEPTH = 64
+#: A host's path gives a page's text if it holds this share of what the page's own best container
+#: is worth; so many paths of a host are tried.
+HELD, TRIED = 0.9, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z|\"|')", re.I)
@@ -201,8 +204,8 @@ def _prefixes(path: str) -> list[str]:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path (vote), score, blocks (path, text) of every page."""
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
+    """page_id, url, host, path (vote), score, blocks (path, text, worth) of every page."""
+    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("worth", pa.int64())]))
 
     def rows(batch: pa.RecordBatch):
         for i in range(0, batch.num_rows, 500):
@@ -210,29 +213,35 @@ def read_pages(pages: DataFrame) -> DataFrame:
             found = [blocks(h or "") for h in part["html"].to_pylist()]
             votes = [best_path(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [part["page_id"], part["url"], part["host"], pa.array([p for p, _ in votes], pa.string()), pa.array([s for _, s in votes], pa.float64()), pa.array([[{"path": b[0], "text": b[1]} for b in f] for f in found], kind)],
+                [part["page_id"], part["url"], part["host"], pa.array([p for p, _ in votes], pa.string()), pa.array([s for _, s in votes], pa.float64()), pa.array([[{"path": b[0], "text": b[1], "worth": _worth(*b[1:])} for b in f] for f in found], kind)],
                 ["page_id", "url", "host", "path", "score", "blocks"],
             )
 
     url = F.col("url").cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     base = pages.select(F.col("page_id").cast("long"), url.alias("url"), host.alias("host"), F.col("html").cast("string"))
-    return by_batch(base, rows, "page_id long, url string, host string, path string, score double, blocks array<struct<path:string,text:string>>")
+    return by_batch(base, rows, "page_id long, url string, host string, path string, score double, blocks array<struct<path:string,text:string,worth:bigint>>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, host, path (the one that gave the text), text of every page.
 
-    Null html gives an empty text. Pages without a host are one host. Equal votes: the higher
-    summed score wins, then the greater path. Repeated rows count as votes and are extracted
-    alike. No rows: no rows. Extra columns are not read.
+    A host's paths are tried in the order of their votes; one that holds less than ``HELD`` of the page's own
+    best score is passed over, and the page's own path comes last. Null html gives an empty
+    text. Pages without a host are one host. Equal votes: the higher summed score wins, then the
+    greater path. Repeated rows count as votes and are extracted alike. No rows: no rows.
+    Extra columns are not read.
     """
     read = stored(read_pages(pages), "pages")
     votes = read.filter("path is not null and score > 0").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    winner = votes.groupBy("host").agg(F.max(F.struct("votes", "score", "path"))["path"].alias("won"))
-    winner = stored(winner, "winners")
+    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), F.desc("path"))
+    first = votes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRIED)
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
+    winner = stored(first.groupBy("host").agg(ranked.alias("won")), "winners")
     inside = lambda p: F.filter("blocks", lambda b: (b["path"] == p) | b["path"].startswith(F.concat(p, F.lit(">"))))
-    both = read.join(winner, "host", "left").withColumn("path", F.when(F.size(inside(F.col("won"))) > 0, F.col("won")).otherwise(F.col("path")))
+    worth = lambda p: F.aggregate(inside(p), F.lit(0).cast("long"), lambda s, b: s + b["worth"])
+    holds = F.filter("won", lambda p: (F.size(inside(p)) > 0) & (worth(p) >= HELD * F.col("score")))
+    both = read.join(winner, "host", "left").withColumn("path", F.coalesce(F.get(holds, F.lit(0)), F.col("path")))
     text = F.coalesce(F.concat_ws(" ", F.transform(inside(F.col("path")), lambda b: b["text"])), F.lit(""))
     return both.select("page_id", "url", "host", "path", text.alias("text"))
 

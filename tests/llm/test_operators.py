@@ -476,3 +476,13 @@ def test_html_keeps_title_and_lead_beside_the_body():
         page = f"<body><div><a href='/'>home page</a></div><article><h1>title</h1><p>lead</p>{inner}</article></body>"
         assert html.best_path(html.blocks(page))[0] == ">body>article"
         assert html.best_path(html.blocks(page.replace("article>", "div>")))[0] in (">body>div", ">body")
+
+
+def test_a_page_of_another_template_keeps_its_article(spark):
+    long = "other words here " * 30
+    good = "<body><div class='c'><p>" + "good words here " * 30 + "</p></div><div class='d'><a href='/'>some links</a></div></body>"
+    odd = f"<body><div class='c'><p><a href='/'>short teaser</a> more</p></div><div class='d'><p>{long}</p></div></body>"
+    extra = good.replace("</body>", "<div class='e'><p>stray</p></div></body>")
+    rows = [(i, "http://h/", good) for i in range(3)] + [(8, "http://h/", extra), (9, "http://h/", odd)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert long.strip() in got[9] and got[8] == got[0] == ("good words here " * 30).strip()
