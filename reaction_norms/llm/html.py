@@ -32,6 +32,9 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 DROPPED_NAMES = frozenset(
     "nav navbar navigation menu menus sidebar sidenav aside footer header masthead topbar ad ads adv advert adverts advertisement advertising banner banners promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments commentlist disqus reply replies respond discussion widget widgets toolbar skip copyright disclaimer legal".split()
 )
+# Parts that may follow such a name, and parts that turn it into something else.
+SUFFIXES = frozenset("bar box wrapper wrap container list area section block inner outer row column col group panel slot unit frame zone region left right top bottom links link buttons button icons icon items item posts post articles form message text title content body".split())
+NEGATIONS = frozenset("has have with without no not non hide".split())
 MAIN_NAMES = frozenset("article content main post entry story text body".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -43,7 +46,8 @@ DEPTH = 64
 HELD, TRIED = 0.9, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z|\"|')", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'", re.S)
+_READ = frozenset("class id role style hidden aria-hidden".split())
 _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSE_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
@@ -52,7 +56,11 @@ _CLOSE_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 def _attributes(text: str) -> dict[str, str]:
     if not text or text.isspace():
         return {}
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        if m[1] and (name := m[1].lower()) in _READ:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")  # the first of repeated ones counts
+    return found
 
 
 def _names(attributes: dict[str, str]) -> set[str]:
@@ -66,16 +74,32 @@ def _dropped(tag: str, attributes: dict[str, str]) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    return tag not in ("article", "main") and not _names(attributes).isdisjoint(DROPPED_NAMES)
+    return attributes.get("role", "").lower() in DROPPED_ROLES
+
+
+def _named_so(attributes: dict[str, str]) -> bool:
+    """Whether a class or id says that the element is not the article: one of the names, or one that
+    ends a longer name, up to suffixes such as -bar; not has-sidebar or ad-free."""
+    for key in ("class", "id"):
+        for token in attributes.get(key, "").split():
+            parts = [p for p in _PARTS.split(_CAMEL.sub("-", token).lower()) if p]
+            while len(parts) > 1 and parts[-1] in SUFFIXES:
+                parts.pop()
+            if parts and parts[-1] in DROPPED_NAMES and parts[0] not in NEGATIONS:
+                return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, str, int, str]]:
-    """(path, text, characters in links, path of the highest main tag or name that holds it) of each block."""
+    """(path, text, characters in links, path of the highest main tag or name that holds it) of each block.
+
+    An element dropped for its name alone stays if it holds the page's only articles, or most
+    of the text of a page that has none elsewhere.
+    """
     out, parts = [], []
-    # open elements: tag, path, whether dropped, path of the highest main container
-    stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
+    # open elements: tag, path, whether dropped, path of the highest main container, elements above with such a name
+    stack: list[tuple[str, str, bool, str, tuple[int, ...]]] = [("", "", False, "", ())]
+    named, articles = 0, []
     linked, links, at, n = 0, 0, 0, len(page)
     opened: Counter[str] = Counter()
 
@@ -84,11 +108,13 @@ def blocks(page: str) -> list[tuple[str, str, int, str]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((stack[-1][1], text, linked, stack[-1][3]))
+                out.append((stack[-1][1], text, linked, stack[-1][3], stack[-1][4]))
             parts, linked = [], 0
 
     def pop(to: int):
         nonlocal links
+        if stack[-1][4] != stack[to - 1][4]:
+            flush()
         for tag, *_ in stack[to:]:
             links -= tag == "a"
             opened[tag] -= 1
@@ -148,13 +174,26 @@ def blocks(page: str) -> list[tuple[str, str, int, str]]:
             path = f"{path}>{tag}" + (f".{classes}" if classes else "")
             if not main and (tag in ("article", "main") or attributes.get("role") == "main" or tag in ("div", "section", "td") and not _names(attributes).isdisjoint(MAIN_NAMES)):
                 main = path
-        if dropped and not above[2]:
+        marked, within = not dropped and tag not in ("html", "body") and bool(attributes) and _named_so(attributes), above[4]
+        if tag in ("article", "main"):
+            if not dropped and not marked:
+                articles.append(within)
+        elif marked:
+            within = (*within, named)
+            named += 1
+        if dropped and not above[2] or within != above[4]:
             flush()
-        stack.append((tag, path, dropped, main))
+        stack.append((tag, path, dropped, main, within))
         links += tag == "a"
         opened[tag] += 1
     flush()
-    return out
+    worth = [0] * named
+    for b in out if named else ():
+        for i in b[4]:
+            worth[i] += max(0, len(b[1]) - 2 * b[2])
+    whole = sum(max(0, len(b[1]) - 2 * b[2]) for b in out)
+    spared = {i for i in range(named) if all(i in w for w in articles) and (articles or 2 * worth[i] > whole)}
+    return [b[:4] for b in out if spared.issuperset(b[4])]
 
 
 def _worth(text: str, linked: int, main: str) -> int:

@@ -486,3 +486,18 @@ def test_a_page_of_another_template_keeps_its_article(spark):
     rows = [(i, "http://h/", good) for i in range(3)] + [(8, "http://h/", extra), (9, "http://h/", odd)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert long.strip() in got[9] and got[8] == got[0] == ("good words here " * 30).strip()
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post with-comments", "article-body ad-free", "legal-news", "page-layout no-sidebar"])
+def test_html_names_that_only_speak_of_others_stay(name):
+    assert [b[1] for b in html.blocks(f"<body><div class='{name}'><p>the text</p></div><div class='{name}'><p>more</p></div></body>")] == ["the text", "more"]
+
+
+def test_html_spares_what_holds_the_article_and_reads_attributes_by_name():
+    kept = lambda page: [b[1] for b in html.blocks(page)]
+    assert kept("<body><div class='sidebar'><article><p>the text</p></article></div></body>") == ["the text"]
+    assert kept("<body><div class='notice'><p>nearly all of the text</p></div><p>few</p></body>") == ["nearly all of the text", "few"]
+    # an article elsewhere: comments and menus go, whatever they hold
+    assert kept("<body><article>a</article><div class='comments-area'><article>one comment of many words</article></div><div id='nav-bar'>m</div></body>") == ["a"]
+    assert kept("<p title='a hidden gem'>one</p><p data-id='nav-1' data-class=\"ad\">two</p><p hidden>three</p><p title=\"it's\" class='ad'>x</p>") == ["one", "two"]
+    assert kept("<body><p>a <span class='ad'>b</span> c</p></body>") == ["a", "c"]
