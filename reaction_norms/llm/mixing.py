@@ -1,7 +1,7 @@
 """Mixing sources to target weights in fixed-length blocks (operator 8).
 
 The words of each source, its documents in pseudorandom order, form one stream, cut into
-blocks. Each output shard draws its source counts multinomially by target weight; draws beyond
+blocks; a source whose target is few blocks has shorter ones. Each output shard draws its source counts multinomially by target weight; draws beyond
 a source's target give way to sources that lack some, so totals meet the targets. The slots
 of a source run over its blocks in a pseudorandom permutation, once through before any block
 comes again, and blocks are joined by index. DataFrame functions only.
@@ -57,12 +57,21 @@ def _by_interval(points: DataFrame, at: str, intervals: DataFrame, low: str, hig
     return joined.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("cell")
 
 
+def block_of(size: Column, target: Column, block: int) -> tuple[Column, Column]:
+    """Words in a block of a source, and how many blocks to take. A source taken whole gives each block
+    as often as may be; any other has 16 blocks or more in what it gives, as far as words go."""
+    whole = target >= MOST * size
+    words = F.when(whole, block).otherwise(F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.least(size, target) / 16)))).cast("long")
+    all_blocks = MOST * F.ceil(size / words)
+    return words, F.when(whole, all_blocks).otherwise(F.least(F.round(target / words).cast("long"), all_blocks))
+
+
 def slots(sources: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """shard, slot, source_id, turn, block: which block of which source fills each slot."""
     spark = sources.sparkSession
     w = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = F.ceil(F.col("source_size") / block)
-    sources = sources.select("source_id", blocks.alias("blocks"), F.least(F.round(F.col("target") / block).cast("long"), MOST * blocks).alias("want"))
+    words, want = block_of(F.col("source_size"), F.col("target"), block)
+    sources = sources.select("source_id", F.ceil(F.col("source_size") / words).alias("blocks"), want.alias("want"))
     sources = sources.filter("want > 0").withColumn("low", F.coalesce(F.sum("want").over(w), F.lit(0))).withColumn("high", F.col("low") + F.col("want"))
     sources = stored(sources, "wants")
     total = sources.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
@@ -107,10 +116,12 @@ def streams(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 def pieces(rows: DataFrame, sources: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """The rows, one for each block that they touch: low, high (words of the row) and times taken."""
     taken = slots(sources, seed, block).groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    touched = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    return touched.join(taken, ["source_id", "block"], "left").withColumn("low", low).withColumn("high", high).withColumn("times", F.coalesce("times", F.lit(0)))
+    words = F.col("words")
+    rows = rows.filter("size > 0").withColumn("words", block_of(F.col("source_size"), F.col("target"), block)[0])
+    touched = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / words), F.floor((F.col("start") + F.col("size") - 1) / words))))
+    low = F.greatest(F.col("block") * words - F.col("start"), F.lit(0))
+    high = F.least((F.col("block") + 1) * words - F.col("start"), F.col("size"))
+    return touched.join(taken, ["source_id", "block"], "left").withColumn("low", low).withColumn("high", high).withColumn("times", F.coalesce("times", F.lit(0))).drop("words")
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:

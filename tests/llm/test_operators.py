@@ -412,6 +412,20 @@ def test_mixing(spark, docs, table):
     assert got.sort_index().to_dict() == want.sort_index().to_dict()
 
 
+def test_small_sources_meet_their_targets(spark):
+    n = {"a": 20, "b": 150, "c": 40_000, "d": 5, None: 300}
+    docs = frame(spark, [" ".join([s or "null"] * k) for s, k in n.items()], list(n))
+    rows = mixing.mix(docs).toPandas()
+    assert dict(zip(rows.doc_id, rows["size"])) == dict(enumerate(n.values()))
+    assert (rows.target[rows["size"] < 1000] == 2 * rows["size"][rows["size"] < 1000]).all()
+    assert (abs(rows.taken - rows.target) <= 0.02 * rows.target).all()
+    made = mixing.mixed_documents(docs).toPandas()
+    assert made.text.map(lambda t: len(t.split())).groupby(made.doc_id).sum().to_dict() == dict(zip(rows.doc_id, rows.taken))
+    # a target below the limit: b and c have equal shares of what the smallest source leaves
+    rows = mixing.mix(frame(spark, ["x " * 150, "y " * 150, "z " * 150], ["a", "b", "c"])).toPandas()
+    assert (rows.target < 300).any() and (abs(rows.taken - rows.target) <= 0.1 * rows.target).all()
+
+
 def test_permutation(spark):
     for n in (1, 2, 97, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(11)).alias("x"))
