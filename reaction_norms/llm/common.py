@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +49,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Written once to the shared folder and read back: cuts the lineage, survives lost executors."""
+    return written(df, name, codec)[0]
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """``stored`` with the table's path, for ``discard``."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``written`` whose successor is written and that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,6 +75,11 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, SPACE_RUN))).cast("long")
 
 
+def process_cache() -> dict:
+    """What a worker process keeps from task to task. Task code is shipped by value, so its own globals begin anew."""
+    return vars(sys.modules.setdefault("_llm_process_cache", ModuleType("_llm_process_cache")))
+
+
 def by_batch(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str) -> DataFrame:
     """Apply a function of Arrow batches to every batch, in place."""
 

@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reaction_norms.llm.common import documents, stored
+from reaction_norms.llm.common import documents, process_cache, stored
 
 LENGTH, END = 1024, 0
-_CODERS: dict = {}
 
 
 @dataclass
@@ -51,9 +50,10 @@ class Coder:
 
 def coder(tokenizer: str, ranks: str) -> Coder:
     """One coder for each worker process."""
-    if (tokenizer, ranks) not in _CODERS:
-        _CODERS[tokenizer, ranks] = Coder(tokenizer, ranks)
-    return _CODERS[tokenizer, ranks]
+    made = process_cache()
+    if (tokenizer, ranks) not in made:
+        made[tokenizer, ranks] = Coder(tokenizer, ranks)
+    return made[tokenizer, ranks]
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, end: int = END) -> DataFrame:
