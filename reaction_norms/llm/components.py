@@ -11,8 +11,8 @@ from reaction_norms.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that each other node of the edges (a, b; longs) reaches.
 
-    Each round hangs neighbours on their least neighbour, in joins only: no group is
-    gathered, and each round's edges are a written table, so that a lost executor costs its
+    Each round hangs neighbours on their least neighbour, in shuffled joins only (the tables compress so
+    well that their size on disk would pass for that of a small one): no group is gathered, and each round's edges are a written table, so that a lost executor costs its
     tasks alone. Ends when a round changes nothing (about the logarithm of the longest path).
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -22,10 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # larger neighbours go to the least one of the neighbourhood
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # smaller neighbours and the node itself go to the least smaller one
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = stored(small.filter("a <> b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:

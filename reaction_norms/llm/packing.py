@@ -28,7 +28,8 @@ LENGTH, END = 1024, 0
 @dataclass
 class Coder:
     """Byte-level BPE ids of whole texts. ``ranks`` holds the vocabulary of ``tokenizer`` as ranks;
-    texts with the string of a special token go to ``tokenizer`` itself."""
+    texts with the string of a special token, and those whose runs of white space are too long
+    for the matcher of the ranks' coder, go to ``tokenizer`` itself."""
 
     tokenizer: str
     ranks: str
@@ -41,10 +42,14 @@ class Coder:
         self.kind = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        ids = None
+        if not any(s in text for s in self.special):
+            try:
+                ids = self.fast.encode_to_numpy(text)
+            except ValueError:  # its matcher ran out of stack
+                pass
+        if ids is None:
             ids = np.array(self.full.encode(text, add_special_tokens=False).ids)
-        else:
-            ids = self.fast.encode_to_numpy(text)
         return ids.astype(self.kind).tobytes()
 
 

@@ -9,19 +9,12 @@ whose distances to any pivot differ by more than ``max_bits`` is discarded, and
 are verified bit by bit. Buckets over the tile size are cut into tiles, and every pair of
 tiles is a bucket of its own, so no task holds more than two tiles and no pair is lost. Each
 bucket returns a spanning forest of its links, never its pairs.
-
-``similar`` estimates similarity instead: more bits may differ than blocks could find, so
-fingerprints are four times as wide and meet where sampled bits of theirs are equal; pivot
-tables and the verification are the same.
-
-``alike`` decides similarity by the shingle sets themselves. Bands of least hashes only say which
-texts to compare; each link is an exact Jaccard similarity, counted in a join. ``keep_one`` uses it.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, ceil, log, log2, pi, sqrt
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +26,6 @@ from reaction_norms.llm.common import DOCUMENT, by_batch, documents, shuffle_par
 from reaction_norms.llm.components import components
 
 SHINGLE, MAX_BITS, PIVOTS = 4, 4, 16
-#: Words of 64 bits in a wide fingerprint; ways in which a component's rows are dealt out.
-WORDS, SALTS = 4, 32
-#: Bands of least hashes in which texts meet, and least hashes in a band: a pair of Jaccard
-#: similarity 0.8 misses all bands with a chance of (1 - 0.8 ** 5) ** 35, about one in a million.
-BANDS, BAND = 35, 5
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -79,6 +67,17 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return by_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, fp long")
 
 
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The columns of documents with fp, one row per row of docs."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "fp"])
+
+    docs = docs.select(*DOCUMENT)
+    return by_batch(docs, rows, docs.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", fp long")
+
+
 def block_keys(n: int, max_bits: int = MAX_BITS) -> list[int]:
     """Bit masks of which two fingerprints in reach share one at least.
 
@@ -181,11 +180,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, max_bits))
+    roots = components(links(classes, max_bits)).hint("merge")
     labelled = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = stored(labelled.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(of_class.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -196,302 +195,18 @@ def op6_simhash(spark, sf_dir) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> list[int]:
-    """The fingerprint of a text in ``WORDS`` words of 64 bits, each from hashes mixed anew."""
-    h, out = shingle_hashes(text, shingle), []
-    for k in range(WORDS):
-        x = h ^ np.uint64(xxhash.xxh64_intdigest(str(k), 2))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with the columns of documents.
 
-
-def share_of_bits(similarity: float) -> float:
-    """Share of bits that differ, on average, between texts whose shingle sets are so similar (Jaccard)."""
-    return acos(2 * similarity / (1 + similarity)) / pi
-
-
-def sampled_bits(n: int, similarity: float, recall: float = 0.97) -> np.ndarray:
-    """Places of the fingerprint's bits that make up each key, one row per key.
-
-    n fingerprints leave about 32 in a bucket, and there are so many keys that a pair of the
-    given similarity shares one of them with the chance ``recall``.
+    It is the row of the least doc_id, among rows that repeat it that of the least text (null before
+    others); a component without any id keeps its least text. Null and empty texts and texts without words
+    have one fingerprint, so one of them stays. No rows: no rows. Extra columns are not read.
     """
-    width = min(48, max(10, ceil(log2(max(n, 2))) - 5))
-    tables = ceil(log(1 - recall) / log(1 - (1 - share_of_bits(similarity)) ** width))
-    rng = np.random.default_rng(5)
-    return np.array([rng.choice(64 * WORDS, width, replace=False) for _ in range(tables)])
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
-
-
-def _wide_pivots() -> np.ndarray:
-    return pivots(PIVOTS * WORDS).reshape(PIVOTS, WORDS)
-
-
-def _small_links(fp: np.ndarray, bucket: np.ndarray, dist: np.ndarray, reach: int) -> np.ndarray:
-    """label[i]: a lesser place that row i is linked to over links inside its bucket, else i. Buckets are runs."""
-    label, far, at = np.arange(len(fp)), 0, np.arange(len(fp))
-    while len(at):
-        far += 1
-        at = at[at + far < len(fp)]
-        at = at[bucket[at] == bucket[at + far]]
-        i, j = at, at + far
-        near = np.abs(dist[i] - dist[j]).max(1, initial=0) <= reach
-        i, j = i[near], j[near]
-        near = _apart(fp[i], fp[j]) <= reach
-        i, j = i[near], j[near]
-        while len(i):
-            a, b = label[i], label[j]
-            if (a == b).all():
-                break
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label[label] != label).any():
-                label = label[label]
-    return label
-
-
-def _large_links(fp: np.ndarray, tile: np.ndarray, dist: np.ndarray, reach: int) -> np.ndarray:
-    """The same for one bucket: each row that is reached looks for rows that are not yet, so that a
-    group of copies costs one look. Two tiles: only links across them count."""
-    n, two = len(fp), tile.min() != tile.max()
-    label, order = np.arange(n), np.argsort(dist[:, 0], kind="stable")
-    open_rows, first = order, dist[order, 0]
-    queue = []
-    while len(open_rows):
-        if queue:
-            i = queue.pop()
-        else:
-            i = root = int(open_rows[0])
-            open_rows, first = open_rows[1:], first[1:]
-        lo, hi = np.searchsorted(first, [dist[i, 0] - reach, dist[i, 0] + reach + 1])
-        j = open_rows[lo:hi]
-        near = np.abs(dist[j] - dist[i]).max(1, initial=0) <= reach
-        if two:
-            near &= tile[j] != tile[i]
-        at = np.flatnonzero(near)
-        at = at[_apart(fp[j[at]], fp[i]) <= reach]
-        if len(at):
-            found = j[at]
-            label[found] = root
-            queue.extend(found.tolist())
-            left = np.ones(len(open_rows), bool)
-            left[lo + at] = False
-            open_rows, first = open_rows[left], first[left]
-    return label
-
-
-def similar_links(classes: DataFrame, similarity: float, reach: int) -> DataFrame:
-    """a, b (nodes): links between distinct wide fingerprints (columns f0, ...) that join those in reach."""
-    spark, parts = classes.sparkSession, shuffle_partitions(classes.sparkSession)
-    bits = sampled_bits(classes.count(), similarity)
-    names = [f"f{k}" for k in range(WORDS)]
-    fields = ", ".join(f"{c} long" for c in names)
-    salt = np.array([xxhash.xxh64_intdigest(str(t), 3) for t in range(len(bits))], np.uint64)
-
-    def keys(batch: pa.RecordBatch):
-        fp = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
-        flat = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-        for t, places in enumerate(bits):
-            key = flat[:, places].astype(np.uint64) @ (np.uint64(1) << np.arange(len(places), dtype=np.uint64))
-            key = (key ^ salt[t]) * np.uint64(0x9E3779B97F4A7C15)
-            yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(32))).view(np.int64)), *batch.columns], ["key", *names])
-
-    keyed = by_batch(classes.select(*names), keys, f"key long, {fields}")
-    size = 8192
-    hot = stored(keyed.groupBy("key").count().filter(F.col("count") > size).select("key", F.ceil(F.col("count") / size).cast("int").alias("tiles")), "tiles")
-    met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("one"), F.greatest(t, F.col("own")).alias("two")))
-    whole = keyed.join(hot, "key", "left_anti").select("key", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("own"), *names)
-    split = keyed.join(hot, "key").withColumn("own", F.pmod(F.xxhash64(*names), F.col("tiles")).cast("int"))
-    split = split.select("key", F.explode(met).alias("met"), "own", *names).select("key", "met.one", "met.two", "own", *names)
-    rows = whole.unionByName(split).repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
-
-    def links_of(columns: list[np.ndarray]):
-        fp = np.stack([c.view(np.uint64) for c in columns[4:]], 1)
-        dist = np.stack([_apart(fp, p) for p in _wide_pivots()], 1)
-        new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]
-        starts = np.r_[np.flatnonzero(new), len(fp)]
-        bucket, sizes = np.cumsum(new), np.diff(starts)
-        small = np.flatnonzero(np.repeat(sizes <= 64, sizes))
-        label = np.arange(len(fp))
-        label[small] = small[_small_links(fp[small], bucket[small], dist[small], reach)]
-        for s, k in zip(starts[:-1][sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-            label[s : s + k] = s + _large_links(fp[s : s + k], columns[3][s : s + k], dist[s : s + k], reach)
-        at = np.flatnonzero(label != np.arange(len(fp)))
-        ends = [pa.array(c[x]) for x in (at, label[at]) for c in columns[4:]]
-        return pa.RecordBatch.from_arrays(ends, [f"{e}{k}" for e in "ab" for k in range(WORDS)])
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns)]
-            if not len(columns[0]):
-                continue
-            # the last bucket may go on in the next batch
-            last = np.flatnonzero(np.any([c != c[-1] for c in columns[:3]], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield links_of([c[:cut] for c in columns])
-            rest = [c[cut:] for c in columns]
-        if rest is not None:
-            yield links_of(rest)
-
-    ends = rows.mapInArrow(run, ", ".join(f"{e}{k} long" for e in "ab" for k in range(WORDS)))
-    return ends.select(*(F.xxhash64(*(f"{e}{k}" for k in range(WORDS))).alias(e) for e in "ab"))
-
-
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of every row: the least doc_id that it reaches over links, which join
-    texts whose word shingles are so similar (Jaccard) by their fingerprints of 256 bits.
-
-    The bits that differ estimate the similarity; a pair counts as linked up to 0.75 standard
-    deviations more than the similarity gives on average. Equal texts are always one component.
-    Null and empty texts are alike. A null doc_id counts for no component_id unless all ids of
-    the component are null (then null). No rows: no rows. Extra columns are not read.
-    """
-    share = share_of_bits(similarity)
-    reach = int(64 * WORDS * share + 0.75 * sqrt(64 * WORDS * share * (1 - share)))
-    names = [f"f{k}" for k in range(WORDS)]
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([wide_fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64).reshape(-1, WORDS).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(WORDS))], ["doc_id", *names])
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = stored(by_batch(texts, rows, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "wide").withColumn("node", F.xxhash64(*names))
-    classes = stored(found.groupBy(*names, "node").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(similar_links(classes, similarity, reach)).withColumnRenamed("node", "_node")
-    labelled = classes.join(roots, classes.node == roots["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # a component may hold a third of all classes: its members meet copies of its one row
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    labelled = labelled.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
-    of_class = stored(labelled.join(least, ["root", "salt"], "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "components")
-    return found.select("doc_id", "node").join(of_class, "node").select("doc_id", "component_id")
-
-
-def _least_hashes() -> tuple[np.ndarray, np.ndarray]:
-    """Xor masks and odd factors, one row for each least hash."""
-    masks, factors = (np.array([xxhash.xxh64_intdigest(str(i), seed) for i in range(BANDS * BAND)], np.uint64)[:, None] for seed in (4, 5))
-    return masks, factors | np.uint64(1)
-
-
-def band_keys(shingles: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One key per band from a text's distinct shingles: alike for two texts with the chance similarity ** BAND."""
-    least = np.full(BANDS * BAND, ~np.uint64(0))
-    for i in range(0, len(shingles), 4096):
-        np.minimum(least, ((shingles[i : i + 4096] ^ masks) * factors).min(1), out=least)
-    rows = least.reshape(BANDS, BAND)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), t) for t, r in enumerate(rows)], np.uint64)
-
-
-def shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows with node (digest of the shingle set), n (its size) and keys (of its bands)."""
-    masks, factors = _least_hashes()
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
-        node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 6) for h in found], np.uint64).view(np.int64)
-        keys = [band_keys(h, masks, factors).view(np.int64) for h in found]
-        added = [pa.array(node), pa.array([len(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "node", "n", "keys"])
-
-    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    base = docs.select(*(F.col(c).cast(k) for c, k in kinds.items()))
-    return by_batch(base, rows, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", node long, n long, keys array<long>")
-
-
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles (a set) from node, text."""
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch["text"].to_pylist()]
-        return pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return by_batch(texts.select("node", "text"), rows, "node long, shingles array<long>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the pairs whose shingle sets are so similar (Jaccard), in thousandths."""
-    least = round(1000 * similarity)
-    # the one set that many meet is copied, one copy to 256 of them
-    ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("ways"))
-    ones = sets.join(ways, sets.node == ways.a).select("a", "ways", F.col("shingles").alias("one"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-    dealt = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).drop("ways")
-    both = dealt.join(ones.drop("ways"), ["a", "way"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
-    shared = both.select("a", "b", (F.size("one") + F.size("two")).cast("long").alias("total"), F.size(F.array_intersect("one", "two")).cast("long").alias("shared"))
-    return shared.filter(1000 * F.col("shared") >= least * (F.col("total") - F.col("shared"))).select("a", "b")
-
-
-def alike_roots(found: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, root of the nodes that a link joins to a lesser one, from the rows of ``shingled``.
-
-    In each bucket a few nodes (hubs) meet all others, then more of them, until all that is in the bucket
-    is one component or every pair of different components in it has been compared. So a group
-    of copies costs its size, not its pairs, and no link between two components goes unseen.
-    """
-    classes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = classes.select("node", "n", F.posexplode("keys").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).drop("band")
-    keyed = stored(keyed.withColumn("u", F.xxhash64(F.lit(8), "node")), "bands")
-    many = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("first")).filter("size > 1")
-    active = stored(keyed.join(many, "key"), "buckets")
-    most = active.agg(F.max("size")).first()[0] or 0
-    texts = found.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = stored(shingle_sets(texts, shingle), "sets")
-    links, roots = None, None
-    low = high = 0
-    least = round(1000 * similarity)
-    while True:
-        # a node is a hub early if its hash is small for the bucket's size; the first one is one from the start
-        place = (F.col("u").cast("double") / 2.0**64 + 0.5) * F.col("size")
-        turn = F.when(F.col("u") == F.col("first"), -1).when(place < low, 0).when(place < high, 1).otherwise(2)
-        now = -1 if high == 0 else 1
-        state = active.withColumn("turn", turn).withColumn("root", F.col("node") if roots is None else F.col("root")).filter(F.col("turn") >= now)
-        hubs = state.filter(F.col("turn") == now).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("root").alias("root_a"))
-        others = state.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("root").alias("root_b"), "turn")
-        pairs = others.join(hubs, "key").filter((F.col("root_a") != F.col("root_b")) & ((F.col("turn") > now) | (F.col("u_a") < F.col("u_b"))))
-        pairs = pairs.filter(1000 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-        new = verified(stored(pairs, "pairs"), sets, similarity)
-        links = stored(new if links is None else links.unionByName(new), "links")
-        roots = components(links)
-        if high >= most:
-            return roots
-        low, high = high, max(8, 8 * high)
-        named = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        active = active.drop("root").join(named, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
-        active = stored(active, "active")
-        left = active.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m <> x").select("key")
-        active = stored(active.join(left, "key", "left_semi"), "active")
-        most = active.agg(F.max("size")).first()[0] or 0
-        if most == 0:
-            return roots
-
-
-def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows with root, the key of their component: links join texts whose sets of word shingles have
-    that Jaccard similarity or more, by count.
-
-    Of the pairs that similar, one in a million may never be compared (``BANDS``). Repeated shingles
-    count once. Texts without words are alike. No rows: no rows. Extra columns are not read.
-    """
-    found = stored(shingled(docs, shingle), "shingled")
-    roots = alike_roots(found, shingle, similarity).withColumnRenamed("node", "_node")
-    rows = found.join(roots, found.node == roots["_node"], "left")
-    return rows.select(*DOCUMENT, F.coalesce("root", "node").alias("root"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: the least doc_id, of rows that repeat it the least text. A component
-    without any id keeps its least text; a null doc_id is never a reason to join components."""
-    found = stored(shingled(docs, 5), "shingled")
-    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *DOCUMENT)).alias("row")
+    found = stored(fingerprinted(docs, shingle), "fingerprinted")
+    classes = stored(found.select("fp").distinct(), "classes")
+    roots = components(links(classes, max_bits)).hint("merge")
     # copies become one row where they lie, before they meet the root of their component
-    nodes = found.groupBy("node").agg(row)
-    roots = alike_roots(found, 5, 0.8).withColumnRenamed("node", "_node")
-    rooted = nodes.join(roots, nodes.node == roots["_node"], "left").withColumn("root", F.coalesce("root", "node"))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *DOCUMENT)).alias("row")
+    nodes = found.groupBy("fp").agg(row)
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "row")
     return rooted.groupBy("root").agg(F.min("row").alias("row")).select(*(f"row.{c}" for c in DOCUMENT))

@@ -48,21 +48,27 @@ def words(text: str) -> set[str]:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 300) -> np.ndarray:
-    """Ridge logistic weights (constant last) by accelerated gradient steps."""
-    x = np.c_[x, np.ones(len(x), x.dtype)]
-    w = now = np.zeros(x.shape[1])
-    weight = np.full(len(y), 1 / len(y))
+def logistic(x: np.ndarray, y: np.ndarray, used: np.ndarray, ridge: float = 1e-4, steps: int = 300) -> np.ndarray:
+    """Ridge logistic weights (constant last) of the rows ``used``, by accelerated gradient steps; x is never copied."""
+    weight = (used / used.sum()).astype(x.dtype)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return x @ v[:-1].astype(x.dtype) + x.dtype.type(v[-1])
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.r_[v.astype(x.dtype) @ x, v.sum()]
+
+    w = now = np.zeros(x.shape[1] + 1)
     # the curvature is at most a quarter of the greatest eigenvalue of x'x/n, found by power steps
-    v = np.ones(x.shape[1], x.dtype)
+    v = np.ones(x.shape[1] + 1, x.dtype)
     for _ in range(20):
-        v = x.T @ (x @ v) / len(y)
+        v = back(weight * times(v))
         top = float(np.linalg.norm(v))
         v /= top
     rate = 1 / (0.25 * 1.1 * top + ridge)
     for t in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ now.astype(x.dtype), -30, 30)))
-        new = now - rate * (x.T @ (weight * (p - y)).astype(x.dtype) + ridge * now)
+        p = 1 / (1 + np.exp(-np.clip(times(now), -30, 30)))
+        new = now - rate * (back(weight * (p - y)) + ridge * now)
         if (new - now) @ (new - w) < 0:  # overshot: start the momentum anew
             now = w
             continue
@@ -71,7 +77,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 300
 
 
 def chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
 
 
 @dataclass
@@ -108,32 +114,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, vocabulary: int
     share = (n["toxic"] + 1) / (n["all"] + 2)
     seen = picked.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
     spread = F.sqrt(F.col("n") * share * (1 - share))
-    known = [w for ws in seeds.values() for w in ws]
     top = seen.filter("n >= 5").orderBy(F.desc(F.abs(F.col("toxic") - F.col("n") * share) / spread), "word").limit(vocabulary)
     place = {w: i for i, w in enumerate(sorted(r["word"] for r in top.collect()))}
-    wanted = sorted({*place, *known})
-    got = picked.select("doc_id", "label", "fold", F.array_intersect("words", F.array(*map(F.lit, wanted))).alias("words")).orderBy("doc_id", "label").toArrow().to_pylist()
-    x = np.zeros((len(got), len(place)), np.float32)
-    for i, r in enumerate(got):
-        x[i, [place[w] for w in r["words"] if w in place]] = 1
-    fold = np.array([r["fold"] for r in got], int)
-    toxic = np.array([r["label"] for r in got], float)
-    marks = {c: np.array([float(r["label"] == 1 and not set(ws).isdisjoint(r["words"])) for r in got]) for c, ws in seeds.items()} | {"toxic": toxic}
-    models, earlier = {}, np.zeros((len(got), 0), np.float32)
-    for name, y in marks.items():
-        both = np.c_[x, earlier].astype(np.float32)
+    seeded = [(len(place) + i, frozenset(ws)) for i, ws in enumerate(seeds.values())]
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # places of the words, and behind them those of the categories that have a seed word in the text
+        at = [[place[w] for w in ws if w in place] + [i for i, known in seeded if not known.isdisjoint(ws)] for ws in batch["words"].to_pylist()]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["fold"], pa.array(at, pa.list_(pa.int32()))], ["doc_id", "label", "fold", "at"])
+
+    got = by_batch(picked.select("doc_id", "label", "fold", "words"), placed, "doc_id long, label int, fold long, at array<int>").orderBy("doc_id", "label").toArrow()
+    fold, toxic = (got[c].to_numpy().astype(np.float64) for c in ("fold", "label"))
+    at = got["at"].combine_chunks()
+    # one dense matrix, at most ``rows`` by ``vocabulary`` and the categories: words, then each category's place
+    n_words = len(place)
+    x = np.zeros((len(got), n_words + len(seeds)), np.float32)
+    x[np.repeat(np.arange(len(at)), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = 1
+    marks = {c: toxic * x[:, n_words + i] for i, c in enumerate(seeds)} | {"toxic": toxic}
+    models = {}
+    for i, (name, y) in enumerate(marks.items()):
+        both = x[:, : n_words + i]  # words and earlier chances
         if len(set(y)) < 2:
             even = (y.sum() + 1) / (len(y) + 2)
             w = np.r_[np.zeros(both.shape[1]), np.log(even / (1 - even))]
             out = np.full(len(y), even)
         else:
-            w, out = logistic(both, y), np.full(len(y), y.mean())
+            w, out = logistic(both, y, np.ones(len(y))), np.full(len(y), y.mean())
             for f in range(folds):
-                held, rest = fold == f, fold != f
-                if held.any() and len(set(y[rest])) == 2:
-                    out[held] = chance(both[held], logistic(both[rest], y[rest]))
+                held = fold == f
+                if held.any() and len(set(y[~held])) == 2:
+                    out[held] = chance(both, logistic(both, y, ~held))[held]
         models[name] = w
-        earlier = np.c_[earlier, out]
+        if name in seeds:
+            x[:, n_words + i] = out  # the place of the category, whose marks are read already
     return Chain(place, models)
 
 
