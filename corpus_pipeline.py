@@ -15,7 +15,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: five-word shingle sets of Jaccard similarity 0.8 or more."""
+    """One document of each group of near-copies: fingerprints of four-word shingles, linked at four or fewer differing bits."""
     return simhash.keep_one(docs)
 
 
