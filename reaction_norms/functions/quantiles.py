@@ -2,24 +2,27 @@
 
 Holding a group's values in one task is right for posterior draws (a fixed number,
 ``draw_quantiles``) and wrong for plants, where a group such as one garden grows with
-the data. There (``exact_quantiles``) a bounded sketch brackets every wanted rank,
-rows below a bracket are only counted, and only the thin bracket is ordered.
+the data. There (``exact_quantiles``) every wanted rank has a bracket of values that is narrowed until it holds
+no more than ``LIMIT`` values; only those are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reaction_norms.functions.lookup import with_levels
+from reaction_norms.session import materialize
 
-# The sketch is off by at most 1 / ACCURACY of the ranks. Brackets add room for that and
-# for the two neighbouring ranks of an interpolation, which matter below ACCURACY rows:
-# such a small group is its own bracket.
+#: Most values of a bracket, all of which one task orders.
+LIMIT = 20_000
+#: A sketch is off by at most 1 / ACCURACY of the ranks. First brackets add room for that; later
+#: ones are cut at the GRID of evenly spaced ranks of the bracket before.
 ACCURACY = 10_000
 MARGIN = 8.0 / ACCURACY
+GRID = 256
 
 
 def draw_quantiles(
@@ -51,7 +54,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per ``by`` group with an interpolated (type 7) quantile per name in ``probs``.
 
-    ``by`` are factor columns, of any number of levels.
+    ``by`` are factor columns, of any number of levels. A rank's bracket is cut at two values that a bounded
+    sketch proposes: the rows below, at, between and above them are counted, and the count
+    says exactly which part holds the rank, however wrong the sketch. Every cut
+    leaves out the values at which it is made, so the narrowing ends for any data. Each is one pass; groups
+    of up to ``LIMIT`` rows need none. The brackets, one row per group, are written tables.
     """
     names, wanted = list(probs), list(by)
     by = wanted or ["_all"]
@@ -61,60 +68,99 @@ def exact_quantiles(
 
     lows = F.array(*[F.lit(max(p - MARGIN, 0.0)) for p in probs.values()])
     highs = F.array(*[F.lit(min(p + MARGIN, 1.0)) for p in probs.values()])
-    brackets = data.groupBy(*by).agg(
-        F.percentile_approx("_v", lows, ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", highs, ACCURACY).alias("_hi"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        (F.count(F.lit(1)) < ACCURACY).alias("_small"),
+    sketch = data.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", lows, ACCURACY).alias("_a"),
+        F.percentile_approx("_v", highs, ACCURACY).alias("_b"),
     )
-    marks = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(F.col("_small") | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-            F.when(F.col("_small") | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
-        )
-        for i, p in enumerate(probs.values())
-    ]
-    bracketed = with_levels(data, brackets, by, ["_lo", "_hi", "_min", "_max", "_small"])
-    # Per probability: NULL stands for "below the bracket", NaN for "above it";
-    # both collapse to one counted row per task before the shuffle.
-    kept = bracketed.select(*by, "_v", F.explode(F.array(*marks)).alias("m")).select(
-        *by,
-        F.col("m.i").alias("_i"),
-        F.when(F.col("_v") < F.col("m.lo"), None)
-        .when(F.col("_v") > F.col("m.hi"), float("nan"))
-        .otherwise(F.col("_v"))
-        .alias("_b"),
+    targets = []
+    for i, p in enumerate(probs.values()):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for j, rank in enumerate((F.floor(h), F.ceil(h))):
+            part = {
+                "i": F.lit(2 * i + j), "rank": rank.cast("long"), "share": h - F.floor(h), "below": F.lit(0).cast("long"),
+                "inside": F.col("_n"), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"),
+                "a": F.col("_a")[i], "b": F.col("_b")[i], "answer": F.lit(None).cast("double"),
+            }
+            targets.append(F.struct(*[c.alias(k) for k, c in part.items()]))
+    state = materialize(sketch.select(*by, F.array(*targets).alias("_t")))
+    while _widest(state) > LIMIT:
+        state = materialize(_narrowed(data, state, by))
+
+    # equal brackets, such as all those of a small group, are gathered once
+    brackets = F.array_distinct(F.transform(F.filter("_t", lambda t: t["answer"].isNull()), lambda t: F.struct(t["lo"].alias("lo"), t["hi"].alias("hi"))))
+    held = _inside(with_levels(data, state.select(*by, brackets.alias("_w")), by, ["_w"]), by, "_w")
+    gathered = held.groupBy(*by, "_x.lo", "_x.hi").agg(F.sort_array(F.collect_list("_v")).alias("_all_of"))
+    known = gathered.groupBy(*by).agg(F.collect_list(F.struct("lo", "hi", "_all_of")).alias("_k"))
+    rows = with_levels(state, known, by, ["_k"])
+
+    def found(t: Column) -> Column:
+        mine = F.filter("_k", lambda k: k["lo"].eqNullSafe(t["lo"]) & k["hi"].eqNullSafe(t["hi"]))
+        return F.coalesce(t["answer"], F.get(F.get(mine, 0)["_all_of"], (t["rank"] - t["below"]).cast("int")))
+
+    rows = rows.withColumn("_q", F.transform("_t", lambda t: F.struct(t["i"].alias("i"), t["share"].alias("share"), found(t).alias("q"))))
+
+    def value_at(target: int) -> Column:
+        return F.filter("_q", lambda t: t["i"] == target)[0]
+
+    def at(i: int) -> Column:
+        low, high = value_at(2 * i), value_at(2 * i + 1)
+        # two infinite neighbours have no difference
+        return F.when(low["q"] == high["q"], low["q"]).otherwise(low["q"] + low["share"] * (high["q"] - low["q"]))
+
+    return rows.select(*wanted, *[at(i).alias(n) for i, n in enumerate(names)])
+
+
+def _widest(state: DataFrame) -> int:
+    open_ = F.transform(F.filter("_t", lambda t: t["answer"].isNull()), lambda t: t["inside"])
+    return state.agg(F.max(F.array_max(open_))).first()[0] or 0
+
+
+def _inside(rows: DataFrame, by: Sequence[str], brackets: str) -> DataFrame:
+    """Every value with each bracket (a struct with the open ends lo and hi, null: no end) that it lies in."""
+    each = rows.select(*by, "_v", F.explode(brackets).alias("_x"))
+    above = F.col("_x.lo").isNull() | (F.col("_v") > F.col("_x.lo"))
+    return each.where(above & (F.col("_x.hi").isNull() | (F.col("_v") < F.col("_x.hi"))))
+
+
+def _narrowed(data: DataFrame, state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each bracket that is too wide, cut at its values a and b."""
+    wide = F.filter("_t", lambda t: t["answer"].isNull() & (t["inside"] > LIMIT))
+    rows = _inside(with_levels(data, state.select(*by, wide.alias("_w")), by, ["_w"]), by, "_w")
+    v, a, b = F.col("_v"), F.col("_x.a"), F.col("_x.b")
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    parts = {"low": v < a, "mid": (v > a) & (v < b), "high": v > b}
+    counts = rows.groupBy(*by, F.col("_x.i").alias("_i")).agg(
+        F.count_if(v == a).alias("at_a"),
+        F.count_if((v == b) & (b > a)).alias("at_b"),
+        *[F.count_if(is_in).alias(k) for k, is_in in parts.items()],
+        *[F.percentile_approx(F.when(is_in, v), grid, ACCURACY).alias(f"grid_{k}") for k, is_in in parts.items()],
     )
-    counts = kept.groupBy(*by, "_i", "_b").agg(F.count(F.lit(1)).alias("_c"))
-
-    whole = Window.partitionBy(*by, "_i")
-    running = whole.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = counts.select(
-        "*", F.sum("_c").over(running).alias("_cum"), F.sum("_c").over(whole).alias("_n")
-    )
-    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs.values()]), F.col("_i") + 1)
-    ranked = ranked.withColumn("_h", (F.col("_n") - 1) * p)
-    # Smallest value whose cumulative count passes a 0-based rank. NaN sorts last, so a
-    # rank outside its bracket would surface as NULL (below) or NaN (above): see below.
-    first = lambda rank: F.min_by(
-        F.col("_b"), F.when(F.col("_cum") > rank, F.col("_cum"))
-    )
-    picked = ranked.groupBy(*by, "_i").agg(
-        first(F.floor("_h")).alias("_a"),
-        first(F.ceil("_h")).alias("_z"),
-        F.max("_h").alias("_h"),
-    )
-    missed = F.col("_a").isNull() | F.col("_z").isNull() | F.isnan("_a") | F.isnan("_z")
-    exact = F.when(missed, F.raise_error(F.lit("quantile rank outside its bracket"))).otherwise(
-        F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_z") - F.col("_a"))
-    )
-    out = (
-        picked.withColumn("_q", exact)
-        .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    flat = state.select(*by, F.explode("_t").alias("t")).withColumn("_i", F.col("t.i"))
+    fields = ["low", "at_a", "mid", "at_b", "high", *(f"grid_{k}" for k in parts)]
+    flat = with_levels(flat, counts, [*by, "_i"], fields)
+    to_a = F.col("low") + F.col("at_a")
+    to_b = to_a + F.col("mid") + F.col("at_b")
+    r = F.col("t.rank") - F.col("t.below")
+
+    def cut(k: str, lo: Column, hi: Column, before: Column) -> Column:
+        below = F.col("t.below") + before
+        place = F.floor((F.col("t.rank") - below) / F.col(k) * GRID).cast("int")
+        return F.struct(
+            "t.i", "t.rank", "t.share", below.alias("below"), F.col(k).alias("inside"), lo.alias("lo"), hi.alias("hi"),
+            F.get(f"grid_{k}", F.greatest(place - 1, F.lit(0))).alias("a"),
+            F.get(f"grid_{k}", F.least(place + 2, F.lit(GRID))).alias("b"),
+            F.lit(None).cast("double").alias("answer"),
+        )
+
+    settled = lambda value: F.col("t").withField("answer", value)
+    ends = F.col("t.lo"), F.col("t.a"), F.col("t.b"), F.col("t.hi")
+    new = (
+        F.when(F.col("low").isNull(), F.col("t"))
+        .when(r < F.col("low"), cut("low", ends[0], ends[1], F.lit(0)))
+        .when(r < to_a, settled(ends[1]))
+        .when(r < to_a + F.col("mid"), cut("mid", ends[1], ends[2], to_a))
+        .when(r < to_b, settled(ends[2]))
+        .otherwise(cut("high", ends[2], ends[3], to_b))
     )
-    return out.select(*wanted, *names)
+    return flat.select(*by, new.alias("t")).groupBy(*by).agg(F.collect_list("t").alias("_t"))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,17 @@ class Design:
                 out[at[f"{pop}:{x}"]] = x
         return out
 
+    def cell_terms(self) -> np.ndarray:
+        """Matrix from coefficients to each population's slopes and cell values, population by population."""
+        rows = []
+        for p in self.populations:
+            slopes = self.active(p, self.years[0])
+            rows += [[float(slopes.get(i, "") == x) for i in range(len(self.terms))] for x in self.covariates]
+            for y in self.years:
+                cell = self.active(p, y)
+                rows.append([float(cell.get(i, "") is None) for i in range(len(self.terms))])
+        return np.array(rows)
+
     def cells(self) -> list[tuple[str, str]]:
         return [(p, y) for p in self.populations for y in self.years]
 

@@ -2,7 +2,9 @@
 
 The data are read once, in a distributed aggregate (``fit_all``); its result
 has one row per factor cell whatever the data size. The closed-form solve of a matrix
-of at most a few dozen columns is local, and the draws are produced by Spark tasks.
+of at most a few dozen columns is local. Draws are built-in expressions of the draw number
+(``Posterior.draws``); code that needs them inside a task computes the same ones there
+(``Posterior.sample``), so no draw passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reaction_norms.functions.lookup import with_levels
+from reaction_norms.functions.quantiles import exact_quantiles
 from reaction_norms.models.design import Design
+from reaction_norms.models.numbers import digest, literal, normals, normals_of, remembered, uniform, uniforms_of
 from reaction_norms.sources.schemas import DRAWS, TERMS
 
 
@@ -32,11 +37,156 @@ class Prior:
     sigma_rate: float = 1.0
 
 
-# The priors of the selection models. ``None`` is the flat prior.
+@dataclass(frozen=True)
+class StudentPrior:
+    """Student-t prior on the intercept (of centred predictors), flat slopes, half Student-t on sigma."""
+
+    location: float
+    scale: float
+    dof: float = 3.0
+
+
+# The priors of the selection models; what the plasticity models get where no prior is
+# named (a scale of 2.5 at least; the factor makes a median absolute deviation a standard
+# deviation). ``None`` is the flat prior.
 SELECTION_PRIOR = Prior()
+LEAST_SCALE = 2.5
+MAD_FACTOR = 1.4826
+SEED = 123
 N_DRAWS = 8_000
 DRAWS_PER_TASK = 1_000
-SIGMA_POINTS = 2_000
+SIGMA_POINTS = 1_000
+#: Places of random numbers that one attempt at a draw takes.
+ATTEMPT_PLACES = 1_000
+
+
+def default_prior(df: DataFrame, design: Design) -> StudentPrior:
+    """The prior of a model without a named one: around the median of the response, as wide as its
+    median absolute deviation, both to one decimal. Two passes; no group is gathered."""
+    y = design.complete_cases(df).select(F.col(design.response).cast("double").alias("y"))
+    middle = exact_quantiles(y, "y", {"m": 0.5}, []).first()
+    if middle is None:
+        raise ValueError("no complete rows to fit")
+    spread = exact_quantiles(y.select(F.abs(F.col("y") - F.lit(middle["m"])).alias("y")), "y", {"m": 0.5}, []).first()
+    return StudentPrior(round(middle["m"], 1), max(LEAST_SCALE, round(MAD_FACTOR * spread["m"], 1)))
+
+
+def _times(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``rows @ matrix``, summed in the order of the columns, so that a row's result does not
+    depend on the rows beside it."""
+    out = np.zeros((len(rows), matrix.shape[1]))
+    for column, weights in zip(rows.T, matrix):
+        out += column[:, None] * weights
+    return out
+
+
+@dataclass(frozen=True)
+class Posterior:
+    """A joint density of (sigma, beta) that draws are taken from directly.
+
+    The logarithm of sigma comes from a table of its distribution function. Given sigma,
+    ``beta = mix @ v`` with independent normal ``v``: precision ``own + data / sigma^2``, mean
+    ``(pull + fit / sigma^2) / precision``. A Student-t prior on the intercept of centred
+    predictors is met by rejection: a draw is kept with the chance of its density
+    against that of the prior's mode, the first of ``attempts`` that is kept counts.
+    """
+
+    log_sigma: np.ndarray
+    cdf: np.ndarray
+    mix: np.ndarray
+    own: np.ndarray
+    data: np.ndarray
+    pull: np.ndarray
+    fit: np.ndarray
+    center: np.ndarray
+    intercept: StudentPrior | None = None
+    attempts: int = 1
+
+    def draws(self, spark: SparkSession, n: int = N_DRAWS, seed: int = SEED, partitions: int | None = None) -> DataFrame:
+        """Draws 1 to n (draw, beta, sigma): built-in expressions of the draw number.
+
+        The number of tasks follows the number of draws, not the size of the cluster.
+        """
+        p, zero = len(self.own), F.lit(0.0)
+        rows = spark.range(1, n + 1, 1, partitions or -(-n // DRAWS_PER_TASK)).withColumnRenamed("id", "draw")
+        tries = F.sequence(F.lit(0), F.lit(self.attempts - 1))
+        rows = rows.withColumn("_try", F.explode(tries)) if self.attempts > 1 else rows.withColumn("_try", F.lit(0))
+        first = F.col("_try") * ATTEMPT_PLACES
+        rows = rows.withColumn("_h", digest(seed, F.col("draw"), first))
+        rows = rows.withColumn("_u", uniform(F.col("_h"), 0))
+        rows = rows.withColumn("sigma", F.exp(_interpolated(F.col("_u"), self.cdf, self.log_sigma)))
+        rows = rows.withColumn("_z", normals(seed, F.col("draw"), first + 1, p))
+        own, data, pull, fit = (literal(x) for x in (self.own, self.data, self.pull, self.fit))
+        s2 = F.col("sigma") * F.col("sigma")
+        terms = F.zip_with(F.zip_with(own, data, lambda a, b: a + b / s2), F.zip_with(pull, fit, lambda a, b: a + b / s2), lambda k, m: F.struct(k.alias("k"), m.alias("m")))
+        rows = rows.withColumn("_v", F.zip_with("_z", terms, lambda z, t: t["m"] / t["k"] + z / F.sqrt(t["k"])))
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, lambda t, x: t + x)
+        rows = rows.withColumn("beta", F.transform(literal(self.mix), lambda row: dot(row, F.col("_v"))))
+        if self.intercept is not None:
+            t = self.intercept
+            away = (dot(literal(self.center), F.col("beta")) - t.location) / t.scale
+            chance = F.pow(1 + away * away / t.dof, F.lit(-(t.dof + 1) / 2))
+            # the last attempt stands for itself: attempts are as many as make its use next to impossible.
+            # (No filter: it would be pushed below the steps, with all of them written out in it.)
+            kept = (F.col("_try") == self.attempts - 1) | (uniform(F.col("_h"), 1) <= chance)
+            rows = rows.withColumn("_kept", F.when(kept, F.col("_try")))
+            rows = rows.groupBy("draw").agg(F.min_by(F.struct("beta", "sigma"), "_kept").alias("_d")).select("draw", "_d.*")
+        return rows.select("draw", "beta", "sigma")
+
+    def sample(self, seed: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(beta, sigma) of the given draws, the same as ``draws`` but for the last bits."""
+        p = len(self.own)
+        beta, sigma, left = np.empty((len(ids), p)), np.empty(len(ids)), np.arange(len(ids))
+        for attempt in range(self.attempts):
+            first = attempt * ATTEMPT_PLACES
+            u = uniforms_of(seed, ids[left], range(first, first + 1 + (p + 1) // 2))
+            s = np.exp(np.interp(u[:, 0, 0], self.cdf, self.log_sigma))
+            precision = self.own + self.data / s[:, None] ** 2
+            v = (self.pull + self.fit / s[:, None] ** 2) / precision + normals_of(u[:, 1:], p) / np.sqrt(precision)
+            b = _times(v, self.mix.T)
+            kept = np.ones(len(left), bool)
+            if self.intercept is not None and attempt < self.attempts - 1:
+                t = self.intercept
+                away = (b @ self.center - t.location) / t.scale
+                kept = u[:, 0, 1] <= (1 + away**2 / t.dof) ** (-(t.dof + 1) / 2)
+            beta[left[kept]], sigma[left[kept]] = b[kept], s[kept]
+            left = left[~kept]
+            if not len(left):
+                break
+        return beta, sigma
+
+    def drawn(self, n: int = N_DRAWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """(beta, sigma) of draws 1 to n, computed once in a worker process."""
+        key = (n, seed, self.mix.tobytes(), self.fit.tobytes(), self.cdf.tobytes(), self.attempts)
+        return remembered(key, lambda: self.sample(seed, np.arange(1, n + 1)))
+
+
+def _interpolated(u, xs: np.ndarray, ys: np.ndarray):
+    """Linear interpolation of ys over ascending xs, at u between its ends, by halving."""
+    n, x, y = len(xs), literal(xs), literal(ys)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((n - 1).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda i, step: F.when((i + step <= n - 2) & (F.get(x, i + step) <= u), i + step).otherwise(i))
+    line = F.transform(
+        F.array(at),
+        lambda i: F.get(y, i) + (F.get(y, i + 1) - F.get(y, i)) * F.coalesce(F.try_divide(u - F.get(x, i), F.get(x, i + 1) - F.get(x, i)), F.lit(0.0)),
+    )
+    return F.get(line, 0)
+
+
+def _sigma_table(log_density, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log sigma, distribution function) on a grid that covers the bulk of a density of log sigma.
+
+    A coarse grid around ``scale`` finds the bulk; a fine one covers it.
+    """
+    coarse = np.log(scale) + np.linspace(-9, 3, SIGMA_POINTS)
+    logp = log_density(coarse)
+    bulk = np.flatnonzero(logp > logp.max() - 40)
+    low, high = coarse[max(bulk[0] - 1, 0)], coarse[min(bulk[-1] + 1, SIGMA_POINTS - 1)]
+    grid = np.linspace(low, high, SIGMA_POINTS)
+    logp = log_density(grid)
+    weight = np.exp(logp - logp.max())
+    cdf = np.concatenate([[0.0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+    return grid, cdf / cdf[-1]
 
 
 @dataclass(frozen=True)
@@ -48,7 +198,7 @@ class GaussianFit:
     xtx: np.ndarray
     xty: np.ndarray
     yty: float
-    prior: Prior | None = None
+    prior: Prior | StudentPrior | None = None
 
     @property
     def x_mean(self) -> np.ndarray:
@@ -62,34 +212,97 @@ class GaussianFit:
         beta = np.linalg.solve(self.xtx, self.xty)
         return beta, float((self.yty - beta @ self.xty) / (self.n - p))
 
-    def point_estimates(self, spark: SparkSession) -> DataFrame:
-        beta, _ = self.least_squares()
-        rows = [(i, t, float(b)) for i, (t, b) in enumerate(zip(self.design.terms, beta))]
-        return spark.createDataFrame(rows, "idx int, term string, estimate double")
-
     def terms(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(enumerate(self.design.terms)), TERMS)
 
-    def draws(
-        self, spark: SparkSession, n: int = N_DRAWS, seed: int = 123, partitions: int | None = None
-    ) -> DataFrame:
-        """Independent posterior draws, the same for any number of partitions.
+    def posterior(self) -> Posterior:
+        return _normal_posterior(self) if isinstance(self.prior, Prior) else _flat_posterior(self)
 
-        The number of tasks follows the number of draws, not the size of the cluster.
-        """
-        sampler = _flat_sampler(self) if self.prior is None else _prior_sampler(self)
+    def draws(self, spark: SparkSession, n: int = N_DRAWS, seed: int = SEED, partitions: int | None = None) -> DataFrame:
+        """Independent posterior draws, the same for any number of partitions."""
+        return self.posterior().draws(spark, n, seed, partitions)
 
-        def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                beta, sigma = sampler(seed, batch["id"].to_numpy())
-                yield pd.DataFrame({"draw": batch["id"], "beta": list(beta), "sigma": sigma})
 
-        tasks = partitions or -(-n // DRAWS_PER_TASK)
-        return spark.range(1, n + 1, 1, tasks).mapInPandas(generate, DRAWS)
+def _flat_posterior(fit: GaussianFit) -> Posterior:
+    """Flat coefficients, and sigma under its Jeffreys prior or a half Student-t one.
+
+    Draws are made in terms of each population's slopes and cells: the slopes first, then the cells
+    given the slopes. These terms are independent across populations.
+    """
+    beta, s2 = fit.least_squares()
+    p = len(beta)
+    by_cell = fit.design.cell_terms()
+    back = np.linalg.inv(by_cell)
+    precision = back.T @ fit.xtx @ back
+    # precision = upper @ upper.T with an upper triangle, so that each term builds on those before
+    upper = np.linalg.cholesky(precision[::-1, ::-1])[::-1, ::-1]
+    t = fit.prior
+    dof, rss = fit.n - p, (fit.n - p) * s2
+
+    def log_density(log_sigma: np.ndarray) -> np.ndarray:
+        flat = -dof * log_sigma - rss / 2 * np.exp(-2 * log_sigma)
+        if t is None:
+            return flat
+        # the density of sigma itself, in place of 1 / sigma
+        return flat + log_sigma - (t.dof + 1) / 2 * np.log1p(np.exp(2 * log_sigma) / (t.dof * t.scale**2))
+
+    zero, one = np.zeros(p), np.ones(p)
+    log_sigma, cdf = _sigma_table(log_density, np.sqrt(s2))
+    out = Posterior(log_sigma, cdf, back @ np.linalg.inv(upper).T, zero, one, zero, upper.T @ by_cell @ beta, fit.x_mean, t)
+    if t is None:
+        return out
+    # the chance that an attempt is kept, over the intercept's posterior under a flat prior
+    nodes, weights = np.polynomial.hermite_e.hermegauss(41)
+    share = np.diff(cdf)
+    sigma = np.exp((log_sigma[1:] + log_sigma[:-1]) / 2)
+    away = (fit.x_mean @ beta + nodes * sigma[:, None] / np.sqrt(fit.n) - t.location) / t.scale
+    kept = float(share @ ((1 + away**2 / t.dof) ** (-(t.dof + 1) / 2) @ (weights / weights.sum())))
+    attempts = 1 + int(np.ceil(np.log(1e-12) / np.log1p(-min(kept, 1 - 1e-9))))
+    if attempts > 1_000:
+        raise ValueError(f"the data lie far out in the prior of the intercept: one attempt in {1 / kept:.0f} is kept")
+    return Posterior(**{**vars(out), "attempts": attempts})
+
+
+def _normal_posterior(fit: GaussianFit) -> Posterior:
+    """Informative prior: sigma from its one-dimensional marginal, then beta given sigma.
+
+    Predictors are centred; scaling by the prior sd and rotating to the eigenvectors of
+    the scaled cross products makes beta given sigma independent normals.
+    """
+    prior, n, p = fit.prior, fit.n, len(fit.xty)
+    center = np.eye(p)
+    center[0, 1:] = -fit.x_mean[1:]  # design @ center has centred columns
+    gram = center.T @ fit.xtx @ center
+    gram[0, 1:] = gram[1:, 0] = 0.0
+    cross = center.T @ fit.xty
+    sd = np.full(p, prior.slope_sd)
+    mu = np.full(p, prior.slope_mean)
+    sd[0], mu[0] = prior.intercept_sd, prior.intercept_mean
+    values, vectors = np.linalg.eigh(sd[:, None] * gram * sd)
+    values = np.clip(values, 0.0, None)
+    data_part = vectors.T @ (sd * cross)
+    prior_part = vectors.T @ (mu / sd)
+
+    def log_density(log_sigma: np.ndarray) -> np.ndarray:
+        s2 = np.exp(2 * log_sigma)
+        precision = 1.0 + values / s2[:, None]
+        mean = (data_part / s2[:, None] + prior_part) / precision
+        return (
+            (1 - n) * log_sigma
+            - 0.5 * np.log(precision).sum(axis=1)
+            + 0.5 * (precision * mean**2).sum(axis=1)
+            - fit.yty / (2 * s2)
+            - prior.sigma_rate * np.exp(log_sigma)
+        )
+
+    y_sd = np.sqrt(max(fit.yty / n - (fit.xty[0] / n) ** 2, 1e-12))
+    log_sigma, cdf = _sigma_table(log_density, y_sd)
+    mix = center @ (sd[:, None] * vectors)
+    return Posterior(log_sigma, cdf, mix, np.ones(p), values, prior_part, data_part, fit.x_mean)
 
 
 def fit_all(
-    df: DataFrame, designs: Mapping[str, Design], prior: Prior | None = None
+    df: DataFrame, designs: Mapping[str, Design], prior: Prior | StudentPrior | None = None
 ) -> dict[str, GaussianFit]:
     """Fit several models in one distributed pass; missing rows are dropped listwise.
 
@@ -109,12 +322,12 @@ def fit_all(
     }
 
 
-def fit_gaussian(df: DataFrame, design: Design, prior: Prior | None = None) -> GaussianFit:
+def fit_gaussian(df: DataFrame, design: Design, prior: Prior | StudentPrior | None = None) -> GaussianFit:
     """Fit one model by one distributed pass."""
     return fit_all(df, {"model": design}, prior)["model"]
 
 
-def _assemble(design: Design, cells: Sequence[tuple], prior: Prior | None) -> GaussianFit:
+def _assemble(design: Design, cells: Sequence[tuple], prior: Prior | StudentPrior | None) -> GaussianFit:
     """Cross products of the design from the moments of its cells."""
     if not cells:
         raise ValueError("no complete rows to fit")
@@ -142,98 +355,6 @@ def _assemble(design: Design, cells: Sequence[tuple], prior: Prior | None) -> Ga
     return GaussianFit(design, int(total), xtx, xty, float(yty), prior)
 
 
-def _standard_draws(seed: int, ids: np.ndarray, p: int, extra):
-    """Per draw: p normals and one ``extra(rng)``, from a generator keyed by (seed, draw)."""
-    z, e = np.empty((len(ids), p)), np.empty(len(ids))
-    for row, draw in enumerate(ids):
-        rng = np.random.Generator(np.random.Philox(key=[int(seed), int(draw)]))
-        e[row] = extra(rng)
-        z[row] = rng.standard_normal(p)
-    return z, e
-
-
-def _times(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """``rows @ matrix``, summed in the order of the columns, so that a row's result does not
-    depend on the rows beside it."""
-    out = np.zeros((len(rows), matrix.shape[1]))
-    for column, weights in zip(rows.T, matrix):
-        out += column[:, None] * weights
-    return out
-
-
-def _flat_sampler(fit: GaussianFit):
-    beta, s2 = fit.least_squares()
-    p = len(beta)
-    dof = fit.n - p
-    root = np.linalg.inv(np.linalg.cholesky(fit.xtx)).T
-
-    def sample(seed: int, ids: np.ndarray):
-        z, chi2 = _standard_draws(seed, ids, p, lambda rng: rng.chisquare(dof))
-        sigma = np.sqrt(dof * s2 / chi2)
-        return beta + sigma[:, None] * _times(z, root.T), sigma
-
-    return sample
-
-
-def _prior_sampler(fit: GaussianFit):
-    """Informative prior: sigma from its one-dimensional marginal, then beta given sigma.
-
-    Predictors are centred; scaling by the prior sd and rotating to the eigenvectors of
-    the scaled cross products makes beta given sigma independent normals.
-    """
-    prior, n, p = fit.prior, fit.n, len(fit.xty)
-    center = np.eye(p)
-    center[0, 1:] = -fit.x_mean[1:]  # design @ center has centred columns
-    gram = center.T @ fit.xtx @ center
-    gram[0, 1:] = gram[1:, 0] = 0.0
-    cross = center.T @ fit.xty
-    sd = np.full(p, prior.slope_sd)
-    mu = np.full(p, prior.slope_mean)
-    sd[0], mu[0] = prior.intercept_sd, prior.intercept_mean
-    values, vectors = np.linalg.eigh(sd[:, None] * gram * sd)
-    values = np.clip(values, 0.0, None)
-    data_part = vectors.T @ (sd * cross)
-    prior_part = vectors.T @ (mu / sd)
-
-    def given(sigma: np.ndarray):
-        precision = 1.0 + values / sigma[:, None] ** 2
-        mean = (data_part / sigma[:, None] ** 2 + prior_part) / precision
-        return mean, precision
-
-    y_sd = np.sqrt(max(fit.yty / n - (fit.xty[0] / n) ** 2, 1e-12))
-
-    def log_density(grid: np.ndarray) -> np.ndarray:
-        mean, precision = given(grid)
-        return (
-            -n * np.log(grid)
-            - 0.5 * np.log(precision).sum(axis=1)
-            + 0.5 * (precision * mean**2).sum(axis=1)
-            - fit.yty / (2 * grid**2)
-            - prior.sigma_rate * grid
-        )
-
-    # A coarse log grid finds the bulk; a fine one covers it.
-    coarse = y_sd * np.exp(np.linspace(-9, 3, SIGMA_POINTS))
-    logp = log_density(coarse) + np.log(coarse)
-    bulk = np.flatnonzero(logp > logp.max() - 40)
-    low, high = coarse[max(bulk[0] - 1, 0)], coarse[min(bulk[-1] + 1, SIGMA_POINTS - 1)]
-    grid = np.exp(np.linspace(np.log(low), np.log(high), SIGMA_POINTS))
-    logp = log_density(grid) + np.log(grid)
-    weight = np.exp(logp - logp.max())
-    cdf = np.concatenate([[0.0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
-    cdf /= cdf[-1]
-    log_grid = np.log(grid)
-
-    def sample(seed: int, ids: np.ndarray):
-        z, u = _standard_draws(seed, ids, p, lambda rng: rng.random())
-        sigma = np.exp(np.interp(u, cdf, log_grid))
-        mean, precision = given(sigma)
-        rotated = mean + z / np.sqrt(precision)
-        return _times(_times(rotated, vectors.T) * sd, center.T), sigma
-
-    return sample
-
-
 # ------------------------------------------------------------------ expected values
 
 
@@ -315,36 +436,40 @@ def conditional_effects(
     )
 
 
-def fitted_draws(draws: DataFrame, design: Design, newdata: DataFrame) -> DataFrame:
-    """Expected value of every draw at every row of ``newdata`` (any size).
+def fitted_values(
+    df: DataFrame, fit: GaussianFit, keep: Sequence[str] = (), width: float = 0.95, n: int = N_DRAWS, seed: int = SEED
+) -> DataFrame:
+    """Expected value of every complete data row: mean and interval over all draws.
 
-    The draws, short vectors whose number is a parameter of the fit, are read by every task
-    as one scalar array; rows of ``newdata`` stay where they are.
+    Rows stay where they lie. Each task computes the draws from the fit and multiplies them with
+    blocks of rows; of the row x draw table no more than a block ever exists.
     """
-    all_draws = draws.agg(F.collect_list(F.struct("draw", "beta")).alias("draws")).scalar()
-    rows = newdata.select("*", F.array(*design.row()).alias("_x"))
-    out = rows.withColumn("_d", F.explode(all_draws))
-    total = F.aggregate(
-        F.zip_with(F.col("_d.beta"), F.col("_x"), lambda b, v: b * v), F.lit(0.0), lambda a, b: a + b
-    )
-    return out.select(*newdata.columns, F.col("_d.draw").alias("draw"), total.alias("value"))
-
-
-def draw_matrices(
-    draws: Mapping[str, DataFrame],
-) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """(beta, sigma) arrays of several draw tables on the driver, in one job: short rows whose
-    number is a parameter of the fit and does not depend on the data."""
-    parts = [d.select(F.lit(n).alias("m"), "draw", "beta", "sigma") for n, d in draws.items()]
-    together = reduce(lambda a, b: a.unionByName(b), parts)
-    rows = together.collect()
-    out = {}
-    for name in draws:
-        mine = sorted((r for r in rows if r["m"] == name), key=lambda r: r["draw"])
-        out[name] = (np.array([r["beta"] for r in mine]), np.array([r["sigma"] for r in mine]))
-    return out
-
-
-def draw_matrix(draws: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(beta, sigma) arrays of one draw table."""
-    return draw_matrices({"model": draws})["model"]
+    design, posterior = fit.design, fit.posterior()
+    ends = ((1 - width) / 2, (1 + width) / 2)
+    schema = T.StructType([df.schema[c] for c in keep])
+    for name in ("estimate", "est_error", "lower", "upper"):
+        schema = schema.add(name, T.DoubleType())
+
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        beta, _ = posterior.drawn(n, seed)
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                part = batch.iloc[start : start + BLOCK]
+                value = np.vstack(part["_x"].to_list()) @ beta.T
+                lower, upper = np.quantile(value, ends, axis=1)
+                yield pd.DataFrame({**{c: part[c] for c in keep}, "estimate": value.mean(axis=1), "est_error": value.std(axis=1, ddof=1), "lower": lower, "upper": upper})
+
+    rows = design.complete_cases(df).select(*keep, F.array(*design.row()).alias("_x"))
+    return spread_out(rows, fit.n).mapInPandas(summarize, schema)
+
+
+#: Rows that meet all draws at a time; rows to a task.
+BLOCK = 128
+ROWS_PER_TASK = 10_000
+
+
+def spread_out(rows: DataFrame, n: int) -> DataFrame:
+    """Work on a row costs milliseconds while reading it costs nothing, so rows are
+    spread evenly over tasks by their number ``n``, not by their bytes."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(-(-n // ROWS_PER_TASK), min(cores, -(-n // BLOCK))))

@@ -9,6 +9,7 @@ Zhang & Stephens (2009).
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reaction_norms.models.gaussian import GaussianFit, draw_matrices
-
-BATCH = 128
-ROWS_PER_TASK = 10_000
+from reaction_norms.models.gaussian import BLOCK, N_DRAWS, SEED, GaussianFit, spread_out
 
 
 def _logsumexp(a: np.ndarray) -> np.ndarray:
@@ -97,26 +95,21 @@ def score_rows(x: np.ndarray, y: np.ndarray, beta: np.ndarray, sigma: np.ndarray
 
 
 def loo_pointwise(
-    df: DataFrame, models: Mapping[str, tuple[GaussianFit, DataFrame]], keep: Sequence[str] = ()
+    df: DataFrame, models: Mapping[str, GaussianFit], keep: Sequence[str] = (), n: int = N_DRAWS, seed: int = SEED
 ) -> DataFrame:
     """Per data row and model: ``elpd_<m>``, ``lpd_<m>``, ``pareto_k_<m>``.
 
-    ``models`` maps a name to (fit, draws). All are scored in the same pass, so comparing
-    them needs no join; rows must be complete for every model. Scoring a row costs
-    milliseconds while reading it costs nothing, so rows are spread evenly over tasks by
-    their number, not by their bytes.
+    All models are scored in the same pass, so comparing them needs no join. A row that is
+    complete for some models only has nulls for the others; rows complete for none are left out. Each task
+    computes the draws from the fits, small matrices, so no draws are shipped.
     """
-    packed = draw_matrices({name: draws for name, (_, draws) in models.items()})
-    rows = df
+    designs = {name: fit.design for name, fit in models.items()}
+    drawers = {name: fit.posterior() for name, fit in models.items()}
+    some = reduce(lambda a, b: a | b, [d.is_complete() for d in designs.values()])
     columns = []
-    for name, (fit, _) in models.items():
-        design = fit.design
-        rows = design.complete_cases(rows)
-        columns.append(F.array(*design.row()).alias(f"x_{name}"))
+    for name, design in designs.items():
+        columns.append(F.when(design.is_complete(), F.array(*design.row())).alias(f"x_{name}"))
         columns.append(F.col(design.response).cast("double").alias(f"y_{name}"))
-    n = max(fit.n for fit, _ in models.values())
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(-(-n // ROWS_PER_TASK), min(cores, -(-n // BATCH)))
     schema = T.StructType([df.schema[c] for c in keep])
     for name in models:
         for part in ("elpd", "lpd", "pareto_k"):
@@ -124,72 +117,76 @@ def loo_pointwise(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), BATCH):
-                part = batch.iloc[start : start + BATCH]
+            for start in range(0, len(batch), BLOCK):
+                part = batch.iloc[start : start + BLOCK]
                 out = {c: part[c] for c in keep}
-                for name, (beta, sigma) in packed.items():
-                    x = np.vstack(part[f"x_{name}"].to_list())
-                    scores = score_rows(x, part[f"y_{name}"].to_numpy(), beta, sigma)
+                for name, drawer in drawers.items():
+                    whole = part[f"x_{name}"].notna().to_numpy()
+                    scores = np.full((3, len(part)), np.nan)
+                    if whole.any():
+                        x = np.vstack(part[f"x_{name}"][whole].to_list())
+                        scores[:, whole] = score_rows(x, part[f"y_{name}"][whole].to_numpy(), *drawer.drawn(n, seed))
                     for label, values in zip(("elpd", "lpd", "pareto_k"), scores):
-                        out[f"{label}_{name}"] = values
+                        out[f"{label}_{name}"] = pd.Series(values, part.index).astype(object).where(whole, None)
                 yield pd.DataFrame(out)
 
-    return rows.select(*keep, *columns).repartition(tasks).mapInPandas(score, schema)
+    rows = df.where(some).select(*keep, *columns)
+    return spread_out(rows, max(fit.n for fit in models.values())).mapInPandas(score, schema)
 
 
 def _sum_se(col) -> tuple:
-    return F.sum(col), F.sqrt(F.count(F.lit(1)) * F.var_samp(col))
+    return F.sum(col), F.sqrt(F.count(col) * F.var_samp(col))
 
 
-def _score_rows(pointwise: DataFrame, models: Sequence[str]) -> DataFrame:
-    """One row per model with its scores and its differences ``vs`` to every model.
+def _score_rows(pointwise: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per model with its scores and its differences ``vs`` to every model of its group, over
+    the rows that are complete for all models of the group.
 
     A single aggregate over the pointwise table, which is costly to compute twice.
     """
     rows = []
-    for m in models:
-        elpd, lpd = F.col(f"elpd_{m}"), F.col(f"lpd_{m}")
-        elpd_sum, elpd_se = _sum_se(elpd)
-        p_sum, p_se = _sum_se(lpd - elpd)
-        against = []
-        for b in models:
-            diff, diff_se = _sum_se(elpd - F.col(f"elpd_{b}"))
-            against.append(
-                F.struct(F.lit(b).alias("best"), diff.alias("elpd_diff"), diff_se.alias("se_diff"))
-            )
-        rows.append(
-            F.struct(
-                F.lit(m).alias("model"),
-                elpd_sum.alias("elpd_loo"),
-                elpd_se.alias("se_elpd_loo"),
-                p_sum.alias("p_loo"),
-                p_se.alias("se_p_loo"),
-                (-2 * elpd_sum).alias("looic"),
-                (2 * elpd_se).alias("se_looic"),
-                F.count_if(F.col(f"pareto_k_{m}") > 0.7).alias("n_high_k"),
-                F.array(*against).alias("vs"),
+    for place, (group, models) in enumerate(groups.items()):
+        whole = reduce(lambda a, b: a & b, [F.col(f"elpd_{m}").isNotNull() for m in models])
+        for m in models:
+            elpd, lpd = (F.when(whole, F.col(f"{part}_{m}")) for part in ("elpd", "lpd"))
+            elpd_sum, elpd_se = _sum_se(elpd)
+            p_sum, p_se = _sum_se(lpd - elpd)
+            against = []
+            for b in models:
+                diff, diff_se = _sum_se(elpd - F.col(f"elpd_{b}"))
+                against.append(F.struct(F.lit(b).alias("best"), diff.alias("elpd_diff"), diff_se.alias("se_diff")))
+            rows.append(
+                F.struct(
+                    F.lit(place).alias("_place"),
+                    F.lit(group).alias("_group"),
+                    F.lit(m).alias("model"),
+                    elpd_sum.alias("elpd_loo"),
+                    elpd_se.alias("se_elpd_loo"),
+                    p_sum.alias("p_loo"),
+                    p_se.alias("se_p_loo"),
+                    (-2 * elpd_sum).alias("looic"),
+                    (2 * elpd_se).alias("se_looic"),
+                    F.count_if(whole & (F.col(f"pareto_k_{m}") > 0.7)).alias("n_high_k"),
+                    F.array(*against).alias("vs"),
+                )
             )
-        )
-    ranked = F.array_max(F.transform("r", lambda x: F.struct(x["elpd_loo"], x["model"])))
-    return (
-        pointwise.agg(F.array(*rows).alias("r"))
-        .withColumn("_best", ranked["model"])
-        .select("_best", F.inline("r"))
-    )
+    return pointwise.agg(F.array(*rows).alias("r")).select("r", F.inline("r"))
 
 
 def loo_scores(pointwise: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per model: elpd, effective parameters, information criterion, errors."""
-    return _score_rows(pointwise, models).drop("_best", "vs")
+    return _score_rows(pointwise, {"": models}).drop("r", "_place", "_group", "vs")
 
 
-def loo_compare(pointwise: DataFrame, models: Sequence[str], trait: str | None = None) -> DataFrame:
-    """Scores with the difference to the best model and its error, best first."""
+def loo_compare(pointwise: DataFrame, groups: Mapping[str, Sequence[str]], name: str = "trait") -> DataFrame:
+    """Scores with the difference to the best model of its group and its error, groups in order, best first."""
+    mine = F.filter("r", lambda x: x["_group"] == F.col("_group"))
+    best = F.array_max(F.transform(mine, lambda x: F.struct(x["elpd_loo"], x["model"])))["model"]
     versus = F.filter("vs", lambda v: v["best"] == F.col("_best"))[0]
-    out = (
-        _score_rows(pointwise, models)
-        .select("*", versus["elpd_diff"].alias("elpd_diff"), versus["se_diff"].alias("se_diff"))
-        .drop("_best", "vs")
-        .orderBy(F.col("elpd_diff").desc())
+    return (
+        _score_rows(pointwise, groups)
+        .withColumn("_best", best)
+        .select("*", versus["elpd_diff"].alias("elpd_diff"), versus["se_diff"].alias("se_diff"), F.col("_group").alias(name))
+        .orderBy("_place", F.col("elpd_diff").desc(), "model")
+        .drop("r", "_place", "_group", "_best", "vs")
     )
-    return out if trait is None else out.withColumn("trait", F.lit(trait))

@@ -56,9 +56,11 @@ def density_curve(
     joint_bandwidth: bool = False,
     pad: float = 0.0,
     bins: int | None = None,
+    limits: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Gaussian kernel density per group on ``n`` shared points over the overall range.
 
+    ``limits`` drops values outside an axis range before any statistic.
     ``joint_bandwidth`` uses the mean bandwidth of the groups; ``pad`` widens the range by
     that many bandwidths (the mean one). Groups are contrasts or cells, with a bounded
     number of draws. ``bins`` first spreads every value linearly over that many bins of
@@ -67,7 +69,8 @@ def density_curve(
     by = list(by)
     keyed = draws if by else draws.withColumn("_all", F.lit(1))
     keys = by or ["_all"]
-    rows = keyed.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    shown = censor(value, *limits) if limits else F.col(value)
+    rows = keyed.select(*keys, shown.cast("double").alias("_v")).where("_v is not null")
     ends = {"_q1": 0.25, "_q3": 0.75}
     spans = [
         F.count(F.lit(1)).alias("_n"),
@@ -137,16 +140,21 @@ def density_curve(
 
 
 def density_ridges(
-    draws: DataFrame, value: str, by: Sequence[str], n: int = 512, bins: int | None = None
+    draws: DataFrame, value: str, by: Sequence[str], n: int = 512, bins: int | None = None,
+    limits: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Densities per contrast with one joint bandwidth, over the range widened by 3 bandwidths."""
-    return density_curve(draws, value, by, n, joint_bandwidth=True, pad=3.0, bins=bins)
+    return density_curve(draws, value, by, n, joint_bandwidth=True, pad=3.0, bins=bins, limits=limits)
 
 
 def interval_summary(
-    draws: DataFrame, value: str, by: Sequence[str], widths: Sequence[float] = (0.66, 0.95)
+    draws: DataFrame, value: str, by: Sequence[str], widths: Sequence[float] = (0.66, 0.95),
+    limits: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Median and quantile intervals per group, one row per interval width."""
+    """Median and quantile intervals per group, one row per interval width; ``limits`` drops
+    values outside an axis range first."""
+    if limits:
+        draws = draws.where(F.col(value).between(*limits))
     ends = {}
     for i, w in enumerate(widths):
         ends[f"_lo{i}"], ends[f"_hi{i}"] = (1 - w) / 2, (1 + w) / 2

@@ -17,8 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reaction_norms.functions.columns import key_text, mean
+from reaction_norms.functions.columns import key_text
 from reaction_norms.functions.lookup import with_levels
+from reaction_norms.sources.facts import JoinedPlants
+
+#: A table of plants, or measurements and families that are joined after they are reduced.
+Plants = DataFrame | JoinedPlants
 
 # Factor levels of the study design.
 POPULATIONS = ("N1", "N2", "C1", "C2", "S1", "S2")
@@ -76,7 +80,7 @@ def _moments(*parts: Column) -> Column:
     return F.array(*[p.cast("double") for p in parts])
 
 
-def cell_moments(plants: DataFrame, *traits: Trait) -> DataFrame:
+def cell_moments(plants: Plants, *traits: Trait) -> DataFrame:
     """Per (trait, family, population, cohort, garden): ``m = [n, sum, min]``.
 
     All traits are reduced in one aggregate, one hash lookup per plant, and split into
@@ -101,7 +105,7 @@ def cell_moments(plants: DataFrame, *traits: Trait) -> DataFrame:
 # --------------------------------------------------------------------------- gates
 
 
-def replicate_counts(plants: DataFrame, trait: Trait) -> DataFrame:
+def replicate_counts(plants: Plants, trait: Trait) -> DataFrame:
     """Measured plants per garden x family x cohort."""
     return (
         plants.where(F.col(trait.column).isNotNull())
@@ -110,7 +114,7 @@ def replicate_counts(plants: DataFrame, trait: Trait) -> DataFrame:
     )
 
 
-def replicate_counts_wide(plants: DataFrame, trait: Trait) -> DataFrame:
+def replicate_counts_wide(plants: Plants, trait: Trait) -> DataFrame:
     """Replicates per garden beside each other, per eligible family x population x cohort.
 
     A garden without plants is missing, as after a full outer merge of the counts.
@@ -123,7 +127,7 @@ def replicate_counts_wide(plants: DataFrame, trait: Trait) -> DataFrame:
     )
 
 
-def gate_table(plants: DataFrame, trait: Trait) -> DataFrame:
+def gate_table(plants: Plants, trait: Trait) -> DataFrame:
     """Per family x cohort: 0/1 per garden with enough replicates, and ``both`` for all.
 
     A garden without any plant counts as 0, not as missing.
@@ -146,7 +150,7 @@ def gate_frequency(gates: DataFrame) -> DataFrame:
     return gates.groupBy("both").agg(F.count(F.lit(1)).alias("n"))
 
 
-def eligible_families(plants: DataFrame, trait: Trait) -> DataFrame:
+def eligible_families(plants: Plants, trait: Trait) -> DataFrame:
     """Families with enough replicates in every garden in at least one cohort."""
     return gate_table(plants, trait).where("both = 1").select("Dam_ID").distinct()
 
@@ -158,10 +162,12 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str, null_safe: bool = True) -
     return df.join(listed, same, "left_semi")
 
 
-def eligible_plants(plants: DataFrame, trait: Trait, null_safe: bool = True) -> DataFrame:
+def eligible_plants(plants: Plants, trait: Trait, null_safe: bool = True) -> DataFrame:
     """Measured plants of eligible families, from every cohort of the family."""
-    measured = plants.where(F.col(trait.column).isNotNull())
-    return semi_join(measured, eligible_families(plants, trait), "Dam_ID", null_safe)
+    measured, families = plants.where(F.col(trait.column).isNotNull()), eligible_families(plants, trait)
+    if isinstance(measured, JoinedPlants):
+        return measured.in_families(families, null_safe)
+    return semi_join(measured, families, "Dam_ID", null_safe)
 
 
 def gate_cells(cells: DataFrame, traits: Sequence[Trait]) -> DataFrame:
@@ -190,7 +196,7 @@ def gate_cells(cells: DataFrame, traits: Sequence[Trait]) -> DataFrame:
     )
 
 
-def gated_cells(plants: DataFrame, *traits: Trait) -> DataFrame:
+def gated_cells(plants: Plants, *traits: Trait) -> DataFrame:
     """Moments of the eligible families' cells, straight from the plants."""
     return gate_cells(cell_moments(plants, *traits), traits)
 
@@ -218,31 +224,39 @@ def _env_sums(cells: DataFrame, traits: Sequence[Trait]) -> DataFrame:
     return sums.withColumn("lo", shift).withColumn("s", F.col("s") - F.col("n") * F.col("lo"))
 
 
-def env_means(plants: DataFrame, trait: Trait) -> DataFrame:
+def env_means(plants: Plants, trait: Trait) -> DataFrame:
     """Mean (centred) trait per garden over the eligible plants."""
     sums = _env_sums(gated_cells(plants, trait), [trait])
     return sums.select("garden", F.try_divide("s", "n").alias(f"{trait.name}_mean"))
 
 
+#: Environments in a block of ``subtraction_pairs``.
+BLOCK = 500
+
+
 def subtraction_pairs(means: DataFrame, mean_col: str, env: str = "garden") -> DataFrame:
-    """Environment pairs with the greater mean first, from a one-row-per-level table."""
-    ranked = F.reverse(
-        F.array_sort(F.collect_list(F.struct(F.col(mean_col).alias("v"), F.col(env).alias("e"))))
-    )
-    rows = means.where(F.col(mean_col).isNotNull()).agg(ranked.alias("r"))
-    return (
-        rows.select("r", F.posexplode("r").alias("i", "a"))
-        .select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
-        .select(
-            F.col("a.e").alias("garden_1"),
-            F.col("b.e").alias("garden_2"),
-            F.col("a.v").alias("mean_1"),
-            F.col("b.v").alias("mean_2"),
-        )
+    """Environment pairs with the greater mean first (equal means: the greater name), from a one-row-per-level table.
+
+    Levels are dealt out to blocks of about ``BLOCK``, and every pair of blocks is a join key of its own, so
+    a pair of levels is made in one of many tasks and no task holds more than two blocks.
+    """
+    rows = means.where(F.col(mean_col).isNotNull()).select(F.col(env).alias("e"), F.col(mean_col).alias("v"))
+    blocks = rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int").alias("n")).scalar()
+    rows = rows.withColumn("_n", blocks).withColumn("own", F.pmod(F.xxhash64("e"), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    first = rows.select("e", "v", F.col("own").alias("a"), other.alias("b"))
+    second = rows.select(F.col("e").alias("e2"), F.col("v").alias("v2"), other.alias("a2"), F.col("own").alias("b2"))
+    greater = (F.col("v") > F.col("v2")) | ((F.col("v") == F.col("v2")) & (F.coalesce("e", F.lit("")) > F.coalesce("e2", F.lit(""))))
+    met = first.join(second, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & greater)
+    return met.select(
+        F.col("e").alias("garden_1"),
+        F.col("e2").alias("garden_2"),
+        F.col("v").alias("mean_1"),
+        F.col("v2").alias("mean_2"),
     )
 
 
-def with_found_pairs(plants: DataFrame, trait: Trait) -> Trait:
+def with_found_pairs(plants: Plants, trait: Trait) -> Trait:
     """The trait with its subtraction directions taken from the data (one small job)."""
     col = f"{trait.name}_mean"
     rows = (
@@ -331,7 +345,7 @@ def _pair_count(a: str, b: str) -> Column:
 
 
 def pair_totals(
-    plants: DataFrame,
+    plants: Plants,
     trait: Trait,
     populations: Sequence[str] | None = POPULATIONS,
     years: Sequence[int] | None = COHORTS,
@@ -368,7 +382,7 @@ def pair_totals(
 
 
 def plasticity_indices(
-    plants: DataFrame,
+    plants: Plants,
     traits: Sequence[Trait] = TRAITS,
     populations: Sequence[str] | None = POPULATIONS,
     years: Sequence[int] | None = COHORTS,
@@ -394,7 +408,7 @@ def plasticity_indices(
 
 
 def plasticity_index(
-    plants: DataFrame,
+    plants: Plants,
     trait: Trait,
     populations: Sequence[str] | None = POPULATIONS,
     years: Sequence[int] | None = COHORTS,
@@ -410,7 +424,7 @@ def plasticity_index(
 
 
 def mean_shift(
-    plants: DataFrame,
+    plants: Plants,
     trait: Trait,
     populations: Sequence[str] | None = POPULATIONS,
     years: Sequence[int] | None = COHORTS,
@@ -428,7 +442,7 @@ CHUNK = 1_000
 
 
 def _members(
-    plants: DataFrame,
+    plants: Plants,
     t: Trait,
     populations: Sequence[str] | None,
     years: Sequence[int] | None,
@@ -482,7 +496,7 @@ def _roles(members: DataFrame, t: Trait, position: int, *fields) -> DataFrame:
 
 
 def replicate_differences(
-    plants: DataFrame,
+    plants: Plants,
     trait: Trait,
     populations: Sequence[str] | None = POPULATIONS,
     years: Sequence[int] | None = COHORTS,
@@ -511,7 +525,7 @@ def replicate_differences(
 
 
 def pairwise_differences(
-    plants: DataFrame,
+    plants: Plants,
     trait: Trait,
     populations: Sequence[str] | None = POPULATIONS,
     years: Sequence[int] | None = COHORTS,
@@ -565,7 +579,7 @@ def pairwise_differences(
 # -------------------------------------------------------------------- sample sizes
 
 
-def sample_sizes(plants: DataFrame, traits: Sequence[Trait] = TRAITS) -> DataFrame:
+def sample_sizes(plants: Plants, traits: Sequence[Trait] = TRAITS) -> DataFrame:
     """Eligible families and plants per trait x population x cohort, in one scan.
 
     Cells are unique per family, so families are counted without a distinct; a
@@ -585,6 +599,29 @@ def sample_sizes(plants: DataFrame, traits: Sequence[Trait] = TRAITS) -> DataFra
     )
 
 
-def group_means(df: DataFrame, by: Sequence[str], cols: Sequence[str], na_rm: bool = False) -> DataFrame:
-    """Group means of one or more columns with explicit missing-value handling."""
-    return df.groupBy(*by).agg(*[mean(c, na_rm).alias(f"mean_{c}") for c in cols])
+def size_sketches(plants: Plants, traits: Sequence[Trait] = TRAITS, lg_k: int = 14) -> DataFrame:
+    """Per trait x population x cohort: a sketch of the eligible families, and the number of their plants.
+
+    The sketches of several runs or sites are saved as they are and united by ``united_sizes``, which counts
+    a family that occurs in several of them once; neither needs the plants again.
+    """
+    # a missing family counts as one, apart from any name
+    family = F.when(F.col("Dam_ID").isNull(), "missing").otherwise(F.concat(F.lit("family "), F.col("Dam_ID")))
+    return (
+        gated_cells(plants, *traits)
+        .groupBy("trait", "Population", "Year")
+        .agg(F.hll_sketch_agg(family, lg_k).alias("families"), F.sum(F.col("m")[0]).cast("bigint").alias("n_individuals"))
+    )
+
+
+def united_sizes(sketches: DataFrame, traits: Sequence[Trait] = TRAITS) -> DataFrame:
+    """Sample sizes from any number of sketch tables: families estimated (relative standard error
+    about 0.8 / sqrt(2 ^ lg_k), near exact while they are few), plants added up."""
+    return (
+        sketches.groupBy("trait", "Population", "Year")
+        .agg(
+            F.hll_sketch_estimate(F.hll_union_agg("families")).alias("n_families"),
+            F.sum("n_individuals").alias("n_individuals"),
+        )
+        .withColumn("trait", _by_trait(traits, lambda t: F.lit(t.label)))
+    )

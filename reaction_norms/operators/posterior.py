@@ -14,8 +14,8 @@ from reaction_norms.operators import reshape as R
 
 
 def subsample_draws(draws: DataFrame, n: int = 1000, seed: int = 123) -> DataFrame:
-    """A reproducible subset of draws: the n smallest hashes of (draw, seed)."""
-    key = F.xxhash64("draw", F.lit(seed))
+    """A reproducible subset of draws: the n smallest digests of (seed, draw)."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string")))
     return draws.orderBy(key, "draw").limit(n)
 
 

@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reaction_norms.functions.columns import even_grid, map_columns
-from reaction_norms.operators.plasticity import TRAITS, Trait, plasticity_indices
+from reaction_norms.operators.plasticity import TRAITS, Plants, Trait, plasticity_indices
 from reaction_norms.session import materialize
 
 
-def family_fitness(plants: DataFrame, fitness: str = "totalRS") -> DataFrame:
+def family_fitness(plants: Plants, fitness: str = "totalRS") -> DataFrame:
     """Mean fitness per family x population x cohort, missing plants skipped."""
     return plants.groupBy("Dam_ID", "Population", "Year").agg(F.avg(fitness).alias("mean_rs"))
 
 
 def indices_by_trait(
-    plants: DataFrame, traits: Sequence[Trait] = TRAITS
+    plants: Plants, traits: Sequence[Trait] = TRAITS
 ) -> dict[str, DataFrame]:
     """One index table per trait from a single scan of the plants, stored once.
 
@@ -33,27 +33,29 @@ def indices_by_trait(
     }
 
 
-def _left(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join in which missing keys match missing keys; the right keys are dropped."""
+def _left(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = True) -> DataFrame:
+    """Left join in which missing keys match missing keys (``null_safe``); the right keys are dropped."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) if null_safe else F.col(c) == F.col(f"_r_{c}") for c in on]
     return left.join(renamed, same, "left").drop(*[f"_r_{c}" for c in on])
 
 
-def join_traits(indices: Mapping[str, DataFrame], on: Sequence[str] = ("Dam_ID",)) -> DataFrame:
+def join_traits(
+    indices: Mapping[str, DataFrame], on: Sequence[str] = ("Dam_ID",), null_safe: bool = True
+) -> DataFrame:
     """All plasticities left-joined onto the first trait's table (its families are kept).
 
     ``on`` defaults to the family alone; use ``("Dam_ID", "pop_year")`` to keep a family's
-    cohorts apart.
+    cohorts apart. Without ``null_safe`` (an index has no missing family) tables in buckets of the
+    family, ``sources.tables.replace_family_table``, are joined without a shuffle.
     """
     names = list(indices)
     root = indices[names[0]].select(
         "Dam_ID", "pop_year", "Population", "Year", F.col(f"{names[0]}_plasticity").alias(f"{names[0]}_pp")
     )
     for name in names[1:]:
-        root = _left(
-            root, indices[name].select(*on, F.col(f"{name}_plasticity").alias(f"{name}_pp")), on
-        )
+        right = indices[name].select(*on, F.col(f"{name}_plasticity").alias(f"{name}_pp"))
+        root = _left(root, right, on, null_safe)
     return root
 
 
@@ -63,7 +65,7 @@ def add_squares(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def selection_table(
-    plants: DataFrame,
+    plants: Plants,
     indices: Mapping[str, DataFrame],
     fitness: str = "totalRS",
     on: Sequence[str] = ("Dam_ID",),

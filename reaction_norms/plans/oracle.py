@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from reaction_norms.plans import posterior_sql as D
+
 POPS = ("N1", "N2", "C1", "C2", "S1", "S2")
 SORTED_POPS = tuple(sorted(POPS))
 YEARS = (2010, 2017)
@@ -42,6 +44,18 @@ cells AS (
   SELECT l_orderkey % 200 AS draw, Population, "Year", avg(l_quantity) AS prediction
   FROM plants GROUP BY 1, 2, 3)"""
 
+# The first cohort raised by an effect of its population.
+SHIFTED = DRAWS.replace("avg(l_quantity) AS prediction", """avg(l_quantity) + CASE WHEN "Year" = 2010 THEN
+           CASE Population WHEN 'N1' THEN 0 WHEN 'N2' THEN 4 WHEN 'C1' THEN 8 WHEN 'C2' THEN 10 WHEN 'S1' THEN 14 WHEN 'S2' THEN 30 END
+         ELSE 0 END AS prediction""")
+
+# Families collected twice: supplier x cohort.
+TWO_COHORTS = PLANTS.replace("CAST(l_partkey AS VARCHAR) AS Dam_ID", "CAST(l_suppkey AS VARCHAR) AS Dam_ID").replace(
+    """CASE p_type WHEN 'ECONOMY' THEN 'N1' WHEN 'LARGE' THEN 'N2' WHEN 'MEDIUM' THEN 'C1'
+                     WHEN 'PROMO' THEN 'C2' WHEN 'SMALL' THEN 'S1' WHEN 'STANDARD' THEN 'S2' END""",
+    "['C1', 'C2', 'N1', 'N2', 'S1', 'S2'][l_suppkey % 6 + 1]",
+).replace("l_partkey = p_partkey)", "l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)")
+
 TRAITS = {
     "doy": ("First flower date plasticity", [("north", "south"), ("north", "center"), ("south", "center")]),
     "sla": ("SLA plasticity", [("south", "north")]),
@@ -260,6 +274,74 @@ SELECT ID1, CAST(i AS BIGINT) AS i, {r('x0', 2)} AS "Year",
 FROM c"""
 
 
+def posterior(out: dict[str, str]) -> None:
+    """Queries on draws under the flat prior, and under the default prior of the plasticity models."""
+    one = selection() + "," + D.model("m", "selz", "fitness_rel", ("doy_pp_z",))
+    coded = one + "," + D.terms("m", ("doy_pp_z",), SORTED_POPS, YEARS)
+    q = lambda v, p: r(f"quantile_cont({v}, {p})", 5)
+    out["flat_draws"] = coded + f" SELECT draw, CAST(idx AS BIGINT) AS idx, term, {r('value', 5)} AS value FROM m_terms"
+    out["flat_subsample"] = one + f"""
+SELECT draw, {r('sigma', 5)} AS sigma FROM (SELECT DISTINCT draw, sigma FROM m_theta) ORDER BY md5('123:' || draw), draw LIMIT 1000"""
+    out["flat_coefficients"] = coded + f"""
+SELECT CAST(idx AS BIGINT) AS idx, term, {r('avg(value)', 5)} AS estimate, {r('stddev_samp(value)', 5)} AS est_error,
+  {q('value', 0.025)} AS lower, {q('value', 0.975)} AS upper FROM m_terms GROUP BY 1, 2"""
+    each = [D.model(f"m_{t}", "selz", "fitness_rel", (f"{t}_pp_z",)) for t in TRAITS]
+    out["flat_slope_table"] = selection() + "," + ",".join(each) + " UNION ALL ".join(
+        f"""
+SELECT Population, {q('b1', 0.5)} AS linear_median, {q('b1', 0.025)} AS linear_lower, {q('b1', 0.975)} AS linear_upper, '{label}' AS trait
+FROM (SELECT DISTINCT draw, Population, b1 FROM m_{t}_theta) GROUP BY 1"""
+        for t, (label, _) in TRAITS.items()
+    )
+    out["flat_conditional"] = one + f""",
+ranges AS (SELECT Population, "Year", min(doy_pp_z) AS lo, max(doy_pp_z) AS hi FROM selz GROUP BY 1, 2 HAVING min(doy_pp_z) IS NOT NULL),
+sure AS (
+  SELECT Population, "Year" FROM m_theta GROUP BY 1, 2
+  HAVING greatest(avg(CAST(b1 > 0 AS DOUBLE)), avg(CAST(b1 < 0 AS DOUBLE))) >= 0.95),
+eff AS (
+  SELECT Population, "Year", s.i, lo + s.i * (hi - lo) / 99.0 AS x, a + b1 * (lo + s.i * (hi - lo) / 99.0) AS value
+  FROM m_theta JOIN sure USING (Population, "Year") JOIN ranges USING (Population, "Year") CROSS JOIN range(100) s(i))
+SELECT Population, CAST("Year" AS VARCHAR) AS "Year", i, {r('max(x)', 5)} AS doy_pp_z, {q('value', 0.25)} AS lower, {q('value', 0.5)} AS median,
+  {q('value', 0.75)} AS upper FROM eff GROUP BY 1, 2, 3"""
+    out["flat_fitted"] = one + f"""
+SELECT Dam_ID, Population, "Year", {r('avg(v)', 5)} AS estimate, {r('stddev_samp(v)', 5)} AS est_error, {q('v', 0.025)} AS lower, {q('v', 0.975)} AS upper
+FROM (SELECT id, Dam_ID, Population, "Year", a + b1 * x1 AS v FROM (SELECT *, row_number() OVER () AS id FROM m_rows) JOIN m_theta USING (Population, "Year"))
+GROUP BY id, 1, 2, 3"""
+    forms = {"linear": ("pp_z",), "quadratic": ("pp_z", "pp2_z")}
+    def loo(traits):
+        parts = [selection()]
+        for t in traits:
+            for form, xs in forms.items():
+                parts += [D.model(f"{t}_{form}", "selz", "fitness_rel", tuple(f"{t}_{x}" for x in xs)), D.leave_one_out(f"{t}_{form}", len(xs))]
+        return ",".join(parts)
+
+    fields = ("elpd_loo", "se_elpd_loo", "p_loo", "se_p_loo", "looic", "se_looic")
+    rounded = ", ".join(f"{r(c, 5)} AS {c}" for c in fields) + ", n_high_k"
+    both = " UNION ALL ".join(f"SELECT 'doy_{f}' AS model, {D.scores(f'doy_{f}')}" for f in forms)
+    out["flat_loo_scores"] = loo(["doy"]) + f" SELECT model, {rounded} FROM ({both})"
+    compared = []
+    for t, (label, _) in TRAITS.items():
+        a, b = (f"{t}_{f}" for f in forms)
+        compared.append(f"""
+SELECT *, CASE WHEN elpd_loo = best THEN 0 ELSE elpd_loo - best END AS elpd_diff,
+  CASE WHEN elpd_loo = best THEN 0 ELSE se END AS se_diff, '{label}' AS trait
+FROM (SELECT *, max(elpd_loo) OVER () AS best, (SELECT sqrt(count(*) * var_samp({a}_loo.elpd - {b}_loo.elpd)) FROM {a}_loo JOIN {b}_loo USING (id)) AS se
+      FROM (SELECT '{a}' AS model, {D.scores(a)} UNION ALL SELECT '{b}', {D.scores(b)}))""")
+    out["flat_loo_compare"] = loo(TRAITS) + f" SELECT model, {rounded}, {r('elpd_diff', 5)} AS elpd_diff, {r('se_diff', 5)} AS se_diff, trait FROM ({' UNION ALL '.join(compared)})"
+
+    priors = [D.model(f"p_{t}", f"index_{t}", f"{t}_plasticity", (), prior=True) for t in TRAITS]
+    kept = lambda t: f"(SELECT draw FROM (SELECT DISTINCT draw FROM p_{t}_theta) ORDER BY md5('123:' || draw), draw LIMIT 1000)"
+    out["default_priors"] = with_gate(*TRAITS) + "," + ",".join(priors) + " UNION ALL ".join(
+        f" SELECT '{t}' AS trait, CAST(location AS DOUBLE) AS location, CAST(scale AS DOUBLE) AS scale, CAST(3 AS DOUBLE) AS dof FROM p_{t}_prior" for t in TRAITS
+    )
+    for t, own in zip(TRAITS, priors):
+        out[f"posterior_cells_{t}"] = with_gate(t) + "," + own + f"""
+SELECT Population, "Year", {q('a', 0.5)} AS median, {q('a', 0.025)} AS lower, {q('a', 0.975)} AS upper
+FROM p_{t}_theta WHERE draw IN {kept(t)} GROUP BY 1, 2"""
+    out["posterior_cohort_pd"] = with_gate("doy") + "," + priors[0] + f""",
+dif AS (SELECT draw, avg(a) FILTER ("Year" = '2010') - avg(a) FILTER ("Year" = '2017') AS dif FROM p_doy_theta WHERE draw IN {kept('doy')} GROUP BY 1)
+SELECT {pd('dif')} FROM dif"""
+
+
 def build() -> dict[str, str]:
     out: dict[str, str] = {}
     clim = "WITH " + CLIMATE
@@ -357,6 +439,7 @@ SELECT '{label}' AS trait, Population, "Year", count(DISTINCT Dam_ID) AS n_famil
 FROM sub_{t} GROUP BY 2, 3"""
         for t, (label, _) in TRAITS.items()
     )
+    out["sample_sizes_united"] = out["sample_sizes"]
     sel = selection()
     out["trait_join"] = sel + f"""
 SELECT Dam_ID, pop_year, Population, "Year", {r('doy_pp')} AS doy_pp, {r('sla_pp')} AS sla_pp, {r('ldmc_pp')} AS ldmc_pp
@@ -470,7 +553,38 @@ SELECT Population, "Year", i, {r('max(doy_pp_z)', 5)} AS doy_pp_z, {r('quantile_
     out["halfeye_density"] = b + ", t10 AS (SELECT * FROM trends WHERE \"Year\" = '2010')," + density(
         "t10", "value", "Population", 256, False, 0.0
     )
-    out["reference_population"] = "WITH " + PLANTS + " SELECT min(Population) AS Population FROM plants"
+    posterior(out)
+    out["reference_population"] = selection() + f""",
+levels AS (SELECT DISTINCT Population AS p FROM selz WHERE doy_pp_z IS NOT NULL AND fitness_rel IS NOT NULL),
+termed AS (SELECT p FROM levels WHERE p > (SELECT min(p) FROM levels))
+SELECT p AS Population FROM (VALUES {', '.join(f"('{p}')" for p in POPS)}) v(p) EXCEPT SELECT p FROM termed"""
+    out["climate_csv"] = clim + f"""
+SELECT ID1, "Year", {r('Latitude', 3)} AS Latitude, {r('Longitude', 3)} AS Longitude, {r('MAP', 3)} AS MAP, {r('PPT_wt', 3)} AS PPT_wt,
+  {r('MAT', 3)} AS MAT, CAST(NULL AS DOUBLE) AS CMD FROM climate"""
+    out["plants_csv"] = out["plasticity_doy"]
+    out["saved_fit"] = out["coef_summary"]
+    out["trait_join_bucketed"] = out["trait_join"]
+    shown = "t10 AS (SELECT * FROM trends WHERE \"Year\" = '2010' AND value BETWEEN -4 AND 3)"
+    out["halfeye_limited"] = b + f", {shown} " + widths.replace("trends WHERE \"Year\" = '2010'", "t10")
+    near = ", near AS (SELECT * FROM popdifs WHERE pred_diff BETWEEN -4 AND 3),"
+    out["ridges_limited"] = d + near + density("near", "pred_diff", "difference", 256, True, 3.0)
+    shifted = lambda sql: sql.replace(DRAWS, SHIFTED).replace(DRAWS.replace(PLANTS + ",", "", 1), SHIFTED.replace(PLANTS + ",", "", 1))
+    out["stars_shifted"] = shifted(out["stars"])
+    both = b + f"""
+SELECT Population, "Year", {r('mean_slope')} AS mean_slope, {r('up')} AS prob_greater_than_zero, {r('down')} AS prob_less_than_zero,
+  {r('greatest(up, down)')} AS prob_diff_from_zero,
+  CASE WHEN greatest(up, down) >= 0.95 THEN 'Significant' ELSE 'Not Significant' END AS sig FROM slopepd"""
+    out["significance_shifted"] = shifted(both)
+    out["ribbon_significant"] = shifted(out["ribbon"]).replace("FROM eff GROUP BY", "FROM eff JOIN (SELECT Population, \"Year\" FROM slopepd WHERE greatest(up, down) >= 0.95) USING (Population, \"Year\") GROUP BY")
+    two = lambda sql: sql.replace(PLANTS, TWO_COHORTS)
+    out["gate_two_cohorts"] = two(out["gate_ldmc"])
+    out["plasticity_two_cohorts"] = two(out["plasticity_ldmc"])
+    out["trait_join_two_cohorts"] = two(out["trait_join"])
+    by_cohort = out["trait_join"]
+    for t in ("s", "l"):
+        by_cohort = by_cohort.replace(f"ON d.Dam_ID IS NOT DISTINCT FROM {t}.Dam_ID", f"ON d.Dam_ID IS NOT DISTINCT FROM {t}.Dam_ID AND d.pop_year = {t}.pop_year")
+    out["trait_join_by_cohort"] = two(by_cohort)
+    out["selection_two_cohorts"] = two(out["selection_table"])
     del out["pairs_sla"]  # not registered: quadratic for a continuous trait
     out["density_curve"] = d + "," + density("cohortdifs", "diff_prediction", None, 512, False, 0.0)
     out["density_ridges"] = d + "," + density("popdifs", "pred_diff", "difference", 256, True, 3.0)

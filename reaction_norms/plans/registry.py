@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from reaction_norms.functions import columns as C
 from reaction_norms.models import gaussian as M
 from reaction_norms.models import loo as L
-from reaction_norms.models.design import Design, design_for
+from reaction_norms.models.design import design_for
 from reaction_norms.operators import climate as K
 from reaction_norms.operators import figures as G
 from reaction_norms.operators import plasticity as P
@@ -33,6 +33,7 @@ PERIODS = {"historical": B.BASELINE_YEARS, "contemporary": B.CONTEMPORARY_YEARS}
 SITE_ORDER = tuple(f"NATION_{i}" for i in (5, 4, 3, 2, 1, 0))
 FIGURE_POPULATIONS = ("S1", "S2", "C1", "C2", "N2", "N1")
 INDEX_LIMITS = (-0.25, 1.2)
+SLOPE_LIMITS = (-4.0, 3.0)
 TREND_LIMITS = (0.0, 26_000_000.0)
 
 
@@ -117,7 +118,7 @@ def _per_trait(
     digits: int = 6,
 ) -> None:
     for t in traits:
-        QUERIES[f"{name}_{t.name}"] = lambda spark, d, t=t: tidy(fn(B.plants(spark, d), t), digits)
+        QUERIES[f"{name}_{t.name}"] = lambda spark, d, t=t: tidy(fn(B.joined_plants(spark, d), t), digits)
 
 
 _per_trait("replicate_counts", P.replicate_counts)
@@ -141,23 +142,113 @@ _per_trait(
 
 @query
 def centered_doy(spark, d):
-    plants = B.plants(spark, d).select("Dam_ID", "Population", "Year", "garden", P.DOY.column)
-    return tidy(P.center_on_env_min(P.eligible_plants(plants, P.DOY), P.DOY.column))
+    plants = P.eligible_plants(B.joined_plants(spark, d), P.DOY).select("Dam_ID", "Population", "Year", "garden", P.DOY.column)
+    return tidy(P.center_on_env_min(plants, P.DOY.column))
 
 
 @query
 def sample_sizes(spark, d):
-    return tidy(P.sample_sizes(B.plants(spark, d)))
+    return tidy(P.sample_sizes(B.joined_plants(spark, d)))
 
 
 @query
-def saved_index(spark, d):
-    """The family index written to the shared folder and read back."""
+def sample_sizes_united(spark, d):
+    """Family sketches of each population, saved one run after another, and united."""
+    plants = B.joined_plants(spark, d)
+    runs = [replace(plants, families=plants.families.where(which)) for which in (F.col("Population") < "N1", ~(F.col("Population") < "N1"))]
+    saved = [materialize(P.size_sketches(run)) for run in runs]
+    return tidy(P.united_sizes(saved[0].unionByName(saved[1])))
+
+
+# Families over both cohorts: a family passes its gate in one and keeps its plants of the other, and
+# a join by family alone fans out.
+
+
+def _two(spark, d):
+    plants = B.two_cohort_plants(spark, d)
+    return replace(plants, facts=materialize(plants.facts))
+
+
+@query
+def gate_two_cohorts(spark, d):
+    return tidy(P.gate_table(_two(spark, d), P.LDMC))
+
+
+@query
+def plasticity_two_cohorts(spark, d):
+    return tidy(P.plasticity_index(_two(spark, d), P.LDMC))
+
+
+@query
+def trait_join_two_cohorts(spark, d):
+    return tidy(S.join_traits(S.indices_by_trait(_two(spark, d))))
+
+
+@query
+def trait_join_by_cohort(spark, d):
+    return tidy(S.join_traits(S.indices_by_trait(_two(spark, d)), ("Dam_ID", "pop_year")))
+
+
+@query
+def selection_two_cohorts(spark, d):
+    plants = _two(spark, d)
+    return tidy(S.selection_table(plants, S.indices_by_trait(plants)))
+
+
+# Hand-off files and tables.
+
+
+def _folder(spark, name: str) -> str:
     folder = shared_folder(spark)
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{folder.rstrip('/')}/saved_index-{uuid.uuid4().hex}"
-    tables.write_table(P.plasticity_index(B.plants(spark, d), P.DOY), path)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def climate_csv(spark, d):
+    """The climate table as a CSV file, read back under its contract."""
+    path = _folder(spark, "climate")
+    tables.write_table(B.climate(spark, d), path, "csv")
+    got = tables.read_climate(spark, path).select("ID1", "Year", "Latitude", "Longitude", "MAP", "PPT_wt", "MAT", "CMD")
+    return tidy(got, 3)
+
+
+@query
+def plants_csv(spark, d):
+    """Family indices of plants that were read from CSV files."""
+    path = _folder(spark, "plants")
+    tables.write_table(B.plants(spark, d), path, "csv")
+    return tidy(P.plasticity_index(tables.read_plants(spark, path), P.DOY))
+
+
+@query
+def saved_fit(spark, d):
+    """Coefficients of a model that was saved and loaded."""
+    path = _folder(spark, "fit")
+    tables.save_fit(B.coefficient_terms(spark), B.coefficient_draws(spark, d), path)
+    terms, draws = tables.load_fit(spark, path)
+    names = [r["name"] for r in terms.orderBy("idx").collect()]
+    return tidy(Q.coefficient_summary(draws, names))
+
+
+@query
+def trait_join_bucketed(spark, d):
+    """The trait join on hand-off tables in buckets of the family: no shuffle."""
+    path, run = _folder(spark, "tables"), uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = {}
+    for name, index in S.indices_by_trait(B.joined_plants(spark, d)).items():
+        tables.replace_family_table(index, f"index_{name}_{run}", path, buckets)
+        stored[name] = tables.family_table(spark, f"index_{name}_{run}")
+    return tidy(S.join_traits(stored, null_safe=False))
+
+
+@query
+def saved_index(spark, d):
+    """The family index written to the shared folder and read back."""
+    path = _folder(spark, "saved_index")
+    tables.write_table(P.plasticity_index(B.joined_plants(spark, d), P.DOY), path)
     return tidy(tables.read_plasticity(spark, path, "doy"))
 
 
@@ -165,7 +256,7 @@ def saved_index(spark, d):
 
 
 def _selection(spark, d):
-    plants = B.plants(spark, d)
+    plants = B.joined_plants(spark, d)
     return S.selection_table(plants, S.indices_by_trait(plants))
 
 
@@ -175,12 +266,12 @@ def _selection_z(spark, d):
 
 @query
 def trait_join(spark, d):
-    return tidy(S.join_traits(S.indices_by_trait(B.plants(spark, d))))
+    return tidy(S.join_traits(S.indices_by_trait(B.joined_plants(spark, d))))
 
 
 @query
 def family_fitness(spark, d):
-    return tidy(S.family_fitness(B.plants(spark, d)))
+    return tidy(S.family_fitness(B.joined_plants(spark, d)))
 
 
 @query
@@ -230,7 +321,7 @@ def level_labels(spark, d):
 @query
 def censored(spark, d):
     """Family indices outside the axis range become missing."""
-    index = P.plasticity_index(B.plants(spark, d), P.DOY)
+    index = P.plasticity_index(B.joined_plants(spark, d), P.DOY)
     return tidy(index.withColumn("shown", C.censor("doy_plasticity", *INDEX_LIMITS)))
 
 
@@ -356,7 +447,7 @@ def cell_intervals(spark, d):
 
 
 def _index(spark, d, trait: P.Trait) -> DataFrame:
-    return materialize(P.plasticity_index(B.plants(spark, d), trait))
+    return materialize(P.plasticity_index(B.joined_plants(spark, d), trait))
 
 
 def _ols_draw(spark: SparkSession, fit: M.GaussianFit) -> DataFrame:
@@ -404,8 +495,14 @@ def design_matrix(spark, d):
     return tidy(rows.select("Dam_ID", *[c.alias(t.replace(":", "_x_")) for c, t in zip(design.row(), design.terms)]))
 
 
+FORMS = ("linear", "quadratic")
+
+
 def _selection_models(
-    data: DataFrame, traits: Sequence[P.Trait], forms: Sequence[str] = ("linear", "quadratic")
+    data: DataFrame,
+    traits: Sequence[P.Trait],
+    forms: Sequence[str] = FORMS,
+    prior: M.Prior | None = M.SELECTION_PRIOR,
 ) -> dict[str, M.GaussianFit]:
     """``{trait}_{form}`` models, all fitted in one pass over the selection table."""
     levels = design_for(data, "fitness_rel")
@@ -414,31 +511,47 @@ def _selection_models(
         for form in forms:
             covariates = (f"{t.name}_pp_z", f"{t.name}_pp2_z")[: 1 + (form == "quadratic")]
             designs[f"{t.name}_{form}"] = replace(levels, covariates=covariates)
-    return M.fit_all(data, designs, M.SELECTION_PRIOR)
+    return M.fit_all(data, designs, prior)
 
 
-def _doy_model(data: DataFrame) -> tuple[Design, M.GaussianFit]:
-    fit = _selection_models(data, [P.DOY], ["linear"])["doy_linear"]
-    return fit.design, fit
+# Each query of a selection model comes under the priors of the analysis (``posterior_*``) and under the flat prior
+# (``flat_*``), whose draws have a closed form that SQL can follow.
 
 
-@query
-def posterior_draws(spark, d):
-    """Draws of the linear selection model under its priors."""
-    _, fit = _doy_model(_model_data(spark, d))
-    return fit.draws(spark)
+def _under_priors(fn: Callable[[SparkSession, str, M.Prior | None], DataFrame]) -> None:
+    QUERIES[f"posterior_{fn.__name__}"] = lambda spark, d: tidy(fn(spark, d, M.SELECTION_PRIOR), 5)
+    QUERIES[f"flat_{fn.__name__}"] = lambda spark, d: tidy(fn(spark, d, None), 5)
 
 
-@query
-def posterior_coefficients(spark, d):
-    design, fit = _doy_model(_model_data(spark, d))
-    return Q.coefficient_summary(fit.draws(spark), design.terms)
+def _doy_fit(data: DataFrame, prior: M.Prior | None) -> M.GaussianFit:
+    return _selection_models(data, [P.DOY], ["linear"], prior)["doy_linear"]
 
 
-@query
-def posterior_slope_table(spark, d):
+@_under_priors
+def draws(spark, d, prior):
+    """Every coefficient and sigma of every draw of the linear model."""
+    fit = _doy_fit(_model_data(spark, d), prior)
+    names = F.array(*[F.lit(t) for t in (*fit.design.terms, "sigma")])
+    values = F.transform(F.concat("beta", F.array("sigma")), lambda v, i: F.struct(i.alias("idx"), F.get(names, i).alias("term"), v.alias("value")))
+    return fit.draws(spark).select("draw", F.inline(values))
+
+
+@_under_priors
+def subsample(spark, d, prior):
+    """A thousand of the draws, with their sigma."""
+    return Q.subsample_draws(_doy_fit(_model_data(spark, d), prior).draws(spark)).select("draw", "sigma")
+
+
+@_under_priors
+def coefficients(spark, d, prior):
+    fit = _doy_fit(_model_data(spark, d), prior)
+    return Q.coefficient_summary(fit.draws(spark), fit.design.terms)
+
+
+@_under_priors
+def slope_table(spark, d, prior):
     """Slopes and intervals of the three linear models."""
-    fits = _selection_models(_model_data(spark, d), P.TRAITS, ["linear"])
+    fits = _selection_models(_model_data(spark, d), P.TRAITS, ["linear"], prior)
     parts = []
     for t in P.TRAITS:
         fit = fits[f"{t.name}_linear"]
@@ -447,61 +560,76 @@ def posterior_slope_table(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query
-def posterior_cohort_pd(spark, d):
-    """Cohort contrast of the plasticity model: fit, draws, 1000 kept, cells, PD."""
-    index = _index(spark, d, P.DOY)
-    design = design_for(index, "doy_plasticity")
-    draws = Q.subsample_draws(M.fit_gaussian(index, design).draws(spark))
-    return Q.probability_of_difference(
-        Q.cohort_contrast(M.expected_cells(draws, design)), "diff_prediction"
-    )
+@_under_priors
+def conditional(spark, d, prior):
+    """Ribbon of the linear model's fitted draws over the observed ranges, the cells with a significant slope."""
+    data, x = _model_data(spark, d), "doy_pp_z"
+    fit = _doy_fit(data, prior)
+    draws = materialize(fit.draws(spark))
+    probs = Q.slope_probability(M.trend_draws(draws, fit.design, x))
+    effects = M.conditional_effects(draws, fit.design, x, S.observed_range(data, x))
+    return G.ribbon(Q.join_significance(effects, probs), x)
 
 
-@query
-def posterior_conditional(spark, d):
-    """Ribbon of the linear model's fitted draws over the observed ranges, all cells."""
+@_under_priors
+def fitted(spark, d, prior):
+    """Expected value of every family under all draws."""
     data = _model_data(spark, d)
-    design, fit = _doy_model(data)
-    draws, x = materialize(fit.draws(spark)), "doy_pp_z"
-    probs = Q.slope_probability(M.trend_draws(draws, design, x))
-    effects = M.conditional_effects(draws, design, x, S.observed_range(data, x))
-    return G.ribbon(Q.join_significance(effects, probs), x, significant_only=False)
+    return M.fitted_values(data, _doy_fit(data, prior), ["Dam_ID", "Population", "Year"])
 
 
-@query
-def fitted_values(spark, d):
-    """Posterior expected value of every family under 100 kept draws."""
+def _loo_pointwise(spark, d, traits: Sequence[P.Trait], prior: M.Prior | None) -> DataFrame:
     data = _model_data(spark, d)
-    design, fit = _doy_model(data)
-    draws = Q.subsample_draws(fit.draws(spark), 100)
-    rows = design.complete_cases(data).select("Dam_ID", "Population", "Year", "doy_pp_z")
-    return M.fitted_draws(draws, design, rows)
+    return L.loo_pointwise(data, _selection_models(data, traits, prior=prior))
 
 
-def _loo(spark, d, traits: Sequence[P.Trait]) -> dict[str, DataFrame]:
-    data = _model_data(spark, d)
-    fits = _selection_models(data, traits)
-    out = {}
-    for t in traits:
-        models = {f: fits[f"{t.name}_{f}"] for f in ("linear", "quadratic")}
-        drawn = {f: (fit, fit.draws(spark)) for f, fit in models.items()}
-        out[t.name] = L.loo_pointwise(data, drawn, ["Dam_ID"])
-    return out
+@_under_priors
+def loo_scores(spark, d, prior):
+    models = [f"{P.DOY.name}_{f}" for f in FORMS]
+    return L.loo_scores(_loo_pointwise(spark, d, [P.DOY], prior), models)
+
+
+@_under_priors
+def loo_compare(spark, d, prior):
+    """The six models of the three traits, scored in one pass."""
+    groups = {t.label: [f"{t.name}_{f}" for f in FORMS] for t in P.TRAITS}
+    return L.loo_compare(_loo_pointwise(spark, d, P.TRAITS, prior), groups)
+
+
+for _new, _old in {"posterior_fitted": "fitted_values", "posterior_loo_scores": "loo_scores", "posterior_loo_compare": "loo_compare"}.items():
+    QUERIES[_old] = QUERIES.pop(_new)
+
+
+# The plasticity models name no prior and get the default one.
+
+
+def _plasticity_model(spark, d, trait: P.Trait) -> M.GaussianFit:
+    index = _index(spark, d, trait)
+    design = design_for(index, f"{trait.name}_plasticity")
+    return M.fit_gaussian(index, design, M.default_prior(index, design))
 
 
 @query
-def loo_scores(spark, d):
-    return L.loo_scores(_loo(spark, d, [P.DOY])["doy"], ["linear", "quadratic"])
+def default_priors(spark, d):
+    """Location and scale of the default prior of each plasticity model."""
+    priors = [(t.name, _plasticity_model(spark, d, t).prior) for t in P.TRAITS]
+    return spark.createDataFrame([(n, p.location, p.scale, p.dof) for n, p in priors], "trait string, location double, scale double, dof double")
+
+
+def _plasticity_cells(spark, d, trait: P.Trait) -> DataFrame:
+    """Expected cells of a thousand kept draws."""
+    fit = _plasticity_model(spark, d, trait)
+    return M.expected_cells(Q.subsample_draws(fit.draws(spark)), fit.design)
+
+
+for _t in P.TRAITS:
+    QUERIES[f"posterior_cells_{_t.name}"] = lambda spark, d, t=_t: tidy(Q.cell_summary(_plasticity_cells(spark, d, t)), 5)
 
 
 @query
-def loo_compare(spark, d):
-    parts = [
-        L.loo_compare(pw, ["linear", "quadratic"], t.label)
-        for t, pw in zip(P.TRAITS, _loo(spark, d, P.TRAITS).values())
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def posterior_cohort_pd(spark, d):
+    """Cohort contrast of the plasticity model: fit, draws, 1000 kept, cells, PD."""
+    return tidy(Q.probability_of_difference(Q.cohort_contrast(_plasticity_cells(spark, d, P.DOY)), "diff_prediction"))
 
 
 # Tables computed from draws, on coefficients solved from the draw table.
@@ -540,12 +668,35 @@ def slope_pd(spark, d):
     return tidy(Q.slope_probability(_bound_trends(spark, d)))
 
 
-def _bound_effects(spark, d):
+def _bound_effects(spark, d, draws: DataFrame | None = None):
+    draws = B.coefficient_draws(spark, d) if draws is None else draws
     ranges = S.observed_range(_selection_z(spark, d), B.BOUND_COVARIATE)
-    effects = M.conditional_effects(
-        B.coefficient_draws(spark, d), B.BOUND_DESIGN, B.BOUND_COVARIATE, ranges
-    )
-    return Q.join_significance(effects, Q.slope_probability(_bound_trends(spark, d)))
+    effects = M.conditional_effects(draws, B.BOUND_DESIGN, B.BOUND_COVARIATE, ranges)
+    trends = M.trend_draws(draws, B.BOUND_DESIGN, B.BOUND_COVARIATE)
+    return Q.join_significance(effects, Q.slope_probability(trends))
+
+
+def _shifted_draws(spark, d) -> DataFrame:
+    return B.coefficient_draws(spark, d, B.shifted_draw_table(spark, d))
+
+
+@query
+def stars_shifted(spark, d):
+    """Contrasts between cohorts that differ by as much as their population's effect."""
+    return tidy(Q.contrast_stars(Q.cell_contrast(B.shifted_draw_table(spark, d))))
+
+
+@query
+def ribbon_significant(spark, d):
+    """Ribbons of the cells whose slope differs from zero, of draws where some do and some do not."""
+    return tidy(G.ribbon(_bound_effects(spark, d, _shifted_draws(spark, d)), B.BOUND_COVARIATE), 5)
+
+
+@query
+def significance_shifted(spark, d):
+    """Slope, probability and label of every cell of those draws."""
+    trends = M.trend_draws(_shifted_draws(spark, d), B.BOUND_DESIGN, B.BOUND_COVARIATE)
+    return tidy(Q.slope_probability(trends).withColumn("sig", C.significance("prob_diff_from_zero")))
 
 
 @query
@@ -556,13 +707,13 @@ def conditional_effects(spark, d):
 # ------------------------------------------------------------------------ figures
 
 
-def _box_garden(plants: DataFrame, trait: P.Trait) -> DataFrame:
+def _box_garden(plants: P.Plants, trait: P.Trait) -> DataFrame:
     """Raw trait by garden x population over the eligible plants."""
     eligible = P.eligible_plants(plants, trait).select("garden", "Population", trait.column)
     return G.box_summary(materialize(eligible), trait.column, ["garden", "Population"])
 
 
-def _box_index(plants: DataFrame, trait: P.Trait) -> DataFrame:
+def _box_index(plants: P.Plants, trait: P.Trait) -> DataFrame:
     """Family index by population x cohort, within the axis range.
 
     Last-bit noise of the index is rounded off first: a value can lie exactly on a fence.
@@ -578,8 +729,7 @@ _per_trait("box_index", _box_index)
 @query
 def box_centered(spark, d):
     """Centred flowering date by garden x population."""
-    plants = B.plants(spark, d).select("Dam_ID", "Population", "Year", "garden", P.DOY.column)
-    centred = P.center_on_env_min(P.eligible_plants(plants, P.DOY), P.DOY.column)
+    centred = P.center_on_env_min(P.eligible_plants(B.joined_plants(spark, d), P.DOY), P.DOY.column)
     rows = materialize(centred.select("garden", "Population", "transplant_DOY"))
     return tidy(G.box_summary(rows, "transplant_DOY", ["garden", "Population"]))
 
@@ -600,6 +750,19 @@ def halfeye_intervals(spark, d):
     return tidy(G.interval_summary(cohort, "value", ["Population"]))
 
 
+@query
+def halfeye_limited(spark, d):
+    """Intervals of the slopes within the limits of the axis."""
+    cohort = _bound_trends(spark, d).where(F.col("Year") == "2010")
+    return tidy(G.interval_summary(cohort, "value", ["Population"], limits=SLOPE_LIMITS))
+
+
+@query
+def ridges_limited(spark, d):
+    """Densities of the contrasts within the limits of the axis."""
+    return tidy(G.density_ridges(_population_diffs(spark, d), "pred_diff", ["difference"], n=256, limits=SLOPE_LIMITS))
+
+
 @query
 def halfeye_density(spark, d):
     cohort = _bound_trends(spark, d).where(F.col("Year") == "2010")
@@ -608,8 +771,10 @@ def halfeye_density(spark, d):
 
 @query
 def reference_population(spark, d):
-    terms = B.coefficient_terms(spark)
-    return Q.reference_population(B.plants(spark, d), terms)
+    """The declared population without a term of its own in the model of the data."""
+    terms = _doy_fit(_model_data(spark, d), None).terms(spark)
+    declared = spark.createDataFrame([(p,) for p in FIGURE_POPULATIONS], "Population string")
+    return Q.reference_population(declared, terms)
 
 
 @query

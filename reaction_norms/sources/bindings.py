@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reaction_norms.models.design import Design
 from reaction_norms.operators.reshape import to_wide
+from reaction_norms.sources.facts import JoinedPlants
 from reaction_norms.sources.schemas import TERMS
 
 GARDEN_OF_FLAG = {"N": "north", "R": "south", "A": "center"}
@@ -27,8 +28,9 @@ DRAWS_PER_TABLE = 200
 
 # The columns used, so that opening a table starts no schema-inference job.
 SCHEMAS = {
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double,"
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
     " l_extendedprice double, l_discount double, l_returnflag string",
+    "supplier": "s_suppkey bigint",
     "part": "p_partkey bigint, p_type string, p_size int",
     "orders": "o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
     "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
@@ -52,17 +54,14 @@ def _cents(name: str) -> Column:
     return F.round(F.col(name) * 100)
 
 
-def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as plants: part = family, return flag = garden."""
+def joined_plants(spark: SparkSession, sf_dir: str) -> JoinedPlants:
+    """Order lines as measurements and parts as families, return flag = garden."""
     line = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     number, garden = F.col("l_linenumber"), _recode(F.col("l_returnflag"), GARDEN_OF_FLAG)
     leaf = garden != "center"
-    return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
+    facts = line.select(
+        F.col("l_partkey").alias("family_key"),
         garden.alias("garden"),
-        F.col("l_partkey").cast("string").alias("Dam_ID"),
-        _recode(F.col("p_type"), POPULATION_OF_TYPE).alias("Population"),
-        F.when(F.col("p_size") % 2 == 0, 2010).otherwise(2017).alias("Year"),
         F.when(number <= 2, F.col("l_quantity")).alias("first_flower_doy"),
         F.when(number.isin(3, 4) & leaf, _cents("l_extendedprice")).alias("sla_cm2_per_g"),
         F.when(number.isin(4, 5) & leaf, _cents("l_discount")).alias("ldmc"),
@@ -70,6 +69,47 @@ def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey"),
         F.col("l_quantity"),
     )
+    families = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("family_key"),
+        F.col("p_partkey").cast("string").alias("Dam_ID"),
+        _recode(F.col("p_type"), POPULATION_OF_TYPE).alias("Population"),
+        F.when(F.col("p_size") % 2 == 0, 2010).otherwise(2017).alias("Year"),
+    )
+    return JoinedPlants(facts, families, "family_key")
+
+
+def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as plants, one row each."""
+    names = ("garden", "Dam_ID", "Population", "Year", "first_flower_doy", "sla_cm2_per_g", "ldmc", "totalRS", "l_orderkey", "l_quantity")
+    return joined_plants(spark, sf_dir).select(*names)
+
+
+def two_cohort_plants(spark: SparkSession, sf_dir: str) -> JoinedPlants:
+    """Order lines as plants of families that were collected twice: supplier x cohort = family.
+
+    A family keeps its name and population over both cohorts, so the key of its rows is name and cohort.
+    """
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    year = F.when(F.col("p_size") % 2 == 0, 2010).otherwise(2017)
+    number, garden = F.col("l_linenumber"), _recode(F.col("l_returnflag"), GARDEN_OF_FLAG)
+    leaf = garden != "center"
+    facts = line.join(part, line["l_partkey"] == part["p_partkey"]).select(
+        F.concat_ws("/", F.col("l_suppkey"), year).alias("family_key"),
+        garden.alias("garden"),
+        F.when(number <= 2, F.col("l_quantity")).alias("first_flower_doy"),
+        F.when(number.isin(3, 4) & leaf, _cents("l_extendedprice")).alias("sla_cm2_per_g"),
+        F.when(number.isin(4, 5) & leaf, _cents("l_discount")).alias("ldmc"),
+        F.when(number != 7, _cents("l_extendedprice")).alias("totalRS"),
+    )
+    suppliers = table(spark, sf_dir, "supplier")
+    names = F.array(*[F.lit(p) for p in sorted(POPULATION_OF_TYPE.values())])
+    families = suppliers.select("s_suppkey", F.explode(F.array(F.lit(2010), F.lit(2017))).alias("Year")).select(
+        F.concat_ws("/", F.col("s_suppkey"), F.col("Year")).alias("family_key"),
+        F.col("s_suppkey").cast("string").alias("Dam_ID"),
+        F.get(names, (F.col("s_suppkey") % len(POPULATION_OF_TYPE)).cast("int")).alias("Population"),
+        "Year",
+    )
+    return JoinedPlants(facts, families, "family_key", unique=("Dam_ID", "Year"))
 
 
 def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +147,17 @@ def draw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What the first cohort's quantities are raised by, so that contrasts range from none to plain.
+COHORT_EFFECT = {"N1": 0.0, "N2": 4.0, "C1": 8.0, "C2": 10.0, "S1": 14.0, "S2": 30.0}
+
+
+def shifted_draw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draw table with an effect of the cohort that differs by population."""
+    effect = F.coalesce(*[F.when(F.col("Population") == p, e) for p, e in COHORT_EFFECT.items()])
+    raised = F.col("prediction") + F.when(F.col("Year") == 2010, effect).otherwise(0.0)
+    return draw_table(spark, sf_dir).withColumn("prediction", raised)
+
+
 BOUND_COVARIATE = "doy_pp_z"
 BOUND_DESIGN = Design(
     "fitness_rel", tuple(sorted(POPULATION_OF_TYPE.values())), ("2010", "2017"), (BOUND_COVARIATE,)
@@ -117,8 +168,8 @@ def coefficient_terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(BOUND_DESIGN.terms)), TERMS)
 
 
-def coefficient_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A (draw, beta, sigma) table solved from the draw table.
+def coefficient_draws(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    """A (draw, beta, sigma) table solved from the draw table (or another table ``cells`` like it).
 
     The coefficients reproduce its cell values, and each population's slope is its
     change between the cohorts, so every table computed from them can be checked in SQL.
@@ -126,7 +177,8 @@ def coefficient_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pops, (y0, y1) = BOUND_DESIGN.populations, BOUND_DESIGN.years
     names = [f"{p}_{y}" for p in pops for y in (y0, y1)]
-    wide = to_wide(draw_table(spark, sf_dir), ["draw"], ["Population", "Year"], names, "prediction")
+    cells = draw_table(spark, sf_dir) if cells is None else cells
+    wide = to_wide(cells, ["draw"], ["Population", "Year"], names, "prediction")
     start = lambda p: F.col(f"{p}_{y0}")
     change = lambda p: F.col(f"{p}_{y1}") - F.col(f"{p}_{y0}")
     ref = pops[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,33 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         raise ValueError(f"unknown format {fmt!r}: use csv or parquet")
 
 
+def replace_family_table(df: DataFrame, name: str, path: str, buckets: int, family: str = "Dam_ID") -> None:
+    """Save a hand-off table of the catalog, in buckets of the family and sorted by it.
+
+    Tables saved with the same number of buckets meet by family without a shuffle. The rows are written
+    to a version of their own below ``path`` first; only then does ``name``, a view, point to
+    it. A write that fails leaves the version before in its place, readers of which are not disturbed.
+    """
+    spark = df.sparkSession
+    version = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, family).sortBy(family).option("path", f"{path.rstrip('/')}/{version}").saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM `{version}`")
+
+
+def drop_old_versions(spark: SparkSession, name: str) -> None:
+    """Forget the versions that ``name`` no longer points to; call it when no reader is left on them."""
+    now = spark.sql(f"DESCRIBE TABLE EXTENDED `{name}`").where("col_name = 'View Text'").first()["data_type"]
+    for t in spark.catalog.listTables():
+        is_version = t.name.startswith(f"{name}_") and len(t.name) == len(name) + 33
+        if is_version and t.name not in now:
+            spark.sql(f"DROP TABLE `{t.name}`")
+
+
+def family_table(spark: SparkSession, name: str) -> DataFrame:
+    """The current version of a table of ``replace_family_table``."""
+    return spark.table(name)
+
+
 def save_fit(terms: DataFrame, draws: DataFrame, path: str) -> None:
     """Persist a fitted model as its term names and posterior draws."""
     write_table(terms, f"{path}/terms")

@@ -101,6 +101,61 @@ def test_exact_quantiles_match_numpy(spark, shape):
     assert {r.g: r.m for r in small} == pytest.approx({k: np.quantile(v[g == k], 0.4) for k in "ab"})
 
 
+@pytest.mark.parametrize("shape", ["heavy_tail", "two_thirds_equal", "infinite"])
+def test_brackets_are_narrowed_until_they_are_small(spark, monkeypatch, shape):
+    """Every rank is found, whatever a poor sketch says."""
+    from reaction_norms.functions import quantiles as Z
+
+    monkeypatch.setattr(Z, "LIMIT", 400)
+    monkeypatch.setattr(Z, "ACCURACY", 1_000)  # a poor sketch
+    rounds = []
+    narrowed = Z._narrowed
+    monkeypatch.setattr(Z, "_narrowed", lambda *a: rounds.append(1) or narrowed(*a))
+    rng = np.random.default_rng(8)
+    n = 20_000
+    v = rng.normal(size=n)
+    if shape == "heavy_tail":
+        v = np.sign(v) * np.exp(60 * np.abs(v))
+    if shape == "two_thirds_equal":
+        v[: 2 * n // 3] = 0.5
+    if shape == "infinite":
+        v[:3000], v[3000:9000] = -np.inf, np.inf
+    g = np.where(rng.random(n) < 0.01, "b", "a")
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v})).repartition(5)
+    probs = {"p0": 0.0, "q1": 0.25, "m": 0.5, "p99": 0.9995}
+    for r in Z.exact_quantiles(df, "v", probs, ["g"]).collect():
+        mine = np.sort(v[g == r.g])
+        for name, p in probs.items():
+            h = (len(mine) - 1) * p
+            low, high = mine[int(np.floor(h))], mine[int(np.ceil(h))]
+            want = low if low == high else low + (h - np.floor(h)) * (high - low)
+            assert r[name] == pytest.approx(want, rel=1e-12, abs=1e-12), (r.g, name)
+    assert 1 <= len(rounds) <= 8
+
+
+def test_open_brackets_hold_no_more_than_the_limit(spark, monkeypatch):
+    from reaction_norms.functions import quantiles as Z
+
+    monkeypatch.setattr(Z, "LIMIT", 500)
+    states = []
+    kept = Z.materialize
+    monkeypatch.setattr(Z, "materialize", lambda df: states.append(kept(df)) or states[-1])
+    df = spark.range(200_000).select(F.lit("one").alias("g"), F.rand(4).alias("v"))
+    Z.exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, ["g"]).collect()
+    assert Z._widest(states[0]) == 200_000 and 0 < Z._widest(states[-1]) <= 500
+
+
+def test_limits_drop_values_before_intervals_and_densities(spark):
+    df = spark.createDataFrame([("k", float(x)) for x in range(101)], "g string, v double")
+    r = {x.width: x for x in G.interval_summary(df, "v", ["g"], widths=(0.5,), limits=(0, 50)).collect()}[0.5]
+    assert (r.median, r.lower, r.upper) == (25.0, 12.5, 37.5)
+    cut = G.density_curve(df, "v", ["g"], n=16, limits=(0, 50)).collect()
+    alone = G.density_curve(df.where("v <= 50"), "v", ["g"], n=16).collect()
+    assert cut == alone and max(r.x for r in cut) == 50
+
+
 def test_box_summary_matches_numpy(spark):
     rnd = random.Random(1)
     values = [rnd.gauss(0, 1) for _ in range(200)] + [9.0, -8.0, 50.0]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from reaction_norms.models import gaussian as M
 from reaction_norms.models import loo as L
 from reaction_norms.models.design import Design, design_for
+from reaction_norms.models.numbers import normals_of, uniforms_of
 from reaction_norms.operators import figures as G
 from reaction_norms.operators import posterior as Q
 from reaction_norms.operators import selection as S
@@ -31,6 +32,12 @@ def matrix(data, design):
     return a[:, :-1], a[:, -1]
 
 
+def matrix_of(draws):
+    """(beta, sigma) arrays of a draw table, by draw."""
+    rows = draws.orderBy("draw").collect()
+    return np.array([r.beta for r in rows]), np.array([r.sigma for r in rows])
+
+
 def test_terms_of_the_three_model_forms():
     pops = tuple("abcdef")
     assert [len(Design("w", pops, YEARS, c).terms) for c in ((), ("x",), ("x", "x2"))] == [12, 18, 24]
@@ -68,7 +75,7 @@ def test_draws_do_not_depend_on_partitions(spark, data):
 
 def test_flat_draws_center_on_the_estimate(spark, data):
     fit = M.fit_gaussian(data, Design("w", POPS, YEARS, ("x",)))
-    beta, sigma = M.draw_matrix(fit.draws(spark, 4000))
+    beta, sigma = matrix_of(fit.draws(spark, 4000))
     want, s2 = fit.least_squares()
     dof = fit.n - len(want)
     error = np.sqrt(np.diag(np.linalg.inv(fit.xtx)) * s2 * dof / (dof - 2))
@@ -82,9 +89,9 @@ def test_prior_draws_match_importance_weights(spark, data):
     few = data.where(F.col("Dam_ID").isin(*[f"f{i}" for i in range(36)]))
     design = Design("w", POPS, YEARS, ("x",))
     prior = M.Prior(intercept_mean=0.8, intercept_sd=0.1, slope_mean=0.1, slope_sd=0.3, sigma_rate=5.0)
-    beta, sigma = M.draw_matrix(M.fit_gaussian(few, design, prior).draws(spark, 8000))
+    beta, sigma = matrix_of(M.fit_gaussian(few, design, prior).draws(spark, 8000))
     flat = M.fit_gaussian(few, design)
-    fb, fs = M._flat_sampler(flat)(5, np.arange(60_000))
+    fb, fs = flat.posterior().sample(5, np.arange(60_000))
     alpha = fb @ flat.x_mean
     logw = -0.5 * ((alpha - 0.8) / 0.1) ** 2 - 0.5 * (((fb[:, 1:] - 0.1) / 0.3) ** 2).sum(axis=1)
     logw += -5.0 * fs + np.log(fs)  # the flat prior has density 1 / sigma
@@ -99,10 +106,69 @@ def test_prior_draws_match_importance_weights(spark, data):
     assert sigma.mean() == pytest.approx(w @ fs, rel=0.02)
 
 
+PRIORS = [None, M.SELECTION_PRIOR, M.StudentPrior(0.9, 2.5), M.StudentPrior(0.0, 0.3)]
+
+
+@pytest.mark.parametrize("prior", PRIORS, ids=["flat", "normal", "student", "narrow"])
+def test_draws_as_columns_and_inside_tasks_are_the_same(spark, data, prior):
+    posterior = M.fit_gaussian(data, Design("w", POPS, YEARS, ("x", "x2")), prior).posterior()
+    beta, sigma = matrix_of(posterior.draws(spark, 300, seed=9))
+    want_beta, want_sigma = posterior.sample(9, np.arange(1, 301))
+    assert beta == pytest.approx(want_beta, abs=1e-9) and sigma == pytest.approx(want_sigma, abs=1e-9)
+    # a draw does not depend on the draws beside it
+    assert (posterior.sample(9, np.array([7, 250]))[0] == want_beta[[6, 249]]).all()
+
+
+def test_numbers_are_uniform_normal_and_independent():
+    u = uniforms_of(123, np.arange(1, 20_001), range(4))
+    z = normals_of(u, 7)
+    assert u.min() > 0 and u.max() < 1 and np.abs(u.mean(axis=0) - 0.5).max() < 0.01
+    assert z.shape == (20_000, 7) and np.abs(z.mean(axis=0)).max() < 0.03 and np.abs(z.std(axis=0) - 1).max() < 0.02
+    assert np.abs(np.corrcoef(z.T) - np.eye(7)).max() < 0.03
+    assert (uniforms_of(124, np.arange(1, 5), range(4)) != u[:4]).all()
+
+
+@pytest.mark.parametrize("prior", PRIORS[2:], ids=["wide", "narrow"])
+def test_student_prior_agrees_with_numerical_integration(data, prior):
+    few = data.where(F.col("Dam_ID").isin(*[f"f{i}" for i in range(48)]))
+    fit = M.fit_gaussian(few, Design("w", POPS, YEARS), prior)
+    posterior = fit.posterior()
+    beta, sigma = posterior.sample(1, np.arange(40_000))
+    mean = beta @ fit.x_mean
+    flat, s2 = fit.least_squares()
+    p, at = len(flat), fit.x_mean @ flat
+    # the other coefficients integrate out
+    a, s = np.linspace(at - 1.5, at + 1.5, 1501)[:, None], np.linspace(0.02, 2.0, 1500)[None, :]
+    log = -(fit.n - p + 1) * np.log(s) - (fit.n - p) * s2 / (2 * s**2) - fit.n * (a - at) ** 2 / (2 * s**2)
+    log += -(prior.dof + 1) / 2 * (np.log1p(((a - prior.location) / prior.scale) ** 2 / prior.dof) + np.log1p((s / prior.scale) ** 2 / prior.dof))
+    w = np.exp(log - log.max())
+    w /= w.sum()
+    want_a, want_s = (w * a).sum(), (w * s).sum()
+    sd_a, sd_s = np.sqrt((w * (a - want_a) ** 2).sum()), np.sqrt((w * (s - want_s) ** 2).sum())
+    assert abs(mean.mean() - want_a) < 5 * sd_a / 200 and abs(sigma.mean() - want_s) < 5 * sd_s / 200
+    assert mean.std() == pytest.approx(sd_a, rel=0.03) and sigma.std() == pytest.approx(sd_s, rel=0.05)
+    if prior.scale < 1:
+        assert abs(want_a - at) > 0.2 * sd_a  # the prior pulls
+
+
+def test_default_prior_follows_median_and_deviation(spark):
+    y = [1.04, 7.0, 100.0, 31.0, 12.5, -40.0]
+    rows = [("C1", 2010, v) for v in y] + [("C1", 2010, None), ("zz", 2010, 5.0)]
+    df = spark.createDataFrame(rows, "Population string, Year int, w double")
+    prior = M.default_prior(df, Design("w", ("C1",), ("2010",)))
+    middle = float(np.median(y))
+    assert prior == M.StudentPrior(round(middle, 1), round(1.4826 * float(np.median(np.abs(np.array(y) - middle))), 1))
+    narrow = spark.createDataFrame([("C1", 2010, 0.1 * i) for i in range(9)], "Population string, Year int, w double")
+    assert M.default_prior(narrow, Design("w", ("C1",), ("2010",))).scale == 2.5
+    far = M.fit_gaussian(narrow, Design("w", ("C1",), ("2010",)), M.StudentPrior(1e9, 1e-3))
+    with pytest.raises(ValueError, match="far out"):
+        far.posterior()
+
+
 def test_wide_prior_agrees_with_least_squares(spark, data):
     design = Design("w", POPS, YEARS, ("x",))
     fit = M.fit_gaussian(data, design, M.Prior(0.0, 1e4, 0.0, 1e4, 1e-6))
-    beta, _ = M.draw_matrix(fit.draws(spark, 4000))
+    beta, _ = matrix_of(fit.draws(spark, 4000))
     want, s2 = M.fit_gaussian(data, design).least_squares()
     error = np.sqrt(np.diag(np.linalg.inv(fit.xtx)) * s2)
     assert np.all(np.abs(beta.mean(axis=0) - want) < 5 * error / np.sqrt(4000))
@@ -111,14 +177,17 @@ def test_wide_prior_agrees_with_least_squares(spark, data):
 def test_expected_values_three_ways(spark, data):
     design = Design("w", POPS, YEARS, ("x",))
     draws = M.fit_gaussian(data, design).draws(spark, 20)
-    beta, _ = M.draw_matrix(draws)
+    beta, _ = matrix_of(draws)
     rows = design.complete_cases(data)
-    fitted = M.fitted_draws(draws, design, rows)
+    fitted = M.fitted_values(data, M.fit_gaussian(data, design), ["Dam_ID"], n=20)
     x, _ = matrix(data, design)
     ids = [r.Dam_ID for r in rows.orderBy("Dam_ID").collect()]
-    want = {(i, d + 1): v for i, row in zip(ids, x @ beta.T) for d, v in enumerate(row)}
-    got = {(r.Dam_ID, r.draw): r.value for r in fitted.collect()}
-    assert got == pytest.approx(want)
+    value = x @ beta.T
+    columns = (value.mean(1), value.std(1, ddof=1), *np.quantile(value, (0.025, 0.975), axis=1))
+    got = {r.Dam_ID: r[1:] for r in fitted.collect()}
+    assert sorted(got) == sorted(ids)
+    for i, *want in zip(ids, *columns):
+        assert got[i] == pytest.approx(want)
 
     ranges = S.observed_range(rows, "x")
     effects = M.conditional_effects(draws, design, "x", ranges, n=5)
@@ -138,7 +207,7 @@ def test_slopes_and_significance(spark, data):
     design = Design("w", POPS, YEARS, ("x",))
     draws = M.fit_gaussian(data, design, M.SELECTION_PRIOR).draws(spark, 1000)
     slopes = {r.Population: r for r in Q.slope_table(M.slope_draws(draws, design, "x"), "t").collect()}
-    beta, _ = M.draw_matrix(draws)
+    beta, _ = matrix_of(draws)
     at = list(design.terms).index
     s1 = beta[:, at("x")] + beta[:, at("PopulationS1:x")]
     assert slopes["S1"].linear_median == pytest.approx(np.median(s1))
@@ -177,10 +246,12 @@ def test_scores_match_exact_leave_one_out(spark, data):
     for name, covariates in (("flat", ()), ("linear", ("x",)), ("quadratic", ("x", "x2"))):
         design = Design("w", POPS, YEARS, covariates)
         fit = M.fit_gaussian(data.where("x is not null"), design)
-        models[name] = (fit, fit.draws(spark))
+        models[name] = fit
         exact[name] = exact_loo(*matrix(data.where("x is not null"), design))
     pointwise = L.loo_pointwise(data, models, ["Dam_ID"])
-    rows = pointwise.orderBy("Dam_ID").collect()
+    # the row without x is complete for the model that does not need it
+    assert [r.Dam_ID for r in pointwise.where("elpd_linear is null").collect()] == ["gap"]
+    rows = pointwise.where("elpd_linear is not null").orderBy("Dam_ID").collect()
     for name in models:
         got = np.array([r[f"elpd_{name}"] for r in rows])
         k = np.array([r[f"pareto_k_{name}"] for r in rows])
@@ -189,7 +260,8 @@ def test_scores_match_exact_leave_one_out(spark, data):
         assert error.max() < 0.25
         assert abs(got.sum() - exact[name].sum()) < 0.4
         assert max(r[f"pareto_k_{name}"] for r in rows) < 0.7
-    table = L.loo_compare(pointwise, list(models), "t").collect()
+    table = L.loo_compare(pointwise, {"t": list(models)}).collect()
+    assert {r.trait for r in table} == {"t"}
     assert table[0].elpd_diff == 0 and table[0].se_diff == 0
     assert table[0].model in ("linear", "quadratic") and table[2].model == "flat"
     best = exact[table[0].model]
@@ -201,6 +273,22 @@ def test_scores_match_exact_leave_one_out(spark, data):
     assert 5 < scores["linear"].p_loo < 15
 
 
+def test_rows_complete_for_some_models_only(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"f{i}", POPS[i % 3], 2010 + 7 * (i // 3 % 2), float(rng.normal()), None if i % 5 == 0 else float(rng.normal()), float(rng.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "Dam_ID string, Population string, Year int, x double, x2 double, w double")
+    fits = {name: M.fit_gaussian(df, Design("w", POPS, YEARS, c)) for name, c in (("one", ("x",)), ("two", ("x2",)))}
+    both = {r.Dam_ID: r for r in L.loo_pointwise(df, fits, ["Dam_ID"], n=400).collect()}
+    alone = {r.Dam_ID: r for r in L.loo_pointwise(df, {"two": fits["two"]}, ["Dam_ID"], n=400).collect()}
+    assert len(both) == 120 and len(alone) == 96
+    for i, r in both.items():
+        assert (r.elpd_two is None) == (i not in alone) and r.elpd_one is not None
+        assert i not in alone or r.elpd_two == pytest.approx(alone[i].elpd_two)
+    got = {r.model: r for r in L.loo_scores(L.loo_pointwise(df, fits, n=400), list(fits)).collect()}
+    values = np.array([r.elpd_two for r in alone.values()])
+    assert got["two"].elpd_loo == pytest.approx(values.sum()) and got["two"].se_elpd_loo == pytest.approx(np.sqrt(96 * values.var(ddof=1)))
+
+
 def test_too_few_rows_are_refused(data):
     design = Design("w", POPS, YEARS, ("x", "x2"))
     with pytest.raises(ValueError, match="flat prior"):
@@ -217,13 +305,12 @@ def test_task_code_travels_without_the_package(data, tmp_path):
     from pyspark import cloudpickle
 
     fit = M.fit_gaussian(data, Design("w", POPS, YEARS, ("x",)), M.SELECTION_PRIOR)
-    (tmp_path / "f.pkl").write_bytes(
-        cloudpickle.dumps((M._prior_sampler(fit), M._flat_sampler(fit), L.score_rows))
-    )
+    flat = M.fit_gaussian(data, Design("w", POPS, YEARS, ("x",)))
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((fit.posterior().drawn, flat.posterior().sample, L.score_rows)))
     code = (
         "import pickle, numpy as np, sys\n"
         "a, b, score = pickle.load(open('f.pkl', 'rb'))\n"
-        "beta, sigma = a(1, np.arange(200)); b(1, np.arange(3))\n"
+        "beta, sigma = a(200, 1); b(1, np.arange(3))\n"
         "print(len(score(np.ones((2, 9)), np.ones(2), beta, sigma)[0]), 'reaction_norms' in sys.modules)\n"
     )
     out = subprocess.run(
