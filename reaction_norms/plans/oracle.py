@@ -353,6 +353,7 @@ SELECT DISTINCT ID1, Latitude, Longitude, CASE WHEN ID1 IN ('NATION_6', 'NATION_
 SELECT ID1, {r('avg(MAP)', 3)} AS hist_MAP, {r('avg(PPT_wt)', 3)} AS hist_PPT_wt, {r('avg(MAT)', 3)} AS hist_MAT,
   {r(cv('MAP'), 3)} AS cv_MAP, {r(cv('PPT_wt'), 3)} AS cv_PPTwt, {r(cv('MAT'), 3)} AS cv_MAT
 FROM focal WHERE "Year" BETWEEN 1995 AND 1998 GROUP BY 1"""
+    out["contemporary_normals"] = out["site_normals"].replace("hist_", "cont_").replace("1995 AND 1998", "1999 AND 2001")
     periods = """(VALUES ('historical', 1995, 1998), ('contemporary', 1999, 2001)) p(period, lo, hi)"""
     cvs = clim + f""",
 cvs AS (SELECT ID1, period, {cv('MAP')} AS cv_MAP, {cv('PPT_wt')} AS cv_PPTwt, {cv('MAT')} AS cv_MAT

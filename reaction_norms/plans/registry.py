@@ -73,6 +73,13 @@ def site_normals(spark, d):
     return tidy(normals, 3)
 
 
+@query
+def contemporary_normals(spark, d):
+    """The second period's means and variation, as ``site_normals`` has the first's."""
+    means = {name.replace("hist", "cont"): c for name, c in MEANS.items()}
+    return tidy(K.climate_normals(_focal(spark, d), means=means, years=B.CONTEMPORARY_YEARS), 3)
+
+
 @query
 def period_cv(spark, d):
     return tidy(K.compare_periods(_focal(spark, d), PERIODS))
