@@ -208,6 +208,49 @@ def test_substrings_of_frequent_words(spark):
     assert kept == {0: "q", 1: "p", 2: "alone  here"}
 
 
+def brute_maximal_repeats(texts, window):
+    """Per text the places where maximal repeats of ``window`` words or more begin and end."""
+    words = [t.split() for t in texts]
+    places = collections.defaultdict(list)
+    for t, w in enumerate(words):
+        for i in range(len(w) - window + 1):
+            for j in range(i + window, len(w) + 1):
+                places[tuple(w[i:j])].append((t, i, j))
+    found = [(set(), set(), []) for _ in texts]
+    for at in places.values():
+        left = {words[t][i - 1] if i else (t, i) for t, i, _ in at}
+        right = {words[t][j] if j < len(words[t]) else (t, j) for t, _, j in at}
+        if len(at) > 1 and len(left) > 1 and len(right) > 1:
+            for t, i, j in at:
+                found[t][0].add(i), found[t][1].add(j), found[t][2].append(j - i)
+    return found
+
+
+def test_maximal_repeats(spark):
+    rng = np.random.default_rng(4)
+    long = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*rng.choice(["a", "b", "c"], 30), *long[k : k + 55], *rng.choice(["a", "b"], 20)]) for k in (0, 3, 5, 0)]
+    texts += ["x y " * 20, " ".join(long[:50]), " ".join(long[:50]), " ".join(rng.choice(["a", "b"], 40)), "few words"]
+    for window in (6, 35):
+        want = brute_maximal_repeats(texts, window)
+        assert max(n for *_, sizes in want for n in sizes) > 45
+        for r in substrings.dedup(frame(spark, texts), window).collect():
+            assert (set(r.opens), set(r.closes)) == want[r.doc_id][:2], (window, r.doc_id)
+
+
+def test_ends_of_maximal_repeats_of_windows_that_overfill_a_bin(spark):
+    texts = [f"u{i} a b c d e f g v{i}" for i in range(700)] + [f"u{i} a b c d e f h{i}" for i in range(5)]
+    got = {r.doc_id: r for r in substrings.dedup(frame(spark, texts), 6).collect()}
+    assert all((got[i].opens, got[i].closes, got[i].n_removed) == ([1], [7, 8], 7) for i in range(5, 700))
+    assert all((got[i].opens, got[i].closes, got[i].n_removed) == ([0, 1], [7, 8], 8) for i in range(5))
+    assert all((got[i].opens, got[i].closes, got[i].n_removed) == ([0, 1], [7], 7) for i in range(700, 705))
+
+
+def test_no_table_name_is_left_behind(spark):
+    substrings.dedup(frame(spark, ["a b c d e f g"] * 2), 6).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+
+
 def brute_fingerprint(text):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
