@@ -5,7 +5,7 @@ repeat are left out first: each window has an anchor, its least k-gram by hash,
 have equal anchors, so windows whose anchor occurs once in the corpus are unique. The others
 are dealt out by a prefix of variable length: the shortest of five lengths whose bin, by an
 exact histogram, fits in memory; equal windows take equal prefixes. Each bin's subtree, down to the
-depth of the window, is read off its suffix order: a window is five blocks of words, each a symbol (a 64-bit
+depth of the window, is read off its suffix order: a window is three blocks of words, each a symbol (a 64-bit
 digest), suffixes are sorted by their symbols, and the common prefixes of neighbours give the
 internal nodes. Nodes as deep as the window are the repeats. Where the words before a node's suffixes
 differ a maximal repeat begins, where the words after its windows differ one ends: between such
@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reaction_norms.llm.common import DOCUMENT, by_batch, documents, rolling_hashes, shared_path, shuffle_partitions, sorted_runs, stored, window_minima
+from reaction_norms.llm.common import DOCUMENT, by_batch, discard, documents, rolling_hashes, shared_path, shuffle_partitions, sorted_runs, stored, window_minima, written
 
-WINDOW, GRAM, LEVELS, BLOCKS = 35, 6, 5, 5
+WINDOW, GRAM, LEVELS, BLOCKS = 35, 6, 5, 3
 JUDGED = LEVELS + 1
 OPENS, CLOSES = 1, 2
 #: Stands for the word before the first and after the last one; words are hashes of 30 bits there.
@@ -85,7 +85,7 @@ def class_table(rows: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(classes: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """c, tag, anchors: for each class those of its anchors that occur twice or more in all classes."""
+    """c, tag, anchors: for each class those of its anchors that occur twice or more in all classes (a written table)."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         which, found, times = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -99,9 +99,11 @@ def repeated_anchors(classes: DataFrame, window: int = WINDOW, gram: int = GRAM)
         at = pa.array(np.concatenate([*which, np.empty(0, np.int64)]).astype(np.int64))
         return pa.RecordBatch.from_arrays([batch["c"].take(at), batch["tag"].take(at), pa.array(np.concatenate(found)), pa.array(np.concatenate(times))], ["c", "tag", "anchor", "n"])
 
-    anchors = stored(by_batch(classes.filter(F.col("n_words") >= window).select("c", "tag", "text"), rows, "c long, tag long, anchor long, n long"), "anchors")
+    anchors, path = written(by_batch(classes.filter(F.col("n_words") >= window).select("c", "tag", "text"), rows, "c long, tag long, anchor long, n long"), "anchors")
     again = anchors.groupBy("anchor").agg(F.count("*").alias("places"), F.max("n").alias("n")).filter("places > 1 or n > 1").select("anchor")
-    return anchors.join(again, "anchor").groupBy("c", "tag").agg(F.collect_list("anchor").alias("anchors"))
+    listed = stored(anchors.join(again, "anchor").groupBy("c", "tag").agg(F.collect_list("anchor").alias("anchors")), "listed")
+    discard(classes.sparkSession, path)
+    return listed
 
 
 @dataclass
@@ -158,17 +160,18 @@ def deep_nodes(blocks: list[np.ndarray], sides: np.ndarray, many: np.ndarray) ->
     return order[node], np.repeat(_differ(sides[order], starts), sizes)[node]
 
 
-def repeats(classes: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(classes: DataFrame, window: int = WINDOW, gram: int = GRAM, ends: bool = True) -> DataFrame:
     """c, tag, places: 4 * start + flags of the windows whose words start elsewhere too.
 
     OPENS says that a maximal repeat (of ``window`` words or more) begins where the window does, CLOSES
     that one ends where it ends. Of classes with copies, all of whose windows repeat, only flagged ones are listed.
+    Without ``ends`` there are no flags, and the words around the windows are not shuffled.
     """
     spark = classes.sparkSession
     parts = shuffle_partitions(spark)
     bins = max(4096, 16 * parts)
     n_blocks = len(block_edges(window)) - 1
-    listed = stored(repeated_anchors(classes, window, gram), "listed")
+    listed = repeated_anchors(classes, window, gram)
     texts = classes.select("c", "tag", "copies", "text").join(listed.hint("shuffle_hash"), ["c", "tag"])
 
     def each(batch):
@@ -216,13 +219,13 @@ def repeats(classes: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
                 starts = np.flatnonzero(np.r_[[True] * (len(order) > 0), (blocks[:, 1:] != blocks[:, :-1]).any(0)])
                 if not len(starts):
                     continue
-                ends = [f.reduceat(word, starts) for word in (around >> 32, around & 0xFFFFFFFF) for f in (np.minimum, np.maximum)]
+                sums = [f.reduceat(word, starts) for word in (around >> 32, around & 0xFFFFFFFF) for f in (np.minimum, np.maximum)]
                 n = np.diff(np.r_[starts, len(order)])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, blocks[:, starts]), *map(pa.array, ends), pa.array(n)], [*names, *sides, "n"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, blocks[:, starts]), *map(pa.array, sums), pa.array(n)], [*names, *sides, "n"])
 
         schema = ", ".join(f"{x} long" for x in [*names, *sides, "n"])
-        ends = [(F.max if x.endswith("_most") else F.min)(x).alias(x) for x in sides]
-        again = texts.mapInArrow(counted, schema).groupBy(*names).agg(*ends, F.sum("n").alias("n")).filter(F.col("n") > most)
+        sums = [(F.max if x.endswith("_most") else F.min)(x).alias(x) for x in sides]
+        again = texts.mapInArrow(counted, schema).groupBy(*names).agg(*sums, F.sum("n").alias("n")).filter(F.col("n") > most)
         for r in again.collect():
             opens = r["before"] != r["before_most"] or r["before_most"] == EDGE
             closes = r["after"] != r["after_most"] or r["after_most"] == EDGE
@@ -240,7 +243,7 @@ def repeats(classes: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
                     if flags is not None:  # already judged: dealt out evenly
                         level[i], place[i], around[i] = JUDGED, (c + int(found.starts[i])) % bins, flags
                 at = found.starts + (tag << 32)
-                out.append(np.stack([level, place, *found.blocks, around, np.full(len(at), c), at if copies == 1 else ~at]))
+                out.append(np.stack([level, place, *found.blocks, around if ends else np.zeros_like(around), np.full(len(at), c), at if copies == 1 else ~at]))
             rows = np.concatenate(out, axis=1)
             for i in range(0, rows.shape[1], 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in rows], ["level", "bin", *names, "sides", "c", "at"])
@@ -260,13 +263,13 @@ def repeats(classes: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
     return rows.mapInArrow(subtrees, "c long, tag long, place long").groupBy("c", "tag").agg(F.collect_list("place").alias("places"))
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ends: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): doc_id and class of each row, and of each class the text, its kept text
     (words joined by one space), the spans removed, counts, the digest of what is kept, and the words at
     which maximal repeats begin (``opens``) and before which they end (``closes``)."""
     rows = stored(classify(docs).drop("text"), "rows")
     classes = class_table(classify(docs))
-    found = repeats(classes, window, gram)
+    found = repeats(classes, window, gram, ends)
     both = classes.join(found.hint("shuffle_hash"), ["c", "tag"], "left")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -313,7 +316,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """The documents with repeated passages cut out; texts that lose nothing stay as they are, null ones
     null, and no rows give no rows. Repeated rows are copies of each other. Extra columns are dropped."""
     docs = docs.select(*DOCUMENT)
-    rows, made = removed_spans(docs.select(F.xxhash64(*DOCUMENT).alias("doc_id"), "text"), window, gram)
+    rows, made = removed_spans(docs.select(F.xxhash64(*DOCUMENT).alias("doc_id"), "text"), window, gram, ends=False)
     cut = rows.join(made.filter("n_removed > 0").select("c", "tag", "kept_text"), ["c", "tag"]).select(F.col("doc_id").alias("_key"), "kept_text").dropDuplicates(["_key"])
     both = docs.withColumn("_key", F.xxhash64(*DOCUMENT)).join(cut, "_key", "left")
     text = F.coalesce("kept_text", "text")
