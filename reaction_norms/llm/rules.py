@@ -83,7 +83,8 @@ RULES = (
     Rule("capitals", "n_upper <= 0.1 * word_chars", "n_upper > 0.3 * word_chars"),
     Rule("shouts", "n_shouts <= 0.02 * n_words", "n_shouts > 0.2 * n_words"),
     Rule("lengths", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
-    Rule("variety", "10 * n_pieces >= 4 * n_words", "10 * n_pieces < 2 * n_words and n_words < 5000"),
+    # distinct words against the square root of all: alike for texts of any length
+    Rule("variety", "n_pieces * n_pieces >= 16 * n_words", "n_pieces * n_pieces < 4 * n_words"),
     Rule("stops", "n_stops >= n_words / 100.0", "n_stops < n_words / 1000.0"),
 )
 
@@ -97,6 +98,9 @@ class LabelModel:
     on_good: dict[str, tuple[float, float]]
     on_bad: dict[str, tuple[float, float]]
 
+    def chances(self) -> list[float]:
+        return [self.prior, *(x for side in (self.on_good, self.on_bad) for pair in side.values() for x in pair)]
+
     def accuracy(self, rule: str) -> float:
         right = self.prior * self.on_good[rule][0] + (1 - self.prior) * self.on_bad[rule][1]
         return right / (right + self.prior * self.on_good[rule][1] + (1 - self.prior) * self.on_bad[rule][0])
@@ -111,7 +115,7 @@ class LabelModel:
         return 1 / (1 + F.exp(-score))
 
 
-def fit(votes: DataFrame, rules: list[str], rounds: int = 30, prior: float = 0.8) -> LabelModel:
+def fit(votes: DataFrame, rules: list[str], rounds: int = 60, prior: float = 0.8) -> LabelModel:
     """Accuracies and prior by expectation-maximisation, on all rows through their vote patterns.
 
     Right and wrong votes for and against are counted apart, since a rule that nearly always
@@ -132,9 +136,9 @@ def fit(votes: DataFrame, rules: list[str], rounds: int = 30, prior: float = 0.8
         size = {"good": now["_good"], "bad": now["_all"] - now["_good"]}
         chance = lambda y, r: tuple((now[f"_{y}_{v}_{r}"] + 1) / (size[y] + 3) for v in ("for", "against"))  # noqa: E731, B023
         new = LabelModel(min(0.99, max(0.01, now["_good"] / now["_all"])), {r: chance("good", r) for r in rules}, {r: chance("bad", r) for r in rules})
-        moved = abs(new.prior - model.prior)
+        moved = max(abs(a - b) for a, b in zip(new.chances(), model.chances()))
         model = new
-        if moved < 1e-6:
+        if moved < 1e-4:
             break
     return model
 
