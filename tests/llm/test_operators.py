@@ -444,6 +444,33 @@ def test_winnowing(docs, table):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_an_id_of_many_rows_is_split_and_its_copies_kept(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 3 else i, " ".join(rng.choice(["ab", "cd", "ef", "gh"], 12)) if i % 6 else "same text for all of these rows", "en", "a", 0) for i in range(1500)]
+    rows += [(None, "a copy of a row", "en", "a", 0)] * 400
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = sorted(r["count"] for r in winnowing.with_next(df, 16).groupBy("bucket").count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    got = winnowing.edit_trial(df, buckets=16).collect()
+    assert len(got) == len(rows)
+    # every text takes part once as a text and once as the next one
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == collections.Counter((r[0], len(r[1])) for r in order)
+    known = {r.doc_id: r for r in got if r.doc_id is not None}
+    after = [r for r in order if r[0] is not None]
+    for (i, text, *_), (_, following, *_) in zip(after, after[1:]):
+        assert known[i].edited_sha256 == hashlib.sha256(winnowing.edited(text, following).encode()).hexdigest()
+    copies = [r for r in got if r.doc_id is None and r.n_chars == 15]
+    itself = hashlib.sha256(winnowing.edited("a copy of a row", "a copy of a row").encode()).hexdigest()
+    assert sum(r.edited_sha256 == itself and r.near_next == 1 for r in copies) == 399
+
+
+def test_likeness_follows_from_the_columns(docs):
+    for r in winnowing.edit_trial(docs).limit(50).collect():
+        a, b = ({s[i : i + 10] for i in range(0, len(s), 10)} for s in (r.fingerprint, r.edited_fingerprint))
+        assert len(r.fingerprint) == 10 * len(r.positions) and r.near_edited == pytest.approx(len(a & b) / len(a | b))
+
+
 def test_shared_passages_are_found():
     a, b = "x" * 50 + "the quick brown fox jumps over the lazy dog again and again" * 2, "the quick brown fox jumps over the lazy dog again and again" * 2 + "yz"
     assert set(winnowing.winnow(a)[1]) & set(winnowing.winnow(b)[1])
