@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reaction_norms.llm.common import DOCUMENT, by_batch, discard, documents, rolling_hashes, shared_path, shuffle_partitions, sorted_runs, stored, window_minima, written
+from reaction_norms.llm.common import DOCUMENT, by_batch, discard, documents, n_words, rolling_hashes, shared_path, shuffle_partitions, sorted_runs, stored, window_minima, written
 
 WINDOW, GRAM, LEVELS, BLOCKS = 35, 6, 5, 3
 JUDGED = LEVELS + 1
@@ -55,8 +55,8 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return at, grams[at].view(np.int64)
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id and the class (c, tag: 96 bits of a digest of the words) of every row, with the text."""
+def classify(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the class (c, tag: 96 bits of a digest of the words) of every row, with the text and the columns ``extra``."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, tag, sha, n = [], [], [], []
@@ -68,16 +68,21 @@ def classify(docs: DataFrame) -> DataFrame:
             tag.append(int.from_bytes(raw[8:12], "big") >> 1)
             sha.append(digest.hexdigest())
             n.append(len(words))
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(c, pa.int64()), pa.array(tag, pa.int64()), pa.array(sha, pa.string()), pa.array(n, pa.int64()), batch["text"]], ["doc_id", "c", "tag", "sha", "n_words", "text"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(c, pa.int64()), pa.array(tag, pa.int64()), pa.array(sha, pa.string()), pa.array(n, pa.int64()), batch["text"], *(batch[x] for x in extra)], ["doc_id", "c", "tag", "sha", "n_words", "text", *extra])
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rows, "doc_id long, c long, tag long, sha string, n_words long, text string")
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
+    return by_batch(docs, rows, "doc_id long, c long, tag long, sha string, n_words long, text string" + _schema(docs, extra))
 
 
-def class_table(rows: DataFrame) -> DataFrame:
-    """One row per class (c, tag, sha, n_words, copies, text), written in buckets of (c, tag)."""
+def _schema(df: DataFrame, names: tuple[str, ...]) -> str:
+    return "".join(f", {x} {df.schema[x].dataType.simpleString()}" for x in names)
+
+
+def class_table(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per class (c, tag, sha, n_words, copies, text, and the least of each column of ``extra``), written in buckets of (c, tag)."""
     spark = rows.sparkSession
     name = f"llm_classes_{uuid.uuid4().hex}"
-    grouped = rows.groupBy("c", "tag").agg(F.min("sha").alias("sha"), F.min("n_words").alias("n_words"), F.count("*").alias("copies"), F.min("text").alias("text"))
+    grouped = rows.groupBy("c", "tag").agg(F.min("sha").alias("sha"), F.min("n_words").alias("n_words"), F.count("*").alias("copies"), F.min("text").alias("text"), *[F.min(x).alias(x) for x in extra])
     grouped.write.bucketBy(shuffle_partitions(spark), "c", "tag").option("path", shared_path(spark, "classes")).option("compression", "zstd").saveAsTable(name)
     made = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: its files lie under a path of their own
@@ -263,12 +268,12 @@ def repeats(classes: DataFrame, window: int = WINDOW, gram: int = GRAM, ends: bo
     return rows.mapInArrow(subtrees, "c long, tag long, place long").groupBy("c", "tag").agg(F.collect_list("place").alias("places"))
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ends: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id and class of each row, and of each class the text, its kept text
-    (words joined by one space), the spans removed, counts, the digest of what is kept, and the words at
-    which maximal repeats begin (``opens``) and before which they end (``closes``)."""
-    rows = stored(classify(docs).drop("text"), "rows")
-    classes = class_table(classify(docs))
+def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ends: bool = True, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, cut): doc_id and class of each row, the classes, and of each class its kept text
+    (words joined by one space; untouched where nothing goes), the spans removed, counts, the digest of what is
+    kept, and the words at which maximal repeats begin (``opens``) and before which they end (``closes``)."""
+    rows = stored(classify(docs, extra).drop("text"), "rows")
+    classes = class_table(classify(docs, extra), extra)
     found = repeats(classes, window, gram, ends)
     both = classes.join(found.hint("shuffle_hash"), ["c", "tag"], "left")
 
@@ -295,10 +300,10 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ends:
             kept_texts.append(kept.decode("utf-8", "surrogatepass"))
             spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch["c"], batch["tag"], pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string()), pa.array(spans, kind), pa.array(opens, pa.list_(pa.int64())), pa.array(closes, pa.list_(pa.int64()))], ["c", "tag", "n_removed", "kept_sha256", "kept_text", "spans", "opens", "closes"])
+        return pa.RecordBatch.from_arrays([batch["c"], batch["tag"], batch["copies"], *(batch[x] for x in extra), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string()), pa.array(spans, kind), pa.array(opens, pa.list_(pa.int64())), pa.array(closes, pa.list_(pa.int64()))], ["c", "tag", "copies", *extra, "n_removed", "kept_sha256", "kept_text", "spans", "opens", "closes"])
 
-    made = by_batch(both.select("c", "tag", "sha", "n_words", "copies", "text", "places"), cut, "c long, tag long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,length:long>>, opens array<long>, closes array<long>")
-    return rows, made
+    made = by_batch(both.select("c", "tag", "sha", "n_words", "copies", "text", "places", *extra), cut, "c long, tag long, copies long" + _schema(both, extra) + ", n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,length:long>>, opens array<long>, closes array<long>")
+    return rows, classes, made
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -308,7 +313,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     the input. Null and empty texts have no words. Repeated rows are copies of each other, whatever
     their ids. No rows: no rows. Extra columns are not read.
     """
-    rows, made = removed_spans(docs, window, gram)
+    rows, _, made = removed_spans(docs, window, gram)
     return rows.select("doc_id", "c", "tag", "n_words").join(made.drop("kept_text"), ["c", "tag"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "opens", "closes")
 
 
@@ -316,11 +321,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """The documents with repeated passages cut out; texts that lose nothing stay as they are, null ones
     null, and no rows give no rows. Repeated rows are copies of each other. Extra columns are dropped."""
     docs = docs.select(*DOCUMENT)
-    rows, made = removed_spans(docs.select(F.xxhash64(*DOCUMENT).alias("doc_id"), "text"), window, gram, ends=False)
-    cut = rows.join(made.filter("n_removed > 0").select("c", "tag", "kept_text"), ["c", "tag"]).select(F.col("doc_id").alias("_key"), "kept_text").dropDuplicates(["_key"])
-    both = docs.withColumn("_key", F.xxhash64(*DOCUMENT)).join(cut, "_key", "left")
-    text = F.coalesce("kept_text", "text")
-    return both.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"))
+    count = n_words(F.col("text").cast("string"))
+    own = F.struct(*[x for x in DOCUMENT if x != "text"]).alias("own")
+    # a class of one text carries the other columns, so that no text is joined again; of equal texts with a window nothing stays
+    rows, classes, made = removed_spans(docs.filter(count >= window).select("doc_id", "text", own), window, gram, ends=False, extra=("own",))
+    single = made.filter("copies = 1").select("own", F.col("kept_text").alias("text"), (F.col("n_removed") > 0).alias("cut"))
+    copies = rows.join(classes.filter("copies > 1").select("c", "tag"), ["c", "tag"], "left_semi").select("own", F.lit("").alias("text"), F.lit(True).alias("cut"))
+    n_chars = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("own.n_chars"))
+    found = single.unionByName(copies).select("own.doc_id", "text", "own.lang", "own.source", n_chars.alias("n_chars"))
+    return docs.filter(count < window).unionByName(found)
 
 
 def op5_substrings(spark, sf_dir) -> DataFrame:

@@ -208,6 +208,18 @@ def test_substrings_of_frequent_words(spark):
     assert kept == {0: "q", 1: "p", 2: "alone  here"}
 
 
+def test_cut_documents_keep_their_own_columns(spark):
+    """Copies whose texts, spaces or other columns differ, whole repeated rows, short and null texts."""
+    texts = ["a b c d e f g  q", "p a b c d e f g", "t u  v w x y", " t u v w x y", " t u v w x y", None, "", "few  words", "few words", "k  l m n o p q", None]
+    ids = [0, 1, 2, 3, 3, 5, 6, 7, 8, 9, 10]
+    rows = [(i, t, None if i % 2 else f"l{i}", "s", 1000 + i, "extra") for i, t in zip(ids, texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies string")
+    got = collections.Counter(tuple(r) for r in substrings.without_repeats(df, 6).collect())
+    cut = {0: "q", 1: "p", 2: "", 3: ""}
+    assert got == collections.Counter((i, cut.get(i, t), lang, source, len(cut[i]) if i in cut else n) for i, t, lang, source, n, _ in rows)
+    assert substrings.without_repeats(df.limit(0), 6).count() == 0
+
+
 def brute_maximal_repeats(texts, window):
     """Per text the places where maximal repeats of ``window`` words or more begin and end."""
     words = [t.split() for t in texts]
