@@ -4,7 +4,7 @@ Each page is read once into blocks of text, each with the generalised path (tags
 without digits) of the container that holds it; menus, adverts, comments and the like never
 become blocks. Every page scores its containers and votes for the path of the best one; Spark
 counts the votes per host, and the pages are extracted anew by their host's winning path. A
-page on which that path holds too little takes the next voted one, or its own best container.
+page on which that path holds too little takes the next of all voted ones that holds enough.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reaction_norms.llm.common import by_batch, stored, table
@@ -34,16 +34,21 @@ DROPPED_NAMES = frozenset(
 )
 # Parts that may follow such a name, and parts that turn it into something else.
 SUFFIXES = frozenset("bar box wrapper wrap container list area section block inner outer row column col group panel slot unit frame zone region left right top bottom links link buttons button icons icon items item posts post articles form message text title content body".split())
-NEGATIONS = frozenset("has have with without no not non hide".split())
+NEGATIONS = frozenset("has have with without no not non hide free".split())
+# Names that mark an element in any part of a longer name, and names that do so only beside their like.
+ANYWHERE = frozenset(
+    "nav navbar navigation menu menus sidebar sidenav ad ads adv advert adverts advertisement advertising banner banners promo promotion sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe subscription share sharing social related recommended recommendations breadcrumb breadcrumbs pagination comment comments commentlist disqus".split()
+)
+ALONE = frozenset("notice notices notification alert widget widgets legal copyright disclaimer".split())
+BESIDE = SUFFIXES - frozenset("articles message text title content body".split()) | ALONE | frozenset("site page privacy".split())
 MAIN_NAMES = frozenset("article content main post entry story text body".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 SCOPE = frozenset("ul ol dl table body html div article section main".split())
 DEPTH = 64
-#: A host's path gives a page's text if it holds this share of what the page's own best container
-#: is worth; so many paths of a host are tried.
-HELD, TRIED = 0.9, 8
+#: A host's path gives a page's text if it holds this share of what the page's own best container is worth.
+HELD = 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'", re.S)
@@ -78,14 +83,19 @@ def _dropped(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def _named_so(attributes: dict[str, str]) -> bool:
-    """Whether a class or id says that the element is not the article: one of the names, or one that
-    ends a longer name, up to suffixes such as -bar; not has-sidebar or ad-free."""
+    """Whether a class or id says that the element is not the article: a part of its name is of
+    ``ANYWHERE``, or one of the other names ends it, up to suffixes such as -bar; those of ``ALONE``
+    count only beside their like. Not has-sidebar or ad-free."""
     for key in ("class", "id"):
         for token in attributes.get(key, "").split():
             parts = [p for p in _PARTS.split(_CAMEL.sub("-", token).lower()) if p]
+            if not NEGATIONS.isdisjoint(parts):
+                continue
+            if not ANYWHERE.isdisjoint(parts) or not ALONE.isdisjoint(parts) and BESIDE.issuperset(parts):
+                return True
             while len(parts) > 1 and parts[-1] in SUFFIXES:
                 parts.pop()
-            if parts and parts[-1] in DROPPED_NAMES and parts[0] not in NEGATIONS:
+            if parts and parts[-1] in DROPPED_NAMES - ALONE:
                 return True
     return False
 
@@ -201,8 +211,8 @@ def _worth(text: str, linked: int, main: str) -> int:
     return max(0, len(text) - 2 * linked) * (3 if main else 1)
 
 
-def best_path(found: list[tuple[str, str, int, str]]) -> tuple[str | None, float]:
-    """Path of the best container and its score.
+def best_path(found: list[tuple[str, str, int, str]]) -> tuple[str | None, float, list[str]]:
+    """Path of the best container, its score, and the paths of all containers that hold ``HELD`` of it.
 
     From the top the way goes down into the container that has most of the score where nothing but
     links lies beside it, or where it has seven tenths and leads to the page's one article or main tag. It ends
@@ -226,7 +236,7 @@ def best_path(found: list[tuple[str, str, int, str]]) -> tuple[str | None, float
         if main:
             tops.add(main)
     if not found:
-        return None, 0.0
+        return None, 0.0, []
     at = ""
     while at in below and at not in tops and score[at]:
         child = max(below[at], key=lambda p: (score[p], p))
@@ -235,7 +245,7 @@ def best_path(found: list[tuple[str, str, int, str]]) -> tuple[str | None, float
         if not alone and not to_main:
             break
         at = child
-    return at, float(score[at])
+    return at, float(score[at]), sorted(p for p, s in score.items() if s >= HELD * score[at])
 
 
 def _prefixes(path: str) -> list[str]:
@@ -243,7 +253,7 @@ def _prefixes(path: str) -> list[str]:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path (vote), score, blocks (path, text, worth) of every page."""
+    """page_id, url, host, path (vote), score, able (paths that hold enough), blocks (path, text, worth) of every page."""
     kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("worth", pa.int64())]))
 
     def rows(batch: pa.RecordBatch):
@@ -252,35 +262,32 @@ def read_pages(pages: DataFrame) -> DataFrame:
             found = [blocks(h or "") for h in part["html"].to_pylist()]
             votes = [best_path(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [part["page_id"], part["url"], part["host"], pa.array([p for p, _ in votes], pa.string()), pa.array([s for _, s in votes], pa.float64()), pa.array([[{"path": b[0], "text": b[1], "worth": _worth(*b[1:])} for b in f] for f in found], kind)],
-                ["page_id", "url", "host", "path", "score", "blocks"],
+                [part["page_id"], part["url"], part["host"], pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.float64()), pa.array([v[2] for v in votes], pa.list_(pa.string())), pa.array([[{"path": b[0], "text": b[1], "worth": _worth(*b[1:])} for b in f] for f in found], kind)],
+                ["page_id", "url", "host", "path", "score", "able", "blocks"],
             )
 
     url = F.col("url").cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     base = pages.select(F.col("page_id").cast("long"), url.alias("url"), host.alias("host"), F.col("html").cast("string"))
-    return by_batch(base, rows, "page_id long, url string, host string, path string, score double, blocks array<struct<path:string,text:string,worth:bigint>>")
+    return by_batch(base, rows, "page_id long, url string, host string, path string, score double, able array<string>, blocks array<struct<path:string,text:string,worth:bigint>>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, host, path (the one that gave the text), text of every page.
 
-    A host's paths are tried in the order of their votes; one that holds less than ``HELD`` of the page's own
-    best score is passed over, and the page's own path comes last. Null html gives an empty
+    Of the paths voted on a page's host, and that hold ``HELD`` of the page's own best score on it, the one
+    with most votes wins; the page's own is among them. Null html gives an empty
     text. Pages without a host are one host. Equal votes: the higher summed score wins, then the
     greater path. Repeated rows count as votes and are extracted alike. No rows: no rows.
     Extra columns are not read.
     """
     read = stored(read_pages(pages), "pages")
     votes = read.filter("path is not null and score > 0").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), F.desc("path"))
-    first = votes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRIED)
-    ranked = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
-    winner = stored(first.groupBy("host").agg(ranked.alias("won")), "winners")
+    # pages of one template can take the same paths: a row per host and such list, not per page
+    choices = read.select("host", "able").distinct().select("host", "able", F.explode("able").alias("path"))
+    won = choices.join(votes, ["host", "path"]).groupBy("host", "able").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("won"))
     inside = lambda p: F.filter("blocks", lambda b: (b["path"] == p) | b["path"].startswith(F.concat(p, F.lit(">"))))
-    worth = lambda p: F.aggregate(inside(p), F.lit(0).cast("long"), lambda s, b: s + b["worth"])
-    holds = F.filter("won", lambda p: (F.size(inside(p)) > 0) & (worth(p) >= HELD * F.col("score")))
-    both = read.join(winner, "host", "left").withColumn("path", F.coalesce(F.get(holds, F.lit(0)), F.col("path")))
+    both = read.join(stored(won, "winners"), ["host", "able"], "left").withColumn("path", F.coalesce("won", "path"))
     text = F.coalesce(F.concat_ws(" ", F.transform(inside(F.col("path")), lambda b: b["text"])), F.lit(""))
     return both.select("page_id", "url", "host", "path", text.alias("text"))
 

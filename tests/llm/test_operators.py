@@ -541,3 +541,30 @@ def test_html_spares_what_holds_the_article_and_reads_attributes_by_name():
     assert kept("<body><article>a</article><div class='comments-area'><article>one comment of many words</article></div><div id='nav-bar'>m</div></body>") == ["a"]
     assert kept("<p title='a hidden gem'>one</p><p data-id='nav-1' data-class=\"ad\">two</p><p hidden>three</p><p title=\"it's\" class='ad'>x</p>") == ["one", "two"]
     assert kept("<body><p>a <span class='ad'>b</span> c</p></body>") == ["a", "c"]
+
+
+@pytest.mark.parametrize(
+    "name",
+    "disqus_thread comment-thread advert-300x250 ad-leaderboard nav-primary menu-main sidebar-primary related-stories share-this social-media cookie-law-info promo-card subscribe-now site-notice notice-bar".split(),
+)
+def test_html_drops_by_any_part_of_a_name(name):
+    page = "<body><article><p>the whole text</p><div class='%s'><p>more</p></div><p>its end</p></article></body>"
+    for marked in (page % name, page.replace("class", "id") % name):
+        assert [b[1] for b in html.blocks(marked)] == ["the whole text", "its end"]
+
+
+@pytest.mark.parametrize("name", "widget-content text-legal press-notice legal-news content-has-sidebar ad-free article-body".split())
+def test_html_keeps_text_under_names_of_other_things(name):
+    assert [b[1] for b in html.blocks(f"<body><article><p>the whole text</p><div class='{name}'><p>more</p></div></article></body>")] == ["the whole text", "more"]
+
+
+def test_consensus_reaches_the_least_voted_path_of_a_host_and_changes_a_page(spark):
+    """Twelve templates on one host; a page whose own best is a container within takes the host's path around it."""
+    page = lambda k, inner: f"<body><div class='t{'abcdefghijklm'[k]}'>{inner}</div></body>"
+    text = "<p>" + "plain words of the page " * 20 + "</p>"
+    rows = [(100 * k + i, "http://h/", page(k, f"<div class='in'>{text}</div><p>a last line of text</p>")) for k in range(13) for i in range(13 - k)]
+    rows.append((5000, "http://h/", page(12, f"<div class='in'>{text}</div>")))
+    own = html.best_path(html.blocks(rows[-1][2]))[0]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text.endswith("a last line of text") for i, *_ in rows[:-1]) and got[5000].text == ("plain words of the page " * 20).strip()
+    assert got[5000].path != own and got[5000].path == got[1200].path
