@@ -91,6 +91,17 @@ class Design:
             out.append(value.alias(term))
         return out
 
+    def matrix(self, population: np.ndarray, year: np.ndarray, values: Mapping[str, np.ndarray]) -> np.ndarray:
+        """Design rows of complete rows inside a task, the same as ``row``; ``values`` has the covariates."""
+        flags = {f"Population{p}": population == p for p in self.populations[1:]}
+        flags.update({f"Year{y}": year == y for y in self.years[1:]})
+        out = np.ones((len(population), len(self.terms)))
+        for column, term in zip(out.T, self.terms):
+            for part in term.split(":"):
+                if part != "Intercept":
+                    column *= flags[part] if part in flags else values[part]
+        return out
+
     def cell_value(self, population: str, year: str, x: Mapping[str, Column] | None = None) -> Column:
         """Expected value of one cell from a draw's ``beta``, at given covariate values."""
         parts = []

@@ -17,7 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reaction_norms.models.gaussian import BLOCK, N_DRAWS, SEED, GaussianFit, spread_out
+from reaction_norms.models.gaussian import N_DRAWS, SEED, GaussianFit, spread_out
+
+#: Rows that meet all draws at a time; their tables stay in a processor's own cache.
+ROWS = 16
+#: Factors whose product goes into one logarithm.
+FACTORS = 8
 
 
 def _logsumexp(a: np.ndarray) -> np.ndarray:
@@ -25,6 +30,23 @@ def _logsumexp(a: np.ndarray) -> np.ndarray:
     return np.log(np.exp(a - top).sum(axis=1)) + top[:, 0]
 
 
+def _mean_log(theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mean of ``log(1 - theta x)`` over x, per row and theta: logarithms of products."""
+    n = x.shape[1]
+    width = -(-n // FACTORS)
+    product = np.ones((*theta.shape, width))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for start in range(0, n, width):
+            factors = -theta[:, :, None] * x[:, None, start : start + width]
+            factors += 1.0
+            product[:, :, : factors.shape[2]] *= factors
+        mean = np.log(product).sum(axis=2) / n
+    far = ~np.isfinite(mean).all(axis=1)  # a product beyond the range of a double
+    if far.any():
+        mean[far] = np.log1p(-theta[far][:, :, None] * x[far][:, None, :]).mean(axis=2)
+    return mean
+
+
 def _pareto_fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Generalised-Pareto (k, sigma) per row of ascending positive exceedances."""
     n = x.shape[1]
@@ -32,7 +54,7 @@ def _pareto_fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     j = np.arange(1, m + 1)
     quarter = x[:, int(n / 4 + 0.5) - 1][:, None]
     theta = 1.0 / x[:, -1:] + (1.0 - np.sqrt(m / (j - 0.5))) / (3.0 * quarter)
-    k = np.log1p(-theta[:, :, None] * x[:, None, :]).mean(axis=2)
+    k = _mean_log(theta, x)
     loglik = n * (np.log(-theta / k) - k - 1.0)
     weight = np.exp(loglik - _logsumexp(loglik)[:, None])
     best = (theta * weight).sum(axis=1)
@@ -42,7 +64,7 @@ def _pareto_fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def smooth_tail(lw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest log weights of each row: (positions, smoothed values, tail shape k).
+    """Largest log weights of each row: (values, smoothed values, tail shape k), ascending.
 
     ``lw`` has a row maximum of 0. Only the tail changes, so callers keep the rest.
     """
@@ -50,18 +72,15 @@ def smooth_tail(lw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = np.full(rows, np.inf)
     tail = int(np.ceil(min(0.2 * s, 3.0 * np.sqrt(s))))
     if tail < 5:
-        return np.empty((rows, 0), dtype=int), np.empty((rows, 0)), k
-    order = np.argpartition(lw, s - tail - 1, axis=1)[:, s - tail - 1 :]
-    cut = np.take_along_axis(lw, order[:, :1], axis=1)
-    cut = np.maximum(cut, np.log(np.finfo(float).tiny))
-    where = order[:, 1:]
-    top = np.take_along_axis(lw, where, axis=1)
-    by_size = np.argsort(top, axis=1)
-    where, top = np.take_along_axis(where, by_size, axis=1), np.take_along_axis(top, by_size, axis=1)
+        return np.empty((rows, 0)), np.empty((rows, 0)), k
+    ranked = np.partition(lw, s - tail - 1, axis=1)[:, s - tail - 1 :]
+    cut = np.maximum(ranked[:, 0], np.log(np.finfo(float).tiny))
+    raw = np.sort(ranked[:, 1:], axis=1)
+    top = raw.copy()
     # A flat tail (all equal) needs no smoothing.
-    varied = (top[:, -1] - top[:, 0] > np.finfo(float).eps * 100) & (top[:, 0] > cut[:, 0])
+    varied = (top[:, -1] - top[:, 0] > np.finfo(float).eps * 100) & (top[:, 0] > cut)
     if varied.any():
-        floor = np.exp(cut[varied])
+        floor = np.exp(cut[varied])[:, None]
         shape, scale = _pareto_fit(np.exp(top[varied]) - floor)
         p = (np.arange(1, tail + 1) - 0.5) / tail
         step = np.expm1(-shape[:, None] * np.log1p(-p)) / shape[:, None]
@@ -69,29 +88,50 @@ def smooth_tail(lw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         good = np.isfinite(shape) & np.isfinite(smooth).all(axis=1)
         top[varied] = np.where(good[:, None], np.minimum(smooth, 0.0), top[varied])
         k[varied] = np.where(good, shape, np.inf)
-    return where, top, k
+    return raw, top, k
 
 
-def score_rows(x: np.ndarray, y: np.ndarray, beta: np.ndarray, sigma: np.ndarray):
-    """(elpd, in-sample lpd, tail shape) of each row.
+def _score_block(residual: np.ndarray, log_sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of a few rows from their residuals, in units of ``sqrt(2) * sigma``, under every draw.
 
     Outside the tail a weight is the inverse likelihood, so weight times likelihood is
-    constant there: only two passes of ``exp`` over the draws are needed.
+    constant there, and the likelihoods are the weights' inverses: one pass of ``exp`` serves both.
     """
-    s = len(sigma)
-    loglik = (y[:, None] - x @ beta.T) / sigma
-    loglik *= loglik
-    loglik *= -0.5
-    loglik -= np.log(sigma) + 0.5 * np.log(2 * np.pi)
-    low, high = loglik.min(axis=1, keepdims=True), loglik.max(axis=1, keepdims=True)
-    lpd = np.log(np.exp(loglik - high).sum(axis=1)) + high[:, 0] - np.log(s)
-    lw = low - loglik
-    where, smoothed, k = smooth_tail(lw)
-    raw_tail = np.take_along_axis(lw, where, axis=1)
-    total = np.exp(lw).sum(axis=1) - np.exp(raw_tail).sum(axis=1) + np.exp(smoothed).sum(axis=1)
+    s = len(log_sigma)
+    lw = np.multiply(residual, residual, out=residual)
+    lw += log_sigma
+    high = lw.max(axis=1)
+    lw -= high[:, None]
+    raw, smoothed, k = smooth_tail(lw)
+    weight = np.exp(lw)
+    total = weight.sum(axis=1) - np.exp(raw).sum(axis=1) + np.exp(smoothed).sum(axis=1)
     # In units of the lowest likelihood of the row.
-    weighted = (s - where.shape[1]) + np.exp(smoothed - raw_tail).sum(axis=1)
-    return np.log(weighted) + low[:, 0] - np.log(total), lpd, k
+    weighted = (s - raw.shape[1]) + np.exp(smoothed - raw).sum(axis=1)
+    with np.errstate(divide="ignore", over="ignore"):
+        lpd = np.log(np.divide(1.0, weight, out=weight).sum(axis=1))
+    far = ~np.isfinite(lpd)  # a likelihood beyond the range of a double
+    if far.any():
+        lpd[far] = _logsumexp(-lw[far])
+    low = -high - 0.5 * np.log(2 * np.pi)
+    return np.log(weighted) + low - np.log(total), lpd + low - np.log(s), k
+
+
+def score_rows(x: np.ndarray, y: np.ndarray, beta: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """(elpd, in-sample lpd, tail shape) of each row.
+
+    Rows of one cell are zero in the same columns; they are scored together, without these.
+    """
+    unit = np.sqrt(2.0) * sigma
+    scaled, log_sigma = -(beta / unit[:, None]).T, np.log(sigma)
+    kinds, kind = np.unique(x != 0, axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    out = np.empty((3, len(y)))
+    for number, used in enumerate(kinds):
+        mine = np.flatnonzero(kind == number)
+        rows, weights = np.column_stack([y[mine], x[np.ix_(mine, used)]]), np.vstack([1.0 / unit, scaled[used]])
+        for start in range(0, len(mine), ROWS):
+            out[:, mine[start : start + ROWS]] = _score_block(rows[start : start + ROWS] @ weights, log_sigma)
+    return out
 
 
 def loo_pointwise(
@@ -105,11 +145,11 @@ def loo_pointwise(
     """
     designs = {name: fit.design for name, fit in models.items()}
     drawers = {name: fit.posterior() for name, fit in models.items()}
-    some = reduce(lambda a, b: a | b, [d.is_complete() for d in designs.values()])
-    columns = []
-    for name, design in designs.items():
-        columns.append(F.when(design.is_complete(), F.array(*design.row())).alias(f"x_{name}"))
-        columns.append(F.col(design.response).cast("double").alias(f"y_{name}"))
+    whole = {name: design.is_complete() for name, design in designs.items()}
+    measured = dict.fromkeys(c for d in designs.values() for c in (*d.covariates, d.response))
+    columns = [F.col(c).cast("string").alias(f"_{c}") for c in ("Population", "Year")]
+    columns += [F.col(c).cast("double").alias(f"_v_{c}") for c in measured]
+    columns += [complete.alias(f"_whole_{name}") for name, complete in whole.items()]
     schema = T.StructType([df.schema[c] for c in keep])
     for name in models:
         for part in ("elpd", "lpd", "pareto_k"):
@@ -117,20 +157,20 @@ def loo_pointwise(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), BLOCK):
-                part = batch.iloc[start : start + BLOCK]
-                out = {c: part[c] for c in keep}
-                for name, drawer in drawers.items():
-                    whole = part[f"x_{name}"].notna().to_numpy()
-                    scores = np.full((3, len(part)), np.nan)
-                    if whole.any():
-                        x = np.vstack(part[f"x_{name}"][whole].to_list())
-                        scores[:, whole] = score_rows(x, part[f"y_{name}"][whole].to_numpy(), *drawer.drawn(n, seed))
-                    for label, values in zip(("elpd", "lpd", "pareto_k"), scores):
-                        out[f"{label}_{name}"] = pd.Series(values, part.index).astype(object).where(whole, None)
-                yield pd.DataFrame(out)
-
-    rows = df.where(some).select(*keep, *columns)
+            out = {c: batch[c] for c in keep}
+            for name, drawer in drawers.items():
+                at, design = (batch[f"_whole_{name}"] == True).to_numpy(), designs[name]  # noqa: E712
+                scores = np.full((3, len(batch)), np.nan)
+                if at.any():
+                    mine = batch[at]
+                    values = {c: mine[f"_v_{c}"].to_numpy() for c in (*design.covariates, design.response)}
+                    x = design.matrix(mine["_Population"].to_numpy(), mine["_Year"].to_numpy(), values)
+                    scores[:, at] = score_rows(x, values[design.response], *drawer.drawn(n, seed))
+                for label, values in zip(("elpd", "lpd", "pareto_k"), scores):
+                    out[f"{label}_{name}"] = pd.Series(values, batch.index).astype(object).where(at, None)
+            yield pd.DataFrame(out)
+
+    rows = df.where(reduce(lambda a, b: a | b, whole.values())).select(*keep, *columns)
     return spread_out(rows, max(fit.n for fit in models.values())).mapInPandas(score, schema)
 
 

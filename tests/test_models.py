@@ -276,6 +276,61 @@ def test_scores_match_exact_leave_one_out(spark, data):
     assert 5 < scores["linear"].p_loo < 15
 
 
+@np.errstate(all="ignore")
+def plain_scores(x, y, beta, sigma):
+    """(elpd, lpd, tail shape) of one row, step by step."""
+    ll = -0.5 * ((y - beta @ x) / sigma) ** 2 - np.log(sigma) - 0.5 * np.log(2 * np.pi)
+    lse = lambda v: v.max() + np.log(np.exp(v - v.max()).sum())
+    s = len(ll)
+    order, lw = np.argsort(-ll, kind="stable"), ll.min() - ll
+    n = int(np.ceil(min(0.2 * s, 3 * np.sqrt(s))))
+    floor = np.exp(max(lw[order[s - n - 1]], np.log(np.finfo(float).tiny)))
+    e = np.exp(lw[order[s - n :]]) - floor
+    m = 30 + int(np.sqrt(n))
+    theta = np.array([1 / e[-1] + (1 - np.sqrt(m / (j - 0.5))) / (3 * e[int(n / 4 + 0.5) - 1]) for j in range(1, m + 1)])
+    k = np.array([np.log1p(-t * e).mean() for t in theta])
+    weight = n * (np.log(-theta / k) - k - 1)
+    best = (theta * np.exp(weight - lse(weight))).sum()
+    k = np.log1p(-best * e).mean()
+    scale, k = -k / best, (k * n + 5) / (n + 10)
+    p = (np.arange(1, n + 1) - 0.5) / n
+    smooth = np.log(scale * np.expm1(-k * np.log1p(-p)) / k + floor)
+    if np.isfinite(k) and np.isfinite(smooth).all():
+        lw[order[s - n :]] = np.minimum(smooth, 0)
+    else:
+        k = np.inf
+    return lse(lw + ll) - lse(lw), lse(ll) - np.log(s), k
+
+
+def test_rows_are_scored_in_little_memory_as_one_by_one(data):
+    """However many rows come at once, few meet the draws at a time; their neighbours do not matter."""
+    import tracemalloc
+
+    design = Design("w", POPS, YEARS, ("x", "x2"))
+    x, y = matrix(data.where("x is not null"), design)
+    drawer = M.fit_gaussian(data.where("x is not null"), design).posterior()
+    beta, sigma = drawer.sample(5, np.arange(1, 8001))
+    x, y = np.tile(x, (3, 1)), np.tile(y, 3)
+    # far from every draw: likelihoods beyond the range of a double
+    y[:3] += [10, 60, -300]
+    tracemalloc.start()
+    together = np.array(L.score_rows(x, y, beta, sigma))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(y) > 500 and peak < len(y) * len(sigma) * 8 / 2
+    for i in [0, 1, 2, *range(3, len(y), 40)]:
+        assert together[:, i] == pytest.approx(np.array(L.score_rows(x[i : i + 1], y[i : i + 1], beta, sigma))[:, 0], rel=1e-9)
+        assert together[:, i] == pytest.approx(plain_scores(x[i], y[i], beta, sigma), rel=1e-8), i
+
+
+def test_design_rows_in_tasks(data):
+    design = Design("w", POPS, YEARS, ("x", "x2"))
+    rows = design.complete_cases(data).select("*", F.array(*design.row()).alias("row")).toPandas()
+    values = {c: rows[c].to_numpy() for c in ("x", "x2")}
+    got = design.matrix(rows["Population"].to_numpy(), rows["Year"].astype(str).to_numpy(), values)
+    assert len(got) > 100 and np.array_equal(got, np.vstack(rows["row"].to_list()))
+
+
 def test_rows_complete_for_some_models_only(spark):
     rng = np.random.default_rng(3)
     rows = [(f"f{i}", POPS[i % 3], 2010 + 7 * (i // 3 % 2), float(rng.normal()), None if i % 5 == 0 else float(rng.normal()), float(rng.normal())) for i in range(120)]
