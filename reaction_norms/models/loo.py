@@ -20,9 +20,17 @@ from pyspark.sql import types as T
 from reaction_norms.models.gaussian import N_DRAWS, SEED, GaussianFit, spread_out
 
 #: Rows that meet all draws at a time; their tables stay in a processor's own cache.
-ROWS = 16
-#: Factors whose product goes into one logarithm.
+ROWS = 8
+#: Rows whose tails are smoothed at a time.
+TAILS = 32
+#: Factors that become one polynomial, and polynomials whose product goes into one logarithm.
 FACTORS = 8
+JOINED = 4
+#: Half ranges of log weights up to which sums of powers to the fourth, sixth and eighth give the sums of
+#: exponentials: what is left out of them is below 2e-13 of a term.
+SHORT = ((4, 0.005), (6, 0.05), (8, 0.15))
+#: Range of a row's log weights up to which no weight nears the ends of a double's range.
+PLAIN = 500.0
 
 
 def _logsumexp(a: np.ndarray) -> np.ndarray:
@@ -30,20 +38,39 @@ def _logsumexp(a: np.ndarray) -> np.ndarray:
     return np.log(np.exp(a - top).sum(axis=1)) + top[:, 0]
 
 
-def _mean_log(theta: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Mean of ``log(1 - theta x)`` over x, per row and theta: logarithms of products."""
+def _products(x: np.ndarray) -> np.ndarray:
+    """Coefficients of ``prod((1 - x) + t x)`` over every ``FACTORS`` values, by powers of t; none is negative.
+
+    A last few products are of fewer values or 1, so that their number is a multiple of ``JOINED``.
+    """
+    rows, n = x.shape
+    width = -(-n // (FACTORS * JOINED)) * JOINED
+    at_one = np.zeros((rows, FACTORS * width))
+    at_one[:, :n] = x
+    at_one = at_one.reshape(rows, FACTORS, width)
+    at_zero = 1.0 - at_one
+    out = np.zeros((FACTORS + 1, rows, width))
+    out[0] = 1.0
+    for i in range(FACTORS):
+        raised = out[: i + 1] * at_one[:, i]
+        out[: i + 1] *= at_zero[:, i]
+        out[1 : i + 2] += raised
+    return out
+
+
+def _mean_log(tau: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mean of ``log(1 - (1 - tau) x)`` over x, from 0 to 1, per row and tau: logarithms of products."""
     n = x.shape[1]
-    width = -(-n // FACTORS)
-    product = np.ones((*theta.shape, width))
+    powers = np.ones((FACTORS + 1, *tau.shape))
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        for start in range(0, n, width):
-            factors = -theta[:, :, None] * x[:, None, start : start + width]
-            factors += 1.0
-            product[:, :, : factors.shape[2]] *= factors
-        mean = np.log(product).sum(axis=2) / n
+        for k in range(FACTORS):
+            np.multiply(powers[k], tau, out=powers[k + 1])
+        product = np.matmul(_products(x).transpose(1, 2, 0), powers.transpose(1, 0, 2))
+        product = product.reshape(len(x), JOINED, -1, tau.shape[1]).prod(axis=1)
+        mean = np.log(product, out=product).sum(axis=1) / n
     far = ~np.isfinite(mean).all(axis=1)  # a product beyond the range of a double
     if far.any():
-        mean[far] = np.log1p(-theta[far][:, :, None] * x[far][:, None, :]).mean(axis=2)
+        mean[far] = np.log1p((tau[far] - 1.0)[:, :, None] * x[far][:, None, :]).mean(axis=2)
     return mean
 
 
@@ -52,17 +79,43 @@ def _pareto_fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = x.shape[1]
     m = 30 + int(np.sqrt(n))
     j = np.arange(1, m + 1)
-    quarter = x[:, int(n / 4 + 0.5) - 1][:, None]
-    theta = 1.0 / x[:, -1:] + (1.0 - np.sqrt(m / (j - 0.5))) / (3.0 * quarter)
-    k = _mean_log(theta, x)
+    top, quarter = x[:, -1:], x[:, int(n / 4 + 0.5) - 1][:, None]
+    # in units of the greatest: theta = 1 - tau
+    x = x / top
+    tau = (np.sqrt(m / (j - 0.5)) - 1.0) * (top / (3.0 * quarter))
+    theta = 1.0 - tau
+    k = _mean_log(tau, x)
     loglik = n * (np.log(-theta / k) - k - 1.0)
     weight = np.exp(loglik - _logsumexp(loglik)[:, None])
     best = (theta * weight).sum(axis=1)
     shape = np.log1p(-best[:, None] * x).mean(axis=1)
-    scale = -shape / best
+    scale = -shape / best * top[:, 0]
     return (shape * n + 5.0) / (n + 10.0), scale
 
 
+def _smooth_weights(lw: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed weights and tail shape k of each row.
+
+    ``lw`` has the cut and then the tail of the log weights, ascending to 0, and ``raw`` the weights of the tail.
+    """
+    out, k = raw.copy(), np.full(len(raw), np.inf)
+    tail = raw.shape[1]
+    if not tail:
+        return out, k
+    # A flat tail (all equal) needs no smoothing.
+    varied = (lw[:, -1] - lw[:, 1] > np.finfo(float).eps * 100) & (lw[:, 1] > lw[:, 0])
+    if varied.any():
+        floor = np.exp(lw[varied, 0])[:, None]
+        shape, scale = _pareto_fit(raw[varied] - floor)
+        p = (np.arange(1, tail + 1) - 0.5) / tail
+        step = np.expm1(-shape[:, None] * np.log1p(-p)) / shape[:, None]
+        smooth = scale[:, None] * step + floor
+        good = np.isfinite(shape) & (np.isfinite(smooth) & (smooth > 0.0)).all(axis=1)
+        out[varied] = np.where(good[:, None], np.minimum(smooth, 1.0), out[varied])
+        k[varied] = np.where(good, shape, np.inf)
+    return out, k
+
+
 def smooth_tail(lw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Largest log weights of each row: (values, smoothed values, tail shape k), ascending.
 
@@ -74,37 +127,26 @@ def smooth_tail(lw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if tail < 5:
         return np.empty((rows, 0)), np.empty((rows, 0)), k
     ranked = np.partition(lw, s - tail - 1, axis=1)[:, s - tail - 1 :]
-    cut = np.maximum(ranked[:, 0], np.log(np.finfo(float).tiny))
-    raw = np.sort(ranked[:, 1:], axis=1)
-    top = raw.copy()
-    # A flat tail (all equal) needs no smoothing.
-    varied = (top[:, -1] - top[:, 0] > np.finfo(float).eps * 100) & (top[:, 0] > cut)
-    if varied.any():
-        floor = np.exp(cut[varied])[:, None]
-        shape, scale = _pareto_fit(np.exp(top[varied]) - floor)
-        p = (np.arange(1, tail + 1) - 0.5) / tail
-        step = np.expm1(-shape[:, None] * np.log1p(-p)) / shape[:, None]
-        smooth = np.log(scale[:, None] * step + floor)
-        good = np.isfinite(shape) & np.isfinite(smooth).all(axis=1)
-        top[varied] = np.where(good[:, None], np.minimum(smooth, 0.0), top[varied])
-        k[varied] = np.where(good, shape, np.inf)
-    return raw, top, k
+    ranked.sort(axis=1)
+    ranked[:, 0] = np.maximum(ranked[:, 0], np.log(np.finfo(float).tiny))
+    raw = ranked[:, 1:]
+    smoothed, k = _smooth_weights(ranked, np.exp(raw))
+    with np.errstate(divide="ignore"):
+        return raw, np.where(np.isfinite(k)[:, None], np.log(smoothed), raw), k
 
 
-def _score_block(residual: np.ndarray, log_sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of a few rows from their residuals, in units of ``sqrt(2) * sigma``, under every draw.
+def _score_wide(lw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of rows whose weights may lie beyond the range of a double, from their log weights.
 
     Outside the tail a weight is the inverse likelihood, so weight times likelihood is
     constant there, and the likelihoods are the weights' inverses: one pass of ``exp`` serves both.
     """
-    s = len(log_sigma)
-    lw = np.multiply(residual, residual, out=residual)
-    lw += log_sigma
+    s = lw.shape[1]
     high = lw.max(axis=1)
-    lw -= high[:, None]
+    lw = np.sort(lw - high[:, None], axis=1)
     raw, smoothed, k = smooth_tail(lw)
     weight = np.exp(lw)
-    total = weight.sum(axis=1) - np.exp(raw).sum(axis=1) + np.exp(smoothed).sum(axis=1)
+    total = weight[:, : s - raw.shape[1]].sum(axis=1) + np.exp(smoothed).sum(axis=1)
     # In units of the lowest likelihood of the row.
     weighted = (s - raw.shape[1]) + np.exp(smoothed - raw).sum(axis=1)
     with np.errstate(divide="ignore", over="ignore"):
@@ -116,21 +158,84 @@ def _score_block(residual: np.ndarray, log_sigma: np.ndarray) -> tuple[np.ndarra
     return np.log(weighted) + low - np.log(total), lpd + low - np.log(s), k
 
 
+def _sums_of_exp(u: np.ndarray, half: float, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row sums of ``exp(u)`` and ``exp(-u)``, where no u is beyond ``half``; ``u`` may be overwritten."""
+    degree = next((d for d, most in SHORT if half <= most), None)
+    if degree is None:
+        e = np.exp(u, out=u)
+        return e.sum(axis=1), np.divide(1.0, e, out=e).sum(axis=1)
+    odd, even, factorial = u.sum(axis=1), u.shape[1] + np.vecdot(u, u) / 2.0, 2.0
+    power = u
+    for k in range(2, degree // 2 + 1):
+        raised = np.multiply(power, u, out=space[k % 2, : len(u), : u.shape[1]])
+        factorial *= 2 * k - 1
+        odd += np.vecdot(power, raised) / factorial
+        factorial *= 2 * k
+        even += np.vecdot(raised, raised) / factorial
+        power = raised
+    return even + odd, even - odd
+
+
+def _score_block(rows: np.ndarray, weights: np.ndarray, log_sigma: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Scores of a few rows; ``rows @ weights`` are their residuals, in units of ``sqrt(2) * sigma``, under every draw.
+
+    Weights and likelihoods, their inverses, outside the tail are summed about the middle of a row's log
+    weights; then only the tail of each row is left to smooth.
+    """
+    n, s = len(rows), len(log_sigma)
+    tail = int(np.ceil(min(0.2 * s, 3.0 * np.sqrt(s))))
+    tail = 0 if tail < 5 else tail
+    ends, mid, weight, likelihood = np.empty((n, tail + 1)), np.empty(n), np.empty(n), np.empty(n)
+    out, wide = np.full((3, n), np.inf), np.zeros(n, bool)
+    for start in range(0, n, ROWS):
+        at = slice(start, start + ROWS)
+        lw = np.matmul(rows[at], weights, out=space[2, : len(rows[at])])
+        np.multiply(lw, lw, out=lw)
+        lw += log_sigma
+        lw.partition(s - tail - 1, axis=1)
+        ends[at] = lw[:, s - tail - 1 :]
+        low, high = lw[:, : s - tail].min(axis=1), ends[at].max(axis=1)
+        wide[at] = ~(high - low <= PLAIN)
+        if wide[at].any():
+            out[:, at][:, wide[at]] = _score_wide(lw[wide[at]])
+            lw[wide[at]], low[wide[at]], high[wide[at]] = 0.0, 0.0, 0.0
+        mid[at] = (low + high) / 2.0
+        lw -= mid[at][:, None]
+        weight[at], likelihood[at] = _sums_of_exp(lw[:, : s - tail], float((high - low).max()) / 2.0, space)
+    plain = ~wide
+    if not plain.any():
+        return out
+    ends, mid = ends[plain], mid[plain]
+    high = ends.max(axis=1)
+    lw = np.sort(ends, axis=1) - high[:, None]
+    raw = np.exp(lw[:, 1:])
+    smoothed, k = _smooth_weights(lw, raw)
+    total = weight[plain] * np.exp(mid - high) + smoothed.sum(axis=1)
+    weighted = (s - tail) + (smoothed / raw).sum(axis=1)
+    likely = likelihood[plain] + np.exp(mid - high) * (1.0 / raw).sum(axis=1)
+    out[:, plain] = np.log(weighted) - high - np.log(total), np.log(likely / s) - mid, k
+    out[:2, plain] -= 0.5 * np.log(2 * np.pi)
+    return out
+
+
 def score_rows(x: np.ndarray, y: np.ndarray, beta: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     """(elpd, in-sample lpd, tail shape) of each row.
 
-    Rows of one cell are zero in the same columns; they are scored together, without these.
+    Rows of one cell are zero in the same columns; they are scored together, without these. Rows
+    that lie about as far from the draws have log weights of about the same range.
     """
     unit = np.sqrt(2.0) * sigma
     scaled, log_sigma = -(beta / unit[:, None]).T, np.log(sigma)
     kinds, kind = np.unique(x != 0, axis=0, return_inverse=True)
     kind = kind.reshape(-1)
-    out = np.empty((3, len(y)))
+    out, space = np.empty((3, len(y))), np.empty((3, ROWS, len(sigma)))
     for number, used in enumerate(kinds):
         mine = np.flatnonzero(kind == number)
         rows, weights = np.column_stack([y[mine], x[np.ix_(mine, used)]]), np.vstack([1.0 / unit, scaled[used]])
-        for start in range(0, len(mine), ROWS):
-            out[:, mine[start : start + ROWS]] = _score_block(rows[start : start + ROWS] @ weights, log_sigma)
+        away = np.argsort(np.abs(rows @ weights.mean(axis=1)), kind="stable")
+        mine, rows = mine[away], rows[away]
+        for start in range(0, len(mine), TAILS):
+            out[:, mine[start : start + TAILS]] = _score_block(rows[start : start + TAILS], weights, log_sigma, space)
     return out
 
 

@@ -323,6 +323,49 @@ def test_rows_are_scored_in_little_memory_as_one_by_one(data):
         assert together[:, i] == pytest.approx(plain_scores(x[i], y[i], beta, sigma), rel=1e-8), i
 
 
+@pytest.mark.parametrize("spread", [0.0001, 0.001, 0.005, 0.02, 0.2, 1.0])
+def test_scores_of_near_and_far_draws_match_the_plain_ones(spread):
+    """Sums by powers of log weights, by exponentials and in logarithms."""
+    rng = np.random.default_rng(11)
+    beta, sigma = np.array([1.0, -0.5, 0.0]) + rng.normal(0, spread, (8000, 3)), np.exp(rng.normal(0, spread / 10, 8000))
+    x = np.column_stack([np.ones(70), rng.normal(size=70), np.repeat([0.0, 1.0], 35)])
+    y = x @ [1.0, -0.5, 0.0] + rng.normal(size=70)
+    got = L.score_rows(x, y, beta, sigma)
+    for i in range(70):
+        assert got[:, i] == pytest.approx(plain_scores(x[i], y[i], beta, sigma), rel=1e-8, abs=1e-10), i
+
+
+def test_equal_draws_are_not_smoothed():
+    got = L.score_rows(np.ones((3, 1)), np.array([0.0, 1.0, 5.0]), np.full((8000, 1), 0.5), np.full(8000, 2.0))
+    want = -0.5 * (np.array([-0.5, 0.5, 4.5]) / 2) ** 2 - np.log(2) - 0.5 * np.log(2 * np.pi)
+    assert got[0] == pytest.approx(want) and got[1] == pytest.approx(want) and np.isinf(got[2]).all()
+
+
+def test_few_exponentials_and_logarithms_a_row(monkeypatch):
+    """The draws of a model of many rows lie close together: only the tail of a row needs them."""
+
+    class Counted:
+        taken = 0
+
+        def __getattr__(self, name):
+            fn = getattr(np, name)
+            if name not in ("exp", "log", "log1p", "expm1"):
+                return fn
+
+            def counted(a, *args, **kwargs):
+                Counted.taken += np.size(a)
+                return fn(a, *args, **kwargs)
+
+            return counted
+
+    rng = np.random.default_rng(12)
+    beta, sigma = rng.normal(0, 0.002, (8000, 2)), np.exp(rng.normal(0, 0.001, 8000))
+    x, y = np.column_stack([np.ones(200), rng.normal(size=200)]), rng.normal(size=200)
+    monkeypatch.setattr(L, "np", Counted())
+    L.score_rows(x, y, beta, sigma)
+    assert 0 < Counted.taken / 200 < 2_500
+
+
 def test_design_rows_in_tasks(data):
     design = Design("w", POPS, YEARS, ("x", "x2"))
     rows = design.complete_cases(data).select("*", F.array(*design.row()).alias("row")).toPandas()
